@@ -42,36 +42,32 @@ def grown(shards: list[Shard], weight: float = 1.0) -> list[Shard]:
     return [*shards, Shard(max(s.shard for s in shards) + 1, max(s.region for s in shards) + 1, max(s.rack for s in shards) + 1, weight)]
 
 
-def uniform(key: Column, path: str) -> Column:
+def uniform(key: Column, path: Column) -> Column:
     """A number in (0, 1): 52 bits of the MD5 of the path and the key, so that any engine draws alike."""
-    digest = F.md5(F.concat(F.lit(f"{path}|"), key).cast("binary"))
+    digest = F.md5(F.concat(path, F.lit("|"), key).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def _pick(children: list[tuple[str, float, Column | int]], key: Column):
-    """The child with the least draw; of equal draws the first."""
-    children = [c for c in children if c[1] > 0]
-    if len(children) == 1:
-        only = children[0][2]
-        return only if isinstance(only, Column) else F.lit(only)
-    drawn = [(-F.log(uniform(key, path)) / F.lit(weight), got) for path, weight, got in children]
-    least = F.least(*[d for d, _ in drawn])
-    out = F.when(drawn[0][0] == least, drawn[0][1])
-    for d, got in drawn[1:]:
-        out = out.when(d == least, got)
-    return out
+def _nodes(found: list[tuple[int, str, float]]) -> Column:
+    return F.array(*[F.struct(F.lit(n).alias("id"), F.lit(p).alias("path"), F.lit(float(w)).alias("weight")) for n, p, w in found if w > 0])
+
+
+def _descend(children: Column, key: Column) -> Column:
+    """The child with the least draw; of equal draws the one of the smallest id."""
+    drawn = F.transform(children, lambda c: F.struct((-F.log(uniform(key, c["path"])) / c["weight"]).alias("draw"), c["id"].alias("id")))
+    return F.array_min(drawn)["id"]
 
 
 def shard_of(key: Column, shards: list[Shard]) -> Column:
     """The shard of a document, by descent from regions to racks to shards."""
-    regions = []
-    for region in sorted({s.region for s in shards}):
-        racks = []
-        for rack in sorted({s.rack for s in shards if s.region == region}):
-            leaves = [s for s in shards if (s.region, s.rack) == (region, rack)]
-            racks.append((f"rack{rack}", sum(s.weight for s in leaves), _pick([(f"shard{s.shard}", s.weight, s.shard) for s in leaves], key)))
-        regions.append((f"region{region}", sum(w for _, w, _ in racks), _pick(racks, key)))
-    return _pick(regions, key).cast("int")
+    weight = lambda **at: sum(s.weight for s in shards if all(getattr(s, k) == v for k, v in at.items()))
+    regions = sorted({s.region for s in shards})
+    racks = {r: sorted({s.rack for s in shards if s.region == r}) for r in regions}
+    top = _nodes([(r, f"region{r}", weight(region=r)) for r in regions])
+    middle = F.create_map(*[x for r in regions for x in (F.lit(r), _nodes([(a, f"rack{a}", weight(region=r, rack=a)) for a in racks[r]]))])
+    leaves = F.create_map(*[x for r in regions for a in racks[r] for x in (F.lit(a), _nodes([(s.shard, f"shard{s.shard}", s.weight) for s in shards if s.rack == a]))])
+    rack = _descend(F.element_at(middle, _descend(top, key)), key)
+    return _descend(F.element_at(leaves, rack), key).cast("int")
 
 
 def numbered(rows: DataFrame, group: str, order: list, bins: int, bin_key: Column) -> DataFrame:
