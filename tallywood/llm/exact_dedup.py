@@ -4,9 +4,9 @@ A key is the 64-bit hash of the text. The directory names a bucket for every
 prefix of the key; it starts with one bucket, and while a bucket holds more
 keys than ``capacity`` it is split by one more bit, the directory doubling
 whenever the split bucket was as deep as the directory. Buckets and directory
-are Parquet tables in the shared folder. Owner tasks hold ranges of keys:
-within a bucket, different texts under one key form a chain, and membership
-compares the texts' bytes.
+are Parquet tables in the shared folder. Owner tasks hold ranges of keys.
+Insertion compares the texts' bytes; within a bucket, different texts under one
+key form a chain of entries with a digest each, along which a look-up goes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import saved
+from ._common import partitions, saved
 
 #: The directory never has more than 2**MAX_DEPTH cells; deeper buckets grow by chaining.
 MAX_DEPTH = 16
@@ -49,7 +49,7 @@ def directory(counts: dict[int, int], capacity: int, deepest: int = MAX_DEPTH) -
 
 @dataclass
 class HashIndex:
-    """The index on shared files: ``cells`` is the directory, ``entries`` the buckets' texts."""
+    """The index on shared files: ``cells`` is the directory, ``entries`` the buckets' contents."""
 
     cells: DataFrame
     entries: DataFrame
@@ -59,6 +59,10 @@ def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def _cell(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - MAX_DEPTH)
 
@@ -75,10 +79,15 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     cells = spark.createDataFrame(directory(counts, capacity), _CELLS)
     least = F.min if keep == "min" else F.max
     # Copies meet before the shuffle: a task sends one row for each text it has seen.
-    entries = rows.groupBy("key", "text").agg(least("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = entries.withColumn("cell", _cell(F.col("key"))).join(F.broadcast(cells), "cell")
-    entries = entries.withColumn("chain", F.row_number().over(W.partitionBy("bucket", "key").orderBy("text")))
-    return HashIndex(saved(cells, "cells"), saved(entries.select("bucket", "depth", "key", "chain", "text", "keep_id", "group_size"), "buckets"))
+    # Grouping by the text compares bytes; only the digest goes on from here.
+    texts = rows.groupBy("key", "text").agg(least("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    entries = texts.select("key", _digest(F.col("text")).alias("digest"), F.octet_length("text").alias("length"), "keep_id", "group_size")
+    entries = entries.withColumn("cell", _cell(F.col("key"))).join(F.broadcast(cells), "cell").drop("cell")
+    entries = entries.repartitionByRange(partitions(docs), "bucket")  # an owner has a range of buckets
+    chain = W.partitionBy("bucket", "key").orderBy("digest", "length")
+    twin = F.lag("digest").over(chain).eqNullSafe(F.col("digest"))
+    entries = entries.withColumn("chain", F.when(twin, F.raise_error(F.lit("two texts with one SHA-256"))).otherwise(F.row_number().over(chain)))
+    return HashIndex(saved(cells, "cells"), saved(entries, "buckets"))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 4096, keep: str = "max") -> DataFrame:
@@ -94,8 +103,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     task, and in the lookup the join's large side is split between tasks.
     """
     index = build_index(docs, key, text, capacity, keep)
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", _key(F.col("text")))
-    found = rows.join(index.entries, ["key", "text"])  # the key finds the chain, the text decides
-    return found.select(
-        "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "bucket", "depth", "chain"
-    )
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("doc_id"), _key(body).alias("key"), _digest(body).alias("digest"))
+    found = rows.join(index.entries, ["key", "digest"])
+    return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("digest").alias("text_sha256"), "bucket", "depth", "chain")
