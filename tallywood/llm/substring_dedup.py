@@ -170,8 +170,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, key: str = "doc_id", text
     full = answer(ask_again(base, halves, lambda t, got: _full(_Words(t, window), half, buckets, got)), _earliest)
 
     def rows(table: pa.Table, got: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            table = table.slice(0, 0)
         w = _Words(table, window)
         out = _digest(w, _removed(w, got))
         return out if with_text else out.drop_columns(["kept_text"])
