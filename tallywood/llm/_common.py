@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1 << 20
@@ -44,19 +44,21 @@ def partitions(df: DataFrame, per: int = 64 * MB) -> int:
     return max(conf, min(-(-input_bytes(df) // per), 200_000))
 
 
+def chunk_of(docs: DataFrame, key: Column) -> Column:
+    """The chunk of a document of a table: a few MB of text by a hash of the id."""
+    chunks = max(4 * partitions(docs), -(-input_bytes(docs) // (2 * MB)))
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(chunks)).cast("long")
+
+
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(chunk, doc_id, text), dealt out by a hash of the id so that a chunk is found again at every pass.
 
-    A chunk is a few MB of text; long runs of equal ids or one hot source don't
-    fill it, since only the id counts. The exchange is the same at every use, so
-    Spark runs it once.
+    Only the id counts, so a hot source or many copies spread over all chunks.
+    The exchange is the same at every use, so Spark runs it once.
     """
-    size = input_bytes(docs)
-    parts = partitions(docs)
-    chunks = max(4 * parts, -(-size // (2 * MB)))
     return docs.select(
-        F.pmod(F.xxhash64(key), F.lit(chunks)).cast("long").alias("chunk"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    ).repartition(parts, "chunk")
+        chunk_of(docs, F.col(key)).alias("chunk"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    ).repartition(partitions(docs), "chunk")
 
 
 # ------------------------------------------------------------------ arrays
