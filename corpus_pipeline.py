@@ -1,5 +1,63 @@
-"""placeholder"""
-STAGES = []
+"""A corpus from raw documents: classify, deduplicate, decontaminate, mix and shard.
+
+STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns
+a DataFrame, which is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallywood.llm._common import saved
+from tallywood.llm.decontaminate import decontaminate
+from tallywood.llm.mixing import mix_sources, repeated
+from tallywood.llm.near_dedup import near_dedup
+from tallywood.llm.quality import keep_good, train
+from tallywood.llm.sharding import shard_documents
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.7 go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_good(docs.select(COLUMNS), train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id stays."""
+    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
+    known = docs.select(COLUMNS).join(saved(kept, "kept"), "doc_id", "left_semi")
+    return known.unionByName(docs.select(COLUMNS).where("doc_id IS NULL"))
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontaminate(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a fraction of one is its first words."""
+    mixed = mix_sources(docs, columns=("text", "lang", "n_chars"))
+    return repeated(mixed, COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row of the mix with its shard and its slot there."""
+    return shard_documents(docs, columns=("lang", "source", "n_chars"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("mixture", mixture), ("shards", shards)]
+
+#: A learned classifier is among the stages, which SQL can't express; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import preference_pairs
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .html_extract import extract_text
 from .mixing import mix_sources
 from .near_dedup import near_dedup
+from .quality import score_documents, train
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -16,6 +20,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_pairs(_table(spark, sf_dir, "conversations"))
+
+
+def op3_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -28,6 +45,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), with_bytes=False)
 
@@ -41,9 +62,13 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_preference_pairs": op2_preference_pairs,
+    "op3_extract_text": op3_extract_text,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_shard": op10_shard,
