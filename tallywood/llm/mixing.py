@@ -36,7 +36,7 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, total: Column | None
     Sources in order of cap/weight reach their cap in that order. After the first
     k are clamped, the level is (total - their caps) / (the weights of the rest);
     the first source whose own cap/weight is at least the level ends the
-    clamping. Sources of weight or size 0 get 0. The table has a row per source.
+    clamping, and that is the largest such level. Sources of weight or size 0 get 0. The table has a row per source.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
     rows = sources.withColumn("_cap", F.when(F.col("weight") > 0, cap).otherwise(0.0)).withColumn("_ratio", F.when(F.col("weight") > 0, F.col("_cap") / F.col("weight")).otherwise(0.0))
@@ -46,7 +46,7 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, total: Column | None
     spent = F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     rest = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     rows = rows.withColumn("_level", F.when(rest > 0, (F.col("_total") - spent) / rest))
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(everything)
+    level = F.max(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(everything)
     target = F.when(F.col("weight") <= 0, 0.0).when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("weight")))
     return rows.withColumn("target", target).drop("_cap", "_ratio", "_total", "_level")
 

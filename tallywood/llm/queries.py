@@ -95,7 +95,8 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) AS t FROM s),
 l AS (SELECT *, (t - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev FROM r
       WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, least(cap, w * (SELECT min(lev) FROM l WHERE ratio >= lev)) AS target FROM l),
+v AS (SELECT max(lev) AS lev FROM (SELECT l.lev, any_value(l.t) AS t, sum(least(r.cap, l.lev * r.w)) AS spent FROM l, r GROUP BY l.lev) WHERE abs(spent - t) <= 1e-6 * t),
+g AS (SELECT source, source_size, least(cap, w * (SELECT lev FROM v)) AS target FROM l),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS k FROM g),
 c AS (SELECT d.doc_id, d.size, h.source_size, h.target, h.k, CAST(round(h.target) AS BIGINT) - h.k * h.source_size AS more,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY dr, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, d.source
