@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1 << 20
+_SIZE = struct.Struct("<Q")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,7 +48,7 @@ def partitions(df: DataFrame, per: int = 64 * MB) -> int:
 
 def chunk_of(docs: DataFrame, key: Column) -> Column:
     """The chunk of a document of a table: a few MB of text by a hash of the id."""
-    chunks = max(4 * partitions(docs), -(-input_bytes(docs) // (2 * MB)))
+    chunks = max(partitions(docs), -(-input_bytes(docs) // (2 * MB)))
     return F.pmod(F.xxhash64(key.cast("long")), F.lit(chunks)).cast("long")
 
 
@@ -54,11 +56,29 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(chunk, doc_id, text), dealt out by a hash of the id so that a chunk is found again at every pass.
 
     Only the id counts, so a hot source or many copies spread over all chunks.
-    The exchange is the same at every use, so Spark runs it once.
+    The exchange is the same at every use, so Spark runs it once; ``text`` is
+    packed for it (see :func:`texts`).
     """
-    return docs.select(
-        chunk_of(docs, F.col(key)).alias("chunk"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    ).repartition(partitions(docs), "chunk")
+    rows = docs.select(chunk_of(docs, F.col(key)).alias("chunk"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(_packed, "chunk long, doc_id long, text binary").repartition(partitions(docs), "chunk")
+
+
+def _packed(batches):
+    for batch in batches:
+        raw, off = flat(batch.column("text"))
+        data = memoryview(raw)
+        small = [_SIZE.pack(z - a) + (pa.compress(data[a:z], codec="zstd", asbytes=True) if z > a else b"") for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), pa.array(small, pa.binary())], names=["chunk", "doc_id", "text"])
+
+
+def texts(table: pa.Table) -> pa.Table:
+    """A chunk with its texts unpacked, in an order that doesn't depend on how a shuffle brought its rows."""
+    if not table.num_rows:
+        return table
+    values = [v.as_py() for v in table.column("text")]
+    values = [pa.decompress(memoryview(v)[8:], decompressed_size=n, codec="zstd", asbytes=True) if (n := _SIZE.unpack_from(v)[0]) else b"" for v in values]
+    table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(values, pa.large_binary()))
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 # ------------------------------------------------------------------ arrays
@@ -179,7 +199,3 @@ def by_bucket(bucket: np.ndarray):
     for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
         yield int(s[a]), order[a:b]
 
-
-def sorted_rows(table: pa.Table) -> pa.Table:
-    """Rows in one order at every pass, whatever order a shuffle brought them in."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table

@@ -20,16 +20,21 @@ ANSWERS = "chunk long, payload binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one value: their lengths in bytes, then their bytes."""
+    """Arrays in one value: their lengths in bytes, then their bytes, compressed if that is shorter."""
     parts = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+    data = b"".join(parts)
+    small = pa.compress(data, codec="zstd", asbytes=True) if len(data) > 256 else data
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + (small if len(small) < len(data) else data)
 
 
 def unpack(value: bytes, kinds: tuple) -> list[np.ndarray]:
     sizes = struct.unpack_from(f"<{len(kinds)}I", value)
-    at, out = 4 * len(kinds), []
+    data, total = memoryview(value)[4 * len(kinds) :], sum(sizes)
+    if len(data) < total:
+        data = pa.decompress(data, decompressed_size=total, codec="zstd", asbytes=True)
+    at, out = 0, []
     for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(value, kind, size // np.dtype(kind).itemsize, at))
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
         at += size
     return out
 

@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bucket, chunk_of, chunked, flat, input_bytes, mix, partitions, powers, saved, slices, span_hash, words
+from ._common import by_bucket, chunk_of, chunked, flat, input_bytes, mix, partitions, powers, saved, slices, span_hash, texts, words
 from ._exchange import answer, ask, ask_again, finish, gathered, pack
 
 K = 64
@@ -175,6 +175,7 @@ def _sets_of(table: pa.Table, meetings: pa.Table) -> pa.Table:
         return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
     wanted = pa.compute.unique(meetings.column("rep"))
     table = table.filter(pa.compute.is_in(table.column("doc_id"), wanted))
+    table = texts(table)
     raw, off = flat(table.column("text"))
     h, row = shingles(lowered(raw), off)
     cut = np.searchsorted(row, np.arange(table.num_rows + 1))
@@ -261,7 +262,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     parts = partitions(docs)
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = saved(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    chunks = max(4 * parts, -(-input_bytes(described) // (2 << 20)))
+    chunks = max(parts, -(-input_bytes(described) // (2 << 20)))
     base = (
         described.select("doc_id", "sig").join(classes.select("rep"), F.col("doc_id") == F.col("rep"))
         .groupBy("rep").agg(F.first("sig").alias("sig"))  # repeated rows

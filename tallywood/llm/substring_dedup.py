@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import by_bucket, chunked, flat, group_minmax, member, mix, partitions, powers, sorted_rows, span_hash, words
+from ._common import by_bucket, chunked, flat, group_minmax, member, mix, partitions, powers, span_hash, texts, words
 from ._exchange import answer, ask, ask_again, finish, gathered, pack
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -25,7 +25,7 @@ class _Words:
     """The words of a chunk's documents, their hashes and windows."""
 
     def __init__(self, table: pa.Table, window: int):
-        table = sorted_rows(table)
+        table = texts(table)
         self.raw, self.off = flat(table.column("text"))
         ids = table.column("doc_id").combine_chunks()
         self.known = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)

@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import by_bucket, chunked, flat, group_minmax, member, partitions, sorted_rows, span_hash
+from ._common import by_bucket, chunked, flat, group_minmax, member, partitions, span_hash, texts
 from ._exchange import answer, ask, ask_again, finish, gathered, pack, unpack
 from .suffix_groups import suffix_arrays
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: A hash that so many chunks ask about is hot: its strings go to buckets one by one, by their own hash.
-HOT = 64
+HOT = 4096
 #: Stretches of one hash that make one string for the suffix array; beyond, they are dealt out by more of their bytes.
 TOGETHER = 256
 #: Symbols that go through the construction together.
@@ -45,7 +45,7 @@ class _Bytes:
     """The bytes of a chunk's documents, and the stretches of windows with the same least hash."""
 
     def __init__(self, table: pa.Table, window: int, gram: int):
-        table = sorted_rows(table)
+        table = texts(table)
         self.raw, self.off = flat(table.column("text"))
         ids = table.column("doc_id").combine_chunks()
         self.known = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
@@ -100,7 +100,7 @@ def _repeated(table: pa.Table) -> list[tuple[int, bytes]]:
     return [(int(chunks[r]), pack(out[i])) for r, i in by_bucket(row[order[keep]])]
 
 
-_STRETCHES = (np.uint8, np.uint32, np.uint64, np.uint64, np.int64, np.int64)
+_STRETCHES = (np.uint8, np.uint16, np.uint64, np.uint32, np.uint32, np.int64)
 
 
 def _take(raw: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -128,7 +128,9 @@ def _stretches(b: _Bytes, got: pa.Table, buckets: int) -> list[tuple[int, bytes]
     out = []
     for k, i in by_bucket(home[first] % np.uint64(buckets)):
         j = first[i]
-        out.append((k, pack(_take(b.raw, low[j], size[j]), size[j].astype(np.uint32), mark[j], h1[j], less[i], more[i])))
+        # doc_ids in halves and as a difference: mostly zeros, which pack away.
+        half = less[i].view(np.uint64)
+        out.append((k, pack(_take(b.raw, low[j], size[j]), size[j].astype(np.uint16), mark[j], half.astype(np.uint32), (half >> np.uint64(32)).astype(np.uint32), more[i] - less[i])))
     return out
 
 
@@ -208,7 +210,9 @@ def _apart(raw, off, key, least, window):
 def _earliest(table: pa.Table, window: int) -> list[tuple[int, bytes]]:
     """To each chunk, the parts of its stretches that start in an earlier document elsewhere."""
     got = [unpack(v.as_py(), _STRETCHES) for v in table.column("payload")]
-    raw, size, mark, h1, low, high = (np.concatenate([g[i] for g in got]) for i in range(6))
+    raw, size, mark, less, upper, more = (np.concatenate([g[i] for g in got]) for i in range(6))
+    low = ((upper.astype(np.uint64) << np.uint64(32)) | less).view(np.int64)
+    high = low + more
     row = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
     size = size.astype(np.int64)
     off = np.append(0, np.cumsum(size))
@@ -241,10 +245,10 @@ def _earliest(table: pa.Table, window: int) -> list[tuple[int, bytes]]:
     r = run_base[which[q]] + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
     tell = run_id[r] < high[q]
     q, r = q[tell], r[tell]
-    uh2 = span_hash(uraw, uoff[:-1], uoff[1:], 2) if len(first) else np.zeros(0, np.uint64)
+    uh1, uh2 = (span_hash(uraw, uoff[:-1], uoff[1:], w) for w in (1, 2))
     chunks = table.column("chunk").to_numpy()
     return [
-        (int(chunks[c]), pack(h1[q[i]], uh2[which[q[i]]], run_at[r[i]].astype(np.uint32), run_len[r[i]].astype(np.uint32), run_id[r[i]], mark[q[i]]))
+        (int(chunks[c]), pack(uh1[which[q[i]]], uh2[which[q[i]]], run_at[r[i]].astype(np.uint32), run_len[r[i]].astype(np.uint32), run_id[r[i]], mark[q[i]]))
         for c, i in by_bucket(row[q])
     ]
 
