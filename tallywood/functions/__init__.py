@@ -1 +1 @@
-
+"""Scalar functions as Column builders; none runs Python on rows."""

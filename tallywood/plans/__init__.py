@@ -1 +1 @@
-
+"""The data model: table schemas, category vocabulary and parameters."""
