@@ -27,7 +27,9 @@ HOT = 4096
 #: Stretches of one hash that make one string for the suffix array; beyond, they are dealt out by more of their bytes.
 TOGETHER = 256
 #: Symbols that go through the construction together.
-BATCH = 1 << 20
+BATCH = 3 << 19
+#: Bytes of stretches whose windows are looked at together.
+SLICE = 4 << 20
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -207,6 +209,24 @@ def _apart(raw, off, key, least, window):
     return out
 
 
+def _runs(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, part: np.ndarray, window: int):
+    """For some of the stretches, all of their keys: runs of windows with one least doc_id as (stretch, first window, windows, doc_id)."""
+    size = np.diff(off)[part]
+    count = size - window + 1
+    base = np.append(0, np.cumsum(count))
+    _, inverse, many = np.unique(key[part], return_inverse=True, return_counts=True)
+    crowd = many[inverse] > TOGETHER
+    starts = np.empty(int(base[-1]), np.int64)
+    for some, how in ((~crowd, _first_starts), (crowd, _apart)):
+        u = np.flatnonzero(some)
+        if len(u):
+            got = how(_take(raw, off[part[u]], size[u]), np.append(0, np.cumsum(size[u])), key[part[u]], least[part[u]], window)
+            starts[np.repeat(base[u] - np.cumsum(count[u]) + count[u], count[u]) + np.arange(int(count[u].sum()))] = got
+    of = np.repeat(np.arange(len(part)), count)
+    head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (starts[1:] != starts[:-1])))
+    return part[of[head]], head - base[of[head]], np.diff(np.append(head, len(of))), starts[head]
+
+
 def _earliest(table: pa.Table, window: int) -> list[tuple[int, bytes]]:
     """To each chunk, the parts of its stretches that start in an earlier document elsewhere."""
     got = [unpack(v.as_py(), _STRETCHES) for v in table.column("payload")]
@@ -223,21 +243,15 @@ def _earliest(table: pa.Table, window: int) -> list[tuple[int, bytes]]:
     np.minimum.at(least, which, low)
     uoff = np.append(0, np.cumsum(size[first]))
     uraw, key = _take(raw, off[first], size[first]), mark[first]
-    _, inverse, many = np.unique(key, return_inverse=True, return_counts=True)
-    crowd = many[inverse] > TOGETHER
-    count = size[first] - window + 1
-    base = np.append(0, np.cumsum(count))
-    starts = np.empty(int(base[-1]), np.int64)
-    for part, how in ((~crowd, _first_starts), (crowd, _apart)):
-        u = np.flatnonzero(part)
-        if len(u):
-            res = how(_take(uraw, uoff[u], size[first][u]), np.append(0, np.cumsum(size[first][u])), key[u], least[u], window)
-            starts[np.repeat(base[u] - np.cumsum(count[u]) + count[u], count[u]) + np.arange(int(count[u].sum()))] = res
-    # Runs of windows of a stretch with one least doc_id.
-    of = np.repeat(np.arange(len(first)), count)
-    head = np.append(True, (of[1:] != of[:-1]) | (starts[1:] != starts[:-1]))
-    h = np.flatnonzero(head)
-    run_of, run_at, run_len, run_id = of[h], h - base[of[h]], np.diff(np.append(h, len(of))), starts[h]
+    del got, raw, data, known
+    # Keys in slices, so that what is kept for each window is kept for a few MB of stretches at a time.
+    order = np.argsort(key, kind="stable")
+    edge = np.append(True, key[order][1:] != key[order][:-1])
+    place = (np.cumsum(size[first][order]) // SLICE)[np.flatnonzero(edge)][np.cumsum(edge) - 1]
+    runs = [_runs(uraw, uoff, key, least, part, window) for part in np.split(order, np.flatnonzero(np.diff(place)) + 1)]
+    run_of, run_at, run_len, run_id = (np.concatenate([r[i] for r in runs]) for i in range(4))
+    by_stretch = np.argsort(run_of, kind="stable")
+    run_of, run_at, run_len, run_id = run_of[by_stretch], run_at[by_stretch], run_len[by_stretch], run_id[by_stretch]
     run_base = np.searchsorted(run_of, np.arange(len(first) + 1))
     # Each asking chunk hears of the runs that concern its later documents.
     n = run_base[which + 1] - run_base[which]
@@ -309,8 +323,9 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = 16, key: str = "
     result.
     """
     base, buckets = chunked(docs, key, text), partitions(docs)
+    wide = 2 * buckets  # stretches are longer than hashes
     grams = answer(ask(base, lambda t: _grams(_Bytes(t, window, gram), buckets)), _repeated)
-    parts = ask_again(base, grams, lambda t, got: _stretches(_Bytes(t, window, gram), got, buckets))
+    parts = ask_again(base, grams, lambda t, got: _stretches(_Bytes(t, window, gram), got, wide))
     ranges = answer(parts, lambda t: _earliest(t, window))
 
     def rows(table: pa.Table, got: pa.Table) -> pa.Table:

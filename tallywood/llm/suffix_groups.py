@@ -18,6 +18,14 @@ from __future__ import annotations
 import numpy as np
 
 
+def _order(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The order by a, then b, then c (-1 or more), as one key of 63 bits where they fit."""
+    top = max(int(a.max()), int(b.max()), int(c.max()) + 1) if len(a) else 0
+    if top >= 1 << 21:
+        return np.lexsort((c, b, a))
+    return np.argsort((a.astype(np.int64) << 42) | (b.astype(np.int64) << 21) | (c.astype(np.int64) + 1))
+
+
 def suffix_arrays(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The suffix array of each string symbols[off[s]:off[s+1]], one after the other, as positions in ``symbols``.
 
@@ -26,18 +34,20 @@ def suffix_arrays(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if not n:
         return np.zeros(0, np.int64)
+    kind = np.int32 if n < 1 << 30 else np.int64
+    off = off.astype(kind)
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
     # Groups are ranges of slots: group g is slots g .. g + size[g] - 1.
-    at = np.lexsort((symbols, owner))
-    slot = np.empty(n, np.int64)
+    at = _order(owner, symbols, np.arange(n)).astype(kind)
+    slot = np.empty(n, kind)
     slot[at] = np.arange(n)
     head = np.append(True, (symbols[at][1:] != symbols[at][:-1]) | (owner[at][1:] != owner[at][:-1]))
-    starts = np.flatnonzero(head)
-    group = np.empty(n, np.int64)
+    starts = np.flatnonzero(head).astype(kind)
+    group = np.empty(n, kind)
     group[at] = starts[np.cumsum(head) - 1]
-    size = np.zeros(n, np.int64)
+    size = np.zeros(n, kind)
     size[starts] = np.diff(np.append(starts, n))
-    left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
+    left, right = np.arange(-1, n - 1, dtype=kind), np.arange(1, n + 1, dtype=kind)
     left[off[:-1]] = -1
     right[off[1:] - 1] = -1
     bound, floor = off[1:].copy(), off[:-1]
@@ -76,14 +86,13 @@ def suffix_arrays(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
             moved, times, old = moved[~alone], times[~alone], old[~alone]
             if not len(moved):
                 continue
-        order = np.lexsort((times, old))
+        order = _order(old, times, moved)
         moved, times, old = moved[order], times[order], old[order]
         cut = np.append(True, old[1:] != old[:-1])
         block = np.flatnonzero(cut)
         many = np.diff(np.append(block, len(old)))
         rank = np.arange(len(old)) - np.repeat(block, many)
         to = old + size[old] - np.repeat(many, many) + rank
-        inside = np.zeros(len(old), bool)
         low = old + size[old] - np.repeat(many, many)
         here = slot[moved]
         inside = here >= low
@@ -106,12 +115,12 @@ def suffix_arrays(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
         size[old[block]] -= many
         size[to[lead]] = np.diff(np.append(lead, len(old)))
         group[moved] = np.repeat(to[lead], np.diff(np.append(lead, len(old))))
-    rank = np.full(n + 1, -1, np.int64)  # the last entry stands for "nothing follows"
+    rank = np.full(n + 1, -1, kind)  # the last entry stands for "nothing follows"
     out = np.empty(n, np.int64)
     for members, togo, after in reversed(steps):
         g = group[members]
         if len(members) > 1:
-            order = np.lexsort((rank[after], togo, g))
+            order = _order(g, togo, rank[after])
             members, g = members[order], g[order]
             cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             to = g + np.arange(len(g)) - np.repeat(cut, np.diff(np.append(cut, len(g))))
