@@ -1 +1 @@
-
+"""Statement scans: files to movements, accounts, balances and trades."""

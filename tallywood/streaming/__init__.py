@@ -1 +1 @@
-
+"""Ingest, feedback and recategorisation as Structured Streaming queries."""
