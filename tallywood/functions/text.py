@@ -52,7 +52,7 @@ def normalize_desc(text: Column) -> Column:
     """
     marks, one, to, longer = folding()
     text = F.coalesce(text, F.lit(""))
-    full = F.translate(F.translate(text, F.lit(one), F.lit(to)), F.lit(marks), F.lit(""))
+    full = F.translate(F.translate(text, one, to), marks, "")
     # Code points that become several letters are looked up only where there are any.
     table = F.create_map(*[F.lit(x) for pair in longer for x in pair])
     many = "[" + "".join(c for c, _ in longer) + "]"
