@@ -48,7 +48,7 @@ def partitions(df: DataFrame, per: int = 64 * MB) -> int:
 
 def chunk_of(docs: DataFrame, key: Column) -> Column:
     """The chunk of a document of a table: a few MB of text by a hash of the id."""
-    chunks = max(partitions(docs), -(-input_bytes(docs) // (2 * MB)))
+    chunks = max(partitions(docs), -(-input_bytes(docs) // MB))
     return F.pmod(F.xxhash64(key.cast("long")), F.lit(chunks)).cast("long")
 
 

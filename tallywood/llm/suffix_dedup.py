@@ -24,12 +24,12 @@ from .suffix_groups import suffix_arrays
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: A hash that so many chunks ask about is hot: its strings go to buckets one by one, by their own hash.
 HOT = 4096
-#: Stretches of one hash that make one string for the suffix array; beyond, they are dealt out by more of their bytes.
-TOGETHER = 256
+#: Stretches of one hash that make one string for the suffix array; more of them are dealt out by more of their bytes.
+TOGETHER = 32
 #: Symbols that go through the construction together.
-BATCH = 3 << 19
+BATCH = 1 << 20
 #: Bytes of stretches whose windows are looked at together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -190,44 +190,76 @@ def _first_starts(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.n
     return out
 
 
-def _apart(raw, off, key, least, window):
-    """Keys with very many stretches: single windows, keyed by half their bytes as well. The windows' least doc_ids, stretch by stretch."""
+def _solve(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, window: int, gram: int, level: int = 0) -> np.ndarray:
+    """For each window of each distinct stretch, stretch by stretch, the least doc_id it starts in. Crowded keys are split first."""
     size = np.diff(off)
     count = size - window + 1
-    of = np.repeat(np.arange(len(size)), count)
-    start = off[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    h = [span_hash(raw, start, start + window, w) for w in (1, 2)]
-    first, low, _ = group_minmax(h, least[of])
-    half = span_hash(raw, start[first], start[first] + window // 2, 3)
-    bits = np.full(len(first), window)
-    data = _take(raw, start[first], bits)
-    got = _first_starts(data, np.append(0, np.cumsum(bits)), half, low, window)
-    order = np.lexsort((h[1], h[0]))
-    group = np.cumsum(np.append(True, (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1]))) - 1
-    out = np.empty(len(of), np.int64)
-    out[order] = got[group]  # group_minmax lists groups in the same order
+    base = np.append(0, np.cumsum(count))
+    out = np.empty(int(base[-1]), np.int64)
+    _, inverse, many = np.unique(key, return_inverse=True, return_counts=True)
+    crowd = (many[inverse] > TOGETHER) & (level < 6)
+    for some, how in ((~crowd, _first_starts), (crowd, lambda *a: _apart(*a, gram, level + 1))):
+        u = np.flatnonzero(some)
+        if len(u):
+            got = how(_take(raw, off[u], size[u]), np.append(0, np.cumsum(size[u])), key[u], least[u], window)
+            out[np.repeat(base[u] - np.cumsum(count[u]) + count[u], count[u]) + np.arange(int(count[u].sum()))] = got
     return out
 
 
-def _runs(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, part: np.ndarray, window: int):
+def _apart(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, window: int, gram: int, level: int) -> np.ndarray:
+    """Crowded keys: stretches are cut where the least hash has moved through a part of the window, and what all windows of a piece have in common is the new key.
+
+    Where a window has its (first) least hash depends on its bytes alone, so
+    equal windows are in pieces of one key. At the last level a piece is one
+    window and its key is all of it.
+    """
+    size = np.diff(off)
+    count = size - window + 1
+    n = len(raw)
+    h = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    at = np.arange(n - gram + 1)
+    item = np.repeat(np.arange(len(size)), size)
+    at = at[at + gram <= off[item[at] + 1]]
+    h[at] = span_hash(raw, at, at + gram, 1)
+    spots = np.flatnonzero(h == np.minimum.reduceat(h, off[:-1])[item])
+    of = np.repeat(np.arange(len(size)), count)
+    start = off[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    spot = spots[np.searchsorted(spots, start)]
+    most = window - gram + 1
+    width = max(1, -(-most // (1 << level)))
+    part = (start - spot + most - 1) // width
+    head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (part[1:] != part[:-1]) | (spot[1:] != spot[:-1])))
+    windows = np.diff(np.append(head, len(of)))
+    low, bits = start[head], windows + window - 1
+    first = spot[head] - most + 1 + part[head] * width
+    core = span_hash(raw, first + width - 1, first + window, 3) if width > 1 else span_hash(raw, low, low + window, 3)
+    new = core ^ (part[head].astype(np.uint64) << np.uint64(32))
+    # Equal pieces once, with their least doc_id.
+    h1, h2 = span_hash(raw, low, low + bits, 1), span_hash(raw, low, low + bits, 2)
+    keys = [new, h1, h2]
+    one, less, _ = group_minmax(keys, least[of[head]])
+    order = np.lexsort(keys[::-1])
+    same = np.zeros(len(order), bool)
+    same[1:] = (new[order][1:] == new[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(~same) - 1
+    got = _solve(_take(raw, low[one], bits[one]), np.append(0, np.cumsum(bits[one])), new[one], less, window, gram, level)
+    at = np.append(0, np.cumsum(windows[one]))[which]
+    return got[np.repeat(at - np.cumsum(windows) + windows, windows) + np.arange(len(of))]
+
+
+def _runs(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, part: np.ndarray, window: int, gram: int):
     """For some of the stretches, all of their keys: runs of windows with one least doc_id as (stretch, first window, windows, doc_id)."""
     size = np.diff(off)[part]
     count = size - window + 1
     base = np.append(0, np.cumsum(count))
-    _, inverse, many = np.unique(key[part], return_inverse=True, return_counts=True)
-    crowd = many[inverse] > TOGETHER
-    starts = np.empty(int(base[-1]), np.int64)
-    for some, how in ((~crowd, _first_starts), (crowd, _apart)):
-        u = np.flatnonzero(some)
-        if len(u):
-            got = how(_take(raw, off[part[u]], size[u]), np.append(0, np.cumsum(size[u])), key[part[u]], least[part[u]], window)
-            starts[np.repeat(base[u] - np.cumsum(count[u]) + count[u], count[u]) + np.arange(int(count[u].sum()))] = got
+    starts = _solve(_take(raw, off[part], size), np.append(0, np.cumsum(size)), key[part], least[part], window, gram)
     of = np.repeat(np.arange(len(part)), count)
     head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (starts[1:] != starts[:-1])))
     return part[of[head]], head - base[of[head]], np.diff(np.append(head, len(of))), starts[head]
 
 
-def _earliest(table: pa.Table, window: int) -> list[tuple[int, bytes]]:
+def _earliest(table: pa.Table, window: int, gram: int) -> list[tuple[int, bytes]]:
     """To each chunk, the parts of its stretches that start in an earlier document elsewhere."""
     got = [unpack(v.as_py(), _STRETCHES) for v in table.column("payload")]
     raw, size, mark, less, upper, more = (np.concatenate([g[i] for g in got]) for i in range(6))
@@ -248,7 +280,7 @@ def _earliest(table: pa.Table, window: int) -> list[tuple[int, bytes]]:
     order = np.argsort(key, kind="stable")
     edge = np.append(True, key[order][1:] != key[order][:-1])
     place = (np.cumsum(size[first][order]) // SLICE)[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-    runs = [_runs(uraw, uoff, key, least, part, window) for part in np.split(order, np.flatnonzero(np.diff(place)) + 1)]
+    runs = [_runs(uraw, uoff, key, least, part, window, gram) for part in np.split(order, np.flatnonzero(np.diff(place)) + 1)]
     run_of, run_at, run_len, run_id = (np.concatenate([r[i] for r in runs]) for i in range(4))
     by_stretch = np.argsort(run_of, kind="stable")
     run_of, run_at, run_len, run_id = run_of[by_stretch], run_at[by_stretch], run_len[by_stretch], run_id[by_stretch]
@@ -326,7 +358,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = 16, key: str = "
     wide = 2 * buckets  # stretches are longer than hashes
     grams = answer(ask(base, lambda t: _grams(_Bytes(t, window, gram), buckets)), _repeated)
     parts = ask_again(base, grams, lambda t, got: _stretches(_Bytes(t, window, gram), got, wide))
-    ranges = answer(parts, lambda t: _earliest(t, window))
+    ranges = answer(parts, lambda t: _earliest(t, window, gram))
 
     def rows(table: pa.Table, got: pa.Table) -> pa.Table:
         b = _Bytes(table, window, gram)
