@@ -21,7 +21,12 @@ SEPARATOR = "---------"
 MOVEMENTS = ("Date", "Description", "Category", "Money in/out")
 INTEREST = ("only interest receipt", ("Date", "Description", "Gross rate"))
 SALES = ("only sales", ("Date (of Sale, of Purchase)",))
-_FILE = W.partitionBy("file").orderBy("line_no")
+
+
+def _file():
+    return W.partitionBy("file").orderBy("line_no")
+
+
 _CODE = r"\(([A-Z]{3})\)"
 FIELDS = {"institution": "bank_name", "bank": "bank_name", "account holding modality": "holding_modality", "holding modality": "holding_modality"}
 
@@ -46,11 +51,11 @@ def movements_table(lines: DataFrame) -> DataFrame:
     code = F.regexp_extract("first", _CODE, 1)
     titled = (code != "") & F.col("first").rlike("Account|Savings|Pocket") & ~F.col("closes")
     rows = rows.withColumn("title", F.when(titled, F.struct(F.col("first").alias("label"), code.alias("currency"))))
-    rows = rows.withColumn("of", F.last("title", ignorenulls=True).over(_FILE))
+    rows = rows.withColumn("of", F.last("title", ignorenulls=True).over(_file()))
     day = parse_date(F.col("first"))
     # opens: 1 at a header, 0 at whatever ends a table; other lines keep the state.
     state = F.when(F.col("closes") | titled, 0).when(_is(MOVEMENTS), F.when(F.col("of.currency") == CURRENCY, 1).otherwise(0)).when(day.isNull(), 0)
-    rows = rows.withColumn("day", day).withColumn("state", state).withColumn("open", F.last("state", ignorenulls=True).over(_FILE))
+    rows = rows.withColumn("day", day).withColumn("state", state).withColumn("open", F.last("state", ignorenulls=True).over(_file()))
     row = F.col("row")
     rows = rows.where((F.col("open") == 1) & F.col("state").isNull()).withColumn("amount", parse_money(cell(row, 3))).where("amount IS NOT NULL")
     return rows.select(
@@ -63,14 +68,14 @@ def section(lines: DataFrame, title: str, header: tuple[str, ...]) -> DataFrame:
     """(file, line_no, currency, row) of the tables under a title, from the header to the next blank line or separator."""
     rows = _cut(lines)
     code = F.when(F.col("first").rlike("Account|Savings|Statements"), F.nullif(F.regexp_extract("first", _CODE, 1), F.lit("")))
-    rows = rows.withColumn("currency", F.last(code, ignorenulls=True).over(_FILE))
+    rows = rows.withColumn("currency", F.last(code, ignorenulls=True).over(_file()))
     # 0 closed, 1 armed by the title, 2 at a header: a header counts only if armed.
     event = F.when(F.col("closes"), 0).when(F.col("first").contains(title), 1).when(_is(header), 2)
     rows = rows.withColumn("event", event)
-    told = F.last("event", ignorenulls=True).over(_FILE)
-    before = F.last("event", ignorenulls=True).over(_FILE.rowsBetween(W.unboundedPreceding, -1))
+    told = F.last("event", ignorenulls=True).over(_file())
+    before = F.last("event", ignorenulls=True).over(_file().rowsBetween(W.unboundedPreceding, -1))
     armed = F.when(F.col("event") == 2, F.when(before == 1, 2).otherwise(F.lit(None))).otherwise(F.col("event"))
-    rows = rows.withColumn("told", told).withColumn("armed", armed).withColumn("open", F.last("armed", ignorenulls=True).over(_FILE))
+    rows = rows.withColumn("told", told).withColumn("armed", armed).withColumn("open", F.last("armed", ignorenulls=True).over(_file()))
     return rows.where((F.col("open") == 2) & F.col("event").isNull()).select("file", "line_no", "currency", "row")
 
 
@@ -104,7 +109,7 @@ def accounts(lines: DataFrame) -> DataFrame:
     rows = _cut(lines).where(~F.col("closes"))
     title = r"^(.*\b(?:Account|Savings|Pocket)\b.*?)\s*\(([A-Z]{3})\)\s*$"
     named = F.when(F.col("first").rlike(title), F.struct(F.regexp_extract("first", title, 1).alias("product"), F.regexp_extract("first", title, 2).alias("currency")))
-    rows = rows.withColumn("title", named).withColumn("of", F.last("title", ignorenulls=True).over(_FILE)).where("of IS NOT NULL")
+    rows = rows.withColumn("title", named).withColumn("of", F.last("title", ignorenulls=True).over(_file())).where("of IS NOT NULL")
     rows = rows.withColumn("account_id", account_id(F.col("of.product"), F.col("of.currency"), SOURCE)).withColumn("label", F.lower("first")).withColumn("value", cell(F.col("row"), 1))
     known = F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv])
     what = F.when(F.col("label").startswith("iban"), "iban").otherwise(F.element_at(known, F.col("label")))
