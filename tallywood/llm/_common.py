@@ -35,9 +35,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a plan; for a file scan the bytes of the files, without reading them."""
+    """The optimizer's size of a plan; for a file scan the bytes of the files, without reading them. 0 where it can't tell (it then says 2**50 or more)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 55)
+    return size if size < 1 << 50 else 0
 
 
 def partitions(df: DataFrame, per: int = 64 * MB) -> int:

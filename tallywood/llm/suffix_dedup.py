@@ -152,8 +152,11 @@ def _first_starts(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.n
     s = key[order]
     cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(s))
+    # A key with one stretch has nothing to be ordered against: its windows start in that stretch's documents alone.
+    several = ends - cut > 1
     # Long keys last, so that strings of like length go through the construction together.
     symbols_in = np.add.reduceat(size[order] + 1, cut) if len(cut) else cut
+    cut, ends, symbols_in = cut[several], ends[several], symbols_in[several]
     by_size = np.argsort(symbols_in, kind="stable")
     spent = np.cumsum(symbols_in[by_size]) // BATCH
     for batch in np.split(by_size, np.flatnonzero(np.diff(spent)) + 1) if len(by_size) else []:
