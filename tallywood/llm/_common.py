@@ -193,9 +193,11 @@ def group_minmax(order_keys: list[np.ndarray], value: np.ndarray):
 
 def by_bucket(bucket: np.ndarray):
     """(bucket, rows) for each bucket present."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     s = bucket[order]
-    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
     for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
         yield int(s[a]), order[a:b]
 
