@@ -30,14 +30,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def padded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all documents in whole halves, and each document's first half (one more at the end). An empty text is one half of padding."""
+    """Symbols of all documents in whole halves, and each document's first half (one more at the end). An empty text is one half of padding.
+
+    Texts begin WIDTH - STRIDE symbols into their first half and have as much
+    padding after them at least, so no filter sees two documents.
+    """
     size = np.diff(off)
     halves = (size + WIDTH - STRIDE + HALF - 1) // HALF
     halves = np.maximum(halves, 1)
     first = np.append(0, np.cumsum(halves))
     out = np.full(int(first[-1]) * HALF + WIDTH, PAD, np.int16)
     if len(raw):
-        out[np.arange(len(raw)) + np.repeat(first[:-1] * HALF - off[:-1], size)] = raw
+        out[np.arange(len(raw)) + np.repeat(first[:-1] * HALF + WIDTH - STRIDE - off[:-1], size)] = raw
     return out, first
 
 
