@@ -204,7 +204,7 @@ _FEEDBACK = "(SELECT cast(conv_id as varchar(20)) AS natural_key, role AS catego
 register("feedback_latest", "conversations", f"SELECT natural_key, arg_max(category, id) AS category FROM {_FEEDBACK} GROUP BY 1")(
     lambda c: merge.latest(c.select(F.col("conv_id").cast("string").alias("natural_key"), F.col("role").alias("category"), F.col("turn").alias("id")), "natural_key", "category", "id")
 )
-_FIX = "(SELECT natural_key, CASE file_id % 3 WHEN 0 THEN 'rent' WHEN 1 THEN 'dining' ELSE category END AS category, file_id AS id FROM {ledger} WHERE file_id % 4 = 0 UNION ALL SELECT natural_key, 'fees' AS category, -1 AS id FROM {ledger})"
+_FIX = "(SELECT natural_key, CASE file_id % 3 WHEN 0 THEN 'rent' WHEN 1 THEN 'dining' ELSE category END AS category, file_id AS id FROM {ledger} WHERE amount > 0 UNION ALL SELECT natural_key, 'fees' AS category, -1 AS id FROM {ledger})"
 register("feedback_reapply", "ledger", f", f AS (SELECT natural_key, arg_max(category, id) AS corrected FROM {_FIX.format(ledger='ledger')} GROUP BY 1) SELECT l.natural_key, corrected AS category FROM ledger l JOIN f ON f.natural_key = l.natural_key WHERE l.category IS DISTINCT FROM corrected OR l.category_source IS DISTINCT FROM 'manual'")(
     lambda lg: merge.reapply_feedback(lg, lg.sparkSession.sql(f"SELECT * FROM {_FIX}", ledger=lg))
 )
@@ -236,14 +236,14 @@ register("recurring_merged", "series")(lambda s: recurrence.detect(s, "2026-01-0
 register("recurring_summary", "series")(lambda s: recurrence.summary(recurrence.groups(s, "2026-01-01")))
 
 # ---------------------------------------------------------------- coverage
-_COV = f""", days AS (SELECT DISTINCT source, day FROM (SELECT source, value_date AS day FROM ledger WHERE file_id % 50 = 0 UNION ALL SELECT source, balance_date FROM balances)),
+_COV = """, mov AS (SELECT concat(lower(merchant), native_category) AS source, value_date FROM ledger), days AS (SELECT DISTINCT source, day FROM (SELECT source, value_date AS day FROM mov UNION ALL SELECT source, balance_date FROM balances)),
 g AS (SELECT *, lead(day) OVER (PARTITION BY source ORDER BY day) AS next_day, lead(day) OVER (PARTITION BY source ORDER BY day) - day AS gap FROM days),
 h AS (SELECT g.source, g.day AS from_date, next_day AS to_date, gap AS days FROM g JOIN (SELECT source, CASE WHEN count(*) >= 3 THEN median(gap) END AS rhythm FROM g GROUP BY 1) r ON r.source = g.source WHERE gap > coalesce(greatest(45.0, 1.8 * rhythm), 45.0)),
 an AS (SELECT source, balance_date AS day, lead(balance_date) OVER (PARTITION BY source ORDER BY balance_date) - balance_date AS gap FROM (SELECT DISTINCT source, balance_date FROM balances)),
 ra AS (SELECT source, count(*) AS n_anchors, CASE WHEN count(*) >= 3 THEN median(gap) END AS rhythm FROM an GROUP BY 1)"""
-_cov = lambda lg: lg.where("file_id % 50 = 0")  # noqa: E731  sparse, so that there are holes: what is sampled is the fixture
+_cov = lambda lg: lg.withColumn("source", F.concat(F.lower("merchant"), "native_category"))  # noqa: E731  narrow sources, so that there are holes
 register("coverage_holes", "ledger balances", _COV + " SELECT * FROM h")(lambda lg, b: coverage.holes(_cov(lg), b))
-register("coverage_report", "ledger balances", _COV + """, s AS (SELECT source, min(day) AS a, max(day) AS b FROM days GROUP BY 1), m AS (SELECT source, count(*) AS n FROM ledger WHERE file_id % 50 = 0 GROUP BY 1), w AS (SELECT source, count(*) AS n, max(days) AS d FROM h GROUP BY 1)
+register("coverage_report", "ledger balances", _COV + """, s AS (SELECT source, min(day) AS a, max(day) AS b FROM days GROUP BY 1), m AS (SELECT source, count(*) AS n FROM mov GROUP BY 1), w AS (SELECT source, count(*) AS n, max(days) AS d FROM h GROUP BY 1)
   SELECT s.source, coalesce(m.n, 0) AS n_movements, coalesce(n_anchors, 0) AS n_anchors, a AS covered_from, b AS covered_until, CAST(round_even(rhythm, 0) AS INTEGER) AS anchor_cadence_days, DATE '1999-01-01' - b AS stale_days,
   DATE '1999-01-01' - b > coalesce(greatest(45.0, 1.5 * rhythm), 45.0) AS stale, coalesce(w.n, 0) AS n_holes, coalesce(w.d, 0) AS widest_hole FROM s LEFT JOIN m ON m.source = s.source LEFT JOIN ra ON ra.source = s.source LEFT JOIN w ON w.source = s.source""")(
     lambda lg, b: coverage.report(_cov(lg), b, "1999-01-01")
@@ -292,14 +292,14 @@ register("macro_f1", "vectors", f", p AS (SELECT * FROM {_PRED}), l AS (SELECT a
 def _training(ledger: DataFrame, labels: DataFrame) -> DataFrame:
     t = ledger.select(F.col("file_id").alias("id"), "natural_key", F.col("merchant").alias("text"), "category", "category_source")
     lab = labels.select(F.col("doc_id").alias("id"), F.concat(F.lit("Supplier#"), F.lpad((F.col("doc_id") % 50).cast("string"), 9, "0")).alias("text_norm"), F.when(F.col("quality") == 1, "salary").otherwise("other").alias("category"), F.when(F.col("toxic") == 1, "manual").otherwise("llm").alias("source"))
-    fix = t.where("id % 701 = 0").select("id", "natural_key", F.lit("fees").alias("category"))
+    fix = ledger.where("amount > 90000").select(F.col("file_id").alias("id"), "natural_key").withColumn("category", F.lit("fees"))
     return C.training_set(t.groupBy("text").agg(F.max_by("id", F.struct("id", "natural_key")).alias("id"), F.max_by("natural_key", F.struct("id", "natural_key")).alias("natural_key"), F.max_by("category", F.struct("id", "natural_key")).alias("category"), F.max_by("category_source", F.struct("id", "natural_key")).alias("category_source")), lab, fix)
 
 
 SQL["training_set"] = _with("ledger", """, t AS (SELECT merchant AS text, max(k) AS m FROM (SELECT merchant, {'i': file_id, 'n': natural_key, 'c': category, 's': category_source} AS k FROM ledger) GROUP BY 1),
 u AS (SELECT text, m.i AS id, m.n AS natural_key, m.c AS category, m.s AS category_source FROM t),
 l AS (SELECT doc_id AS id, 'Supplier#' || lpad(CAST(doc_id % 50 AS VARCHAR), 9, '0') AS text, CASE WHEN quality = 1 THEN 'salary' ELSE 'other' END AS category, CASE WHEN toxic = 1 THEN 2 ELSE 1 END AS level FROM labels),
-f AS (SELECT natural_key, max(file_id) AS id FROM ledger WHERE file_id % 701 = 0 GROUP BY 1),
+f AS (SELECT natural_key, max(file_id) AS id FROM ledger WHERE amount > 90000 GROUP BY 1),
 r AS (SELECT text, category, 0 AS level, id FROM u WHERE category_source IN ('rule', 'mcc') UNION ALL SELECT text, category, level, id FROM l UNION ALL SELECT u.text, 'fees', 3, f.id FROM f JOIN u ON u.natural_key = f.natural_key)
 SELECT * FROM (SELECT text, arg_max(category, {'l': level, 'i': id}) AS category FROM r WHERE text <> '' GROUP BY 1) WHERE category <> 'other'""")
 register("class_filter", "documents", "SELECT doc_id, source AS category FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 45)")(lambda d: C.class_filter(d.select("doc_id", F.col("source").alias("category")), 45))
