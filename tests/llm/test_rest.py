@@ -28,6 +28,14 @@ def docs(spark, rows):
 
 
 # ------------------------------------------------------------------ quality
+def test_repeated_rows_are_learned_from_once(spark):
+    ids = [i for i in range(40) if crc_rest(i) != 2]
+    rows = [(i, f"{'good clear prose' if i % 2 else 'buy now click'} {i}", "a") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    once, thrice = train(docs(spark, rows), labels), train(docs(spark, rows * 3), labels)
+    assert all(np.array_equal(once.p[k], thrice.p[k]) for k in once.p)
+
+
 def test_gradients():
     net = Net(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
