@@ -3,8 +3,8 @@
 A mask picks 8 of 12 consecutive words; the hash of the picked words is the
 seed of that position, so a seed survives substitutions at the positions its
 mask ignores. Seeds of the documents are joined with those of the benchmark,
-and around each hit the two texts are compared word by word along the hit's
-diagonal: the overlap is the best-scoring stretch through it.
+and the two texts are compared word by word along the whole of each diagonal
+that has a hit.
 """
 
 from __future__ import annotations
@@ -20,22 +20,52 @@ from ._common import flat, mix, slices, span_hash, words
 from .near_dedup import lowered
 
 MASKS = ("110110101101", "101101011011", "111010010111")
-SPAN = len(MASKS[0])
 #: Benchmark items that are looked for in one pass over the documents.
 BLOCK_ITEMS = 20_000
-#: A mismatch costs as much as so many matches in scoring an overlap.
-PENALTY = 3
+#: Hits, or words along their diagonals, that are held at a time.
+HELD = 1 << 20
 RESULT = "doc_id long, item_id long, n_matched long, n_overlap long, doc_start long, item_start long"
 
 
 def _seeds(h: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
-    out = np.zeros(len(at), np.uint64)
+    out = np.full(len(at), int(mask, 2), np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
             out += h[at + j] * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & (2**64 - 1))
     return mix(out)
 
 
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes add up to HELD at most (or of one entry)."""
+    total, i = np.append(0, np.cumsum(sizes)), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + HELD, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each entry, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def overlap(same: np.ndarray, percent: int) -> tuple[int, int, int]:
+    """(matched, length, start) of the stretch with the most matches of which at least ``percent`` of the words match; the shortest, then the first, of several."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    score = np.append(0, np.cumsum(np.where(same, 100 - percent, -percent)))
+    count = np.append(0, np.cumsum(same))
+    # The furthest start for each end is where the score first was no higher than at the end.
+    start = np.searchsorted(-np.minimum.accumulate(score), -score[at + 1], "left")
+    matched = count[at + 1] - count[start]
+    most = int(matched.max())
+    last = np.flatnonzero(matched == most)
+    length = at[last] - at[last - most + 1] + 1
+    one = int(np.argmin(length))
+    return most, int(length[one]), int(at[last[one] - most + 1])
+
+
 class Benchmark:
     """The seeds of some benchmark items, ready for look-up."""
 
@@ -48,9 +78,10 @@ class Benchmark:
         self.h = span_hash(raw, start, end, 1)
         self.first = np.searchsorted(row, np.arange(len(items) + 1))
         size = np.diff(self.first)
-        seeds, where, kind = [], [], []
-        # Items shorter than a mask have one seed, of all their words.
-        self.masks = [*MASKS, *["1" * n for n in sorted({int(n) for n in size if 0 < n < SPAN})]]
+        seeds, where = [], []
+        # Items shorter than all masks have one seed, of all their words.
+        shortest = len(MASKS[0])
+        self.masks = [*MASKS, *["1" * n for n in sorted({int(n) for n in size if 0 < n < shortest})]]
         for k, mask in enumerate(self.masks):
             n = len(mask)
             if k < len(MASKS):
@@ -59,49 +90,40 @@ class Benchmark:
                 at = self.first[:-1][size == n]
             seeds.append(_seeds(self.h, at, mask))
             where.append(at)
-            kind.append(np.full(len(at), k))
-        seed, where, kind = np.concatenate(seeds), np.concatenate(where), np.concatenate(kind)
+        seed, where = np.concatenate(seeds), np.concatenate(where)
         order = np.argsort(seed, kind="stable")
-        self.seed, self.where, self.kind, self.row = seed[order], where[order], kind[order], row
+        self.seed, self.where, self.row = seed[order], where[order], row
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.seed >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """(document row, item, document word - item word, document word, item word) of each diagonal with a hit, one hit for each."""
-        found = []
+    def diagonals(self, h: np.ndarray, row: np.ndarray) -> Iterator[np.ndarray]:
+        """(document row, item, document word - item word) of each diagonal with a hit; one may come again in a later part."""
+        hit, lo, many = [], [], []
         n = len(h)
-        for k, mask in enumerate(self.masks):
+        for mask in self.masks:
             if n < len(mask):
                 continue
             at = np.flatnonzero(row[: n - len(mask) + 1] == row[len(mask) - 1 :])
             seed = _seeds(h, at, mask)
             some = self.sieve[(seed >> np.uint64(42)).astype(np.int64)]
             at, seed = at[some], seed[some]
-            lo, hi = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
-            many = hi - lo
-            i = np.repeat(np.arange(len(at)), many)
-            j = np.repeat(lo, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-            same = self.kind[j] == k
-            p, q = at[i[same]], self.where[j[same]]
-            found.append(np.stack([row[p], self.row[q], p - q, p, q], 1))
-        if not found:
-            return np.zeros((0, 5), np.int64)
-        found = np.concatenate(found)
-        _, one = np.unique(found[:, :3], axis=0, return_index=True)
-        return found[one]
-
-    def overlap(self, h: np.ndarray, first: int, last: int, p: int, q: int) -> tuple[int, int, int]:
-        """(matched, length, words before the hit) of the best-scoring stretch through words p of the document (first..last) and q of the item."""
-        item = int(self.row[q])
-        back = min(p - first, q - int(self.first[item]))
-        on = min(last - p, int(self.first[item + 1]) - q)
-        same = h[p - back : p + on] == self.h[q - back : q + on]
-        score = np.where(same, 1, -PENALTY)
-        right = int(np.argmax(np.cumsum(score[back:]))) + 1
-        before = np.cumsum(score[:back][::-1])
-        left = int(np.argmax(before)) + 1 if back and before.max() > 0 else 0
-        part = same[back - left : back + right]
-        return int(part.sum()), len(part), left
+            left, right = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
+            some = right > left
+            hit.append(at[some])
+            lo.append(left[some])
+            many.append((right - left)[some])
+        if not hit:
+            return
+        hit, lo, many = np.concatenate(hit), np.concatenate(lo), np.concatenate(many)
+        order = np.argsort(hit, kind="stable")
+        hit, lo, many = hit[order], lo[order], many[order]
+        for a, z in _parts(many):
+            p, q = np.repeat(hit[a:z], many[a:z]), self.where[_ranges(lo[a:z], many[a:z])]
+            # Along a diagonal the difference stays, so that it tells diagonals of one document and item apart.
+            width = n + len(self.row)
+            key = np.unique((row[p] * len(self.ids) + self.row[q]) * width + p - q + len(self.row))
+            pair, diagonal = key // width, key % width - len(self.row)
+            yield np.stack([pair // len(self.ids), pair % len(self.ids), diagonal], 1)
 
 
 def _found(bench: Benchmark, raw: np.ndarray, off: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -110,12 +132,22 @@ def _found(bench: Benchmark, raw: np.ndarray, off: np.ndarray, least: int, perce
     h = span_hash(raw, start, end, 1)
     first = np.searchsorted(row, np.arange(len(off)))
     best: dict[tuple[int, int], tuple] = {}
-    for d, item, _, p, q in bench.hits(h, row).tolist():
-        matched, length, left = bench.overlap(h, first[d], first[d + 1], p, q)
-        enough = min(least, int(bench.first[item + 1] - bench.first[item]))
-        if matched >= enough and 100 * matched >= percent * length:
-            got = (matched, -length, -(p - left), -(q - left))
-            best[d, item] = max(best.get((d, item), got), got)
+    for found in bench.diagonals(h, row):
+        d, item, diagonal = found.T
+        enough = np.minimum(least, bench.first[item + 1] - bench.first[item])
+        q = np.maximum(bench.first[item], first[d] - diagonal)
+        size = np.minimum(bench.first[item + 1], first[d + 1] - diagonal) - q
+        for a, z in _parts(size):
+            at = _ranges(q[a:z], size[a:z])
+            same = h[at + np.repeat(diagonal[a:z], size[a:z])] == bench.h[at]
+            head = np.cumsum(size[a:z]) - size[a:z]
+            for k in np.flatnonzero(np.add.reduceat(same, head, dtype=np.int64) >= enough[a:z]).tolist():
+                matched, length, skip = overlap(same[head[k] : head[k] + size[a + k]], percent)
+                if matched >= enough[a + k]:
+                    i = a + k
+                    pair, word = (int(d[i]), int(item[i])), int(q[i]) + skip
+                    got = (matched, -length, -(word + int(diagonal[i])), -word)
+                    best[pair] = max(best.get(pair, got), got)
     return [(d, int(bench.ids[i]), m, -n, int(-p - first[d]), int(-q - bench.first[i])) for (d, i), (m, n, p, q) in sorted(best.items())]
 
 
@@ -134,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, percent
     An overlap counts if it has ``least`` matching words, or all words of a
     shorter item, and at least ``percent`` of its words match; words are compared
     with A-Z in lower case. Of several overlaps with an item the one with the
-    most matches is reported. A null or empty text, or item, overlaps with
+    most matches is reported, then the shortest, then the first. A null or empty text, or item, overlaps with
     nothing. Repeated rows are reported for each; a null doc_id is reported as
     null. An empty table on either side gives an empty result. Extra columns are
     ignored. Documents are never shuffled, so hot sources don't matter.

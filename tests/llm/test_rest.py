@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywood.llm.chat_format import CLOSE, OPEN, preference_pairs
-from tallywood.llm.decontaminate import contaminated, decontaminate
+from tallywood.llm.decontaminate import Benchmark, _found, contaminated, decontaminate
 from tallywood.llm.html_extract import entropy, extract_text, main_text, parse, style_tree
 from tallywood.llm.mixing import mix_sources, repeated
 from tallywood.llm.quality import Net, crc_rest, fit, keep_good, padded, score_documents, train
@@ -201,6 +201,38 @@ def test_contaminated(spark):
 
 
 # ------------------------------------------------------------------ sharding
+def brute_overlaps(doc: list[str], item: list[str], least: int = 10, percent: int = 75):
+    """(matched, -length, -document word, -item word) of the best of all stretches of all diagonals that counts."""
+    best = None
+    for shift in range(-len(item) + 1, len(doc)):
+        p, q = max(shift, 0), max(-shift, 0)
+        same = [a == b for a, b in zip(doc[p:], item[q:], strict=False)]
+        for i in range(len(same)):
+            m = 0
+            for j in range(i, len(same)):
+                m += same[j]
+                if m >= min(least, len(item)) and 100 * m >= percent * (j - i + 1):
+                    got = (m, i - j - 1, -p - i, -q - i)
+                    best = max(best or got, got)
+    return best
+
+
+def overlaps(doc: list[str], item: list[str], least: int = 10, percent: int = 75):
+    raw = " ".join(doc).encode()
+    got = _found(Benchmark([(5, " ".join(item))]), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), least, percent)
+    return None if not got else (got[0][2], -got[0][3], -got[0][4], -got[0][5])
+
+
+def test_all_of_a_diagonal_is_looked_at():
+    put = lambda part, *at: [f"x{i}" if i in at else w for i, w in enumerate(part)]
+    # A weak stretch first, then a strong one, on one diagonal.
+    long = [f"w{i}" for i in range(92)]
+    weak = put(long, 2, 5, 7, 10, *range(12, 32))
+    assert overlaps(weak, long) == brute_overlaps(weak, long) == (63, -84, -8, -8)
+    for gone in (8, 9):
+        assert overlaps(put(long[:12], gone), long[:12]) == (11, -12, 0, 0)
+
+
 def brute_shard(name: str, shards: list[Shard]) -> int:
     u = lambda path: (int(hashlib.md5(f"{path}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
     draw = lambda path, w: -math.log(u(path)) / w
