@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask picks 8 of 12 consecutive words; the hash of the picked words is the
-seed of that position, so a seed survives substitutions at the positions its
-mask ignores. Seeds of the documents are joined with those of the benchmark,
-and the two texts are compared word by word along the whole of each diagonal
-that has a hit.
+A mask picks 5 words of a few consecutive ones; the hash of the picked words is
+the seed of that position, so a seed survives substitutions at the positions its
+mask ignores. The four masks lose nothing: every stretch with 10 matching words,
+75 % or more of its words, has a seed (of longer stretches, one half counts as
+well; all shorter ones are gone through in the tests). Seeds of the documents
+are joined with those of the benchmark, and the two texts are compared word by
+word along the whole of each diagonal that has a hit.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from ._common import flat, mix, slices, span_hash, words
 from .near_dedup import lowered
 
-MASKS = ("110110101101", "101101011011", "111010010111")
+#: These find every overlap of LEAST matching words or more, PERCENT or more of its words.
+MASKS = ("11111", "110111", "100001111", "1101000011")
+LEAST, PERCENT = 10, 75
 #: Benchmark items that are looked for in one pass over the documents.
 BLOCK_ITEMS = 20_000
 #: Hits, or words along their diagonals, that are held at a time.
@@ -35,6 +39,14 @@ def _seeds(h: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def masks_for(least: int, percent: int) -> tuple[str, ...]:
+    """Masks that find every overlap of ``least`` matching words, ``percent`` of its words: below the usual ones, the run of matches that can't be avoided."""
+    if least >= LEAST and percent >= PERCENT:
+        return MASKS
+    # m matches lie in one run more than there are mismatches; the average is least where a mismatch was just allowed.
+    return ("1" * min(-(-m // (m * (100 - percent) // percent + 1)) for m in range(least, least + 101)),)
+
+
 def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of entries whose sizes add up to HELD at most (or of one entry)."""
     total, i = np.append(0, np.cumsum(sizes)), 0
@@ -69,7 +81,7 @@ def overlap(same: np.ndarray, percent: int) -> tuple[int, int, int]:
 class Benchmark:
     """The seeds of some benchmark items, ready for look-up."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
         data = pa.array([(t or "").encode() for _, t in items], pa.binary())
         raw, off = flat(data)
         raw = lowered(raw)
@@ -80,11 +92,11 @@ class Benchmark:
         size = np.diff(self.first)
         seeds, where = [], []
         # Items shorter than all masks have one seed, of all their words.
-        shortest = len(MASKS[0])
-        self.masks = [*MASKS, *["1" * n for n in sorted({int(n) for n in size if 0 < n < shortest})]]
+        shortest = min(map(len, masks))
+        self.masks = [*masks, *["1" * n for n in sorted({int(n) for n in size if 0 < n < shortest})]]
         for k, mask in enumerate(self.masks):
             n = len(mask)
-            if k < len(MASKS):
+            if k < len(masks):
                 at = np.flatnonzero(np.arange(len(row)) + n <= self.first[row + 1]) if len(row) else np.zeros(0, np.int64)
             else:
                 at = self.first[:-1][size == n]
@@ -151,13 +163,13 @@ def _found(bench: Benchmark, raw: np.ndarray, off: np.ndarray, least: int, perce
     return [(d, int(bench.ids[i]), m, -n, int(-p - first[d]), int(-q - bench.first[i])) for (d, i), (m, n, p, q) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Benchmark]:
+def _blocks(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...]) -> Iterator[Benchmark]:
     """The benchmark in blocks of a bounded number of items; each is small enough to be sent to all tasks."""
     rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     blocks = -(-rows.count() // BLOCK_ITEMS)
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        yield Benchmark(sorted((r[0], r[1]) for r in part.collect()))
+        yield Benchmark(sorted((r[0], r[1]) for r in part.collect()), masks)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, percent: int = 75, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -173,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, percent
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
-    for bench in _blocks(benchmark, item, "text"):
+    for bench in _blocks(benchmark, item, "text", masks_for(least, percent)):
 
         def run(batches, bench=bench):
             for batch in batches:
@@ -194,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, percent
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 10, percent: int = 75, text: str = "text") -> DataFrame:
     """The documents, with all their columns, that overlap with no benchmark item; see :func:`contaminated`."""
-    for bench in _blocks(benchmark, "item_id", "text"):
+    for bench in _blocks(benchmark, "item_id", "text", masks_for(least, percent)):
 
         def run(batches, bench=bench):
             for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywood.llm.chat_format import CLOSE, OPEN, preference_pairs
-from tallywood.llm.decontaminate import Benchmark, _found, contaminated, decontaminate
+from tallywood.llm.decontaminate import MASKS, Benchmark, _found, contaminated, decontaminate, masks_for
 from tallywood.llm.html_extract import entropy, extract_text, main_text, parse, style_tree
 from tallywood.llm.mixing import mix_sources, repeated
 from tallywood.llm.quality import Net, crc_rest, fit, keep_good, padded, score_documents, train
@@ -219,7 +220,7 @@ def brute_overlaps(doc: list[str], item: list[str], least: int = 10, percent: in
 
 def overlaps(doc: list[str], item: list[str], least: int = 10, percent: int = 75):
     raw = " ".join(doc).encode()
-    got = _found(Benchmark([(5, " ".join(item))]), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), least, percent)
+    got = _found(Benchmark([(5, " ".join(item))], masks_for(least, percent)), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), least, percent)
     return None if not got else (got[0][2], -got[0][3], -got[0][4], -got[0][5])
 
 
@@ -233,6 +234,41 @@ def test_all_of_a_diagonal_is_looked_at():
         assert overlaps(put(long[:12], gone), long[:12]) == (11, -12, 0, 0)
 
 
+def test_masks_find_every_overlap():
+    """All stretches with 10 matches and 75 % have a seed. One of 26 words or more has a half that counts too."""
+    for n in range(10, 26):
+        for k in range(min(n // 4, n - 10) + 1):
+            for gone in itertools.combinations(range(1, n - 1), k):
+                # A part that counts by itself was gone through as a shorter stretch.
+                if n > 13 and any(4 * sum(g < x for g in gone) <= x and x - sum(g < x for g in gone) >= 10 for x in range(10, n)):
+                    continue
+                s = "".join("0" if i in gone else "1" for i in range(n))
+                assert any(all(c == "0" or s[i + j] == "1" for j, c in enumerate(m)) for m in MASKS for i in range(n - len(m) + 1)), s
+
+
+def test_overlaps_match_brute_force():
+    item = [f"w{i}" for i in range(60)]
+    put = lambda part, *at: [f"x{i}" if i in at else w for i, w in enumerate(part)]
+    assert overlaps(item[20:30], item) == overlaps(item[20:30], item[:40]) == (10, -10, 0, -20)
+    for size, gone in ((12, 0), (12, 11), (12, 8), (12, 9), (11, 5), (11, 2)):
+        assert overlaps(put(item[:size], gone), item[:size])[0] == size - 1 and overlaps(put(item[:size], gone), item[:size]) == brute_overlaps(put(item[:size], gone), item[:size])
+    assert overlaps(put(item, *range(3, 60, 4)), item)[0] == 45
+    assert overlaps(item[:9] + ["x"] * 4 + item[13:22], item[:22])[:2] == (18, -22)
+    rng = random.Random(4)
+    found = 0
+    for k in range(400):
+        item = [f"w{rng.randint(0, rng.choice((3, 400)))}" for _ in range(rng.randint(1, 34))]
+        a = rng.randint(0, len(item) - 1)
+        part = item[a : rng.randint(a + 1, len(item))] if rng.random() < 0.5 else item
+        part = put(part, *rng.sample(range(len(part)), rng.randint(0, len(part) // 4)))
+        doc = [f"y{rng.randint(0, 9)}" for _ in range(rng.randint(0, 9))] + part + [f"y{i}" for i in range(rng.randint(0, 9))]
+        least, percent = (6, 60) if k % 3 == 2 else (10, 75)
+        want = brute_overlaps(doc, item, least, percent)
+        assert overlaps(doc, item, least, percent) == want
+        found += want is not None
+    assert found > 150
+
+
 def brute_shard(name: str, shards: list[Shard]) -> int:
     u = lambda path: (int(hashlib.md5(f"{path}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
     draw = lambda path, w: -math.log(u(path)) / w
