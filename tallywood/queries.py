@@ -233,7 +233,7 @@ FROM e WHERE reg >= 0.7 AND med <> 0 AND (alike / (n - 1) >= 0.7 OR reg >= 0.9)"
 _G = ["key", "outgoing", "n_occurrences", "first_date", "last_date", "amount", "amount_min", "amount_max", "cadence", "regularity", "active"]
 register("recurring_groups", "series", _GROUPS)(lambda s: recurrence.groups(s, "2026-01-01").select(_G))
 register("recurring_merged", "series")(lambda s: recurrence.detect(s, "2026-01-01"))
-register("recurring_summary", "series")(lambda s: recurrence.summary(recurrence.groups(s, "2026-01-01")))
+register("recurring_summary", "series")(lambda s: recurrence.summary(recurrence.detect(s, "2026-01-01")))
 
 # ---------------------------------------------------------------- coverage
 _COV = """, mov AS (SELECT concat(lower(merchant), native_category) AS source, value_date FROM ledger), days AS (SELECT DISTINCT source, day FROM (SELECT source, value_date AS day FROM mov UNION ALL SELECT source, balance_date FROM balances)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import statistics
 import unicodedata
 from datetime import date, timedelta
 from decimal import Decimal
@@ -10,10 +11,12 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tallywood import queries
 from tallywood.functions import money as M
 from tallywood.functions import text as X
 from tallywood.operators import categorize as C
 from tallywood.operators import coverage, detect, merge, query, recurrence, transfers, views
+from tallywood.plans import adapters as A
 from tallywood.plans import vocabulary as V
 from tallywood.sources import broker_csv, consolidated_csv, registry
 from tallywood.sources.lines import number_lines
@@ -110,6 +113,66 @@ def test_recurring(spark):
     assert not late["netflix"].active and late["netflix"].next_expected is None
 
 
+def plain_qualify(rows, horizon):
+    """One group of (day, amount, category, natural_key, account) as (cadence, amount, monthly, active, category, first, last), or nothing."""
+    days = {}
+    for r in rows:
+        days[r.value_date] = days.get(r.value_date, Decimal(0)) + r.amount
+    order = sorted(days)
+    if len(order) < 3:
+        return None
+    gaps = [(b - a).days for a, b in itertools.pairwise(order)]
+    mid = statistics.median(gaps)
+    hit = next((c for c in V.CADENCES if c[1] <= mid <= c[2]), None)
+    regular = hit and sum(hit[1] <= g <= hit[2] for g in gaps) / len(gaps)
+    amount = statistics.median([days[d] for d in order]).quantize(Decimal("0.01"))
+    if hit is None or regular < 0.7 or amount == 0:
+        return None
+    sizes = [(min(abs(days[a]), abs(days[b])), max(abs(days[a]), abs(days[b]))) for a, b in itertools.pairwise(order)]
+    if sum(lo > 0 and hi / lo <= Decimal("1.5") for lo, hi in sizes) / len(sizes) < 0.7 and regular < 0.9:
+        return None
+    active = (horizon - order[-1] - timedelta(days=round(mid))).days <= max(21, 0.35 * mid)
+    latest = max(rows, key=lambda r: (r.value_date, r.natural_key))
+    return hit[0], amount, (amount * Decimal("30.44") / Decimal(str(mid))).quantize(Decimal("0.01")), active, latest.category, order[0], order[-1]
+
+
+def plain_detect(rows, horizon, merge=True):
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.key, r.amount < 0), []).append(r)
+    live = [[k, q, m] for k, m in groups.items() if (q := plain_qualify(m, horizon))]
+    live.sort(key=lambda s: (s[1][5], s[0]))
+    again = merge
+    while again:
+        again = False
+        for a, b in itertools.combinations(live, 2):
+            x, y = a[1], b[1]
+            hi, lo = max(abs(x[1]), abs(y[1])), min(abs(x[1]), abs(y[1]))
+            if (x[1] < 0) != (y[1] < 0) or x[0] != y[0] or not (x[6] < y[5] or y[6] < x[5]) or hi / lo > Decimal("1.25"):
+                continue
+            both = plain_qualify(a[2] + b[2], horizon)
+            if both and both[0] == x[0]:
+                a[1], a[2], again = both, a[2] + b[2], True
+                live.remove(b)
+                break
+    return [q for _, q, _ in live]
+
+
+def plain_summary(found):
+    own = [q for q in found if q[3] and q[4] not in V.ASSETS]
+    return sum(q[3] for q in found), sum((q[2] for q in own if q[1] > 0), Decimal(0)), sum((q[2] for q in own if q[1] < 0), Decimal(0))
+
+
+def test_recurring_summary_is_of_merged_series(spark, tmp_path):
+    """The registered query, over the renamed series of its adapter."""
+    spark.range(1, 61).selectExpr("id AS c_custkey", "concat('Customer#', lpad(id, 9, '0')) AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(25).selectExpr("id AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = A.frame(spark, str(tmp_path), "series").withColumn("key", X.recurrence_key(F.col("description"))).collect()
+    got = queries.QUERIES["recurring_summary"](spark, str(tmp_path)).first()
+    want = plain_summary(plain_detect(rows, date(2026, 1, 1)))
+    assert tuple(got) == want != plain_summary(plain_detect(rows, date(2026, 1, 1), merge=False))
+
+
 def test_coverage(spark):
     day = lambda n: date(2026, 1, 1) + timedelta(days=n)
     mov = spark.createDataFrame([("a", day(i)) for i in range(0, 30, 3)] + [("a", day(120)), ("b", day(0))], "source string, value_date date")
