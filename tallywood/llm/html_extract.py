@@ -7,7 +7,9 @@ whose presentation or content varies over the pages is important, one that is
 the same everywhere is a template: importance is the entropy over the pages,
 divided by that of all pages being different. Per page, branches in which all is
 of low importance go, as do those whose tag or class says that they are not the
-article; what is inside the article element is never judged by importance.
+article. An article or main element is evidence, not a switch: places inside are
+judged as well, and of such elements and the rest of the page those are taken
+that hold the most text of importance.
 """
 
 from __future__ import annotations
@@ -46,10 +48,12 @@ SEP = "/"
 
 
 class Node:
-    __slots__ = ("children", "chrome", "inside", "path", "tag")
+    __slots__ = ("area", "children", "chrome", "important", "inside", "path", "tag")
 
     def __init__(self, tag: str, path: str, chrome: bool, inside: bool):
         self.tag, self.path, self.chrome, self.inside, self.children = tag, path, chrome, inside, []
+        self.area, self.important = 0, True
+        self.area, self.important = 0, True
 
 
 def _label(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
@@ -132,10 +136,10 @@ def _walk(root: Node):
 
 
 def styles(root: Node) -> dict[str, tuple[str, str]]:
-    """For each place of a page outside the article: how its children are laid out, and what text it holds itself."""
+    """For each place of a page: how its children are laid out, and what text it holds itself."""
     layout: dict[str, list[str]] = {}
     for node in _walk(root):
-        if node.inside or node.chrome or not node.path:
+        if node.chrome or not node.path:
             continue
         tags = [c.tag for c in node.children if isinstance(c, Node)]
         own = _SPACES.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
@@ -145,9 +149,105 @@ def styles(root: Node) -> dict[str, tuple[str, str]]:
     return {p: (a, b) for p, (a, b) in layout.items()}
 
 
+#: The rest of a page is taken for an article that has so many times less text; an article goes beside one that has so many times more.
+REST, BESIDE = 2, 4
+
+
+def _taken(root: Node, unimportant: frozenset[str] | set[str]) -> set[int]:
+    """The areas whose text is the page's: an area is what is in an article or main element and in no other one inside it; 0 is the rest.
+
+    Marks each node with its area and importance. Text counts if its place is of
+    importance and it isn't in a link. In an article, words set off inside a block
+    are as important as the block. Where all of the articles is the same on
+    the host's pages, the tree can't tell what of it is the text, and all stays.
+    """
+    up, text, links, good = [0], [0], [0], [0]
+    articles = []
+    todo = [(root, 0, "", False)]
+    while todo:
+        node, area, block, link = todo.pop()
+        if node.chrome:
+            continue
+        if node.tag in ("article", "main"):
+            up.append(area)
+            area = len(up) - 1
+            for n in (text, links, good):
+                n.append(0)
+        block, link = node.path if node.tag in BLOCK else block, link or node.tag == "a"
+        node.area, node.important = area, node.path not in unimportant or (area > 0 and block not in unimportant)
+        if area:
+            articles.append(node)
+        size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        (links if link else text)[area] += size
+        good[area] += size if node.important and not link else 0
+        todo += [(c, area, block, link) for c in node.children if isinstance(c, Node)]
+    if len(up) == 1:
+        return {0}
+    if not any(good[1:]):
+        good[1:] = text[1:] if any(text[1:]) else links[1:]
+        for node in articles:
+            node.important = True
+    best = max(range(1, len(up)), key=lambda a: good[a])
+    if good[0] > REST * good[best]:
+        return {0}
+    taken = {a for a in range(1, len(up)) if BESIDE * good[a] >= good[best]}
+    while best:
+        taken.add(best)
+        best = up[best]
+    return taken
+
+
+#: The rest of a page is taken for an article that has so many times less text; an article goes beside one that has so many times more.
+REST, BESIDE = 2, 4
+
+
+def _taken(root: Node, unimportant: frozenset[str] | set[str]) -> set[int]:
+    """The areas whose text is the page's: an area is what is in an article or main element and in no other one inside it; 0 is the rest.
+
+    Marks each node with its area and importance. Text counts if its place is of
+    importance and it isn't in a link. In an article, words set off inside a block
+    are as important as the block. Where all of the articles is the same on
+    the host's pages, the tree can't tell what of it is the text, and all stays.
+    """
+    up, text, links, good = [0], [0], [0], [0]
+    articles = []
+    todo = [(root, 0, "", False)]
+    while todo:
+        node, area, block, link = todo.pop()
+        if node.chrome:
+            continue
+        if node.tag in ("article", "main"):
+            up.append(area)
+            area = len(up) - 1
+            for n in (text, links, good):
+                n.append(0)
+        block, link = node.path if node.tag in BLOCK else block, link or node.tag == "a"
+        node.area, node.important = area, node.path not in unimportant or (area > 0 and block not in unimportant)
+        if area:
+            articles.append(node)
+        size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        (links if link else text)[area] += size
+        good[area] += size if node.important and not link else 0
+        todo += [(c, area, block, link) for c in node.children if isinstance(c, Node)]
+    if len(up) == 1:
+        return {0}
+    if not any(good[1:]):
+        good[1:] = text[1:] if any(text[1:]) else links[1:]
+        for node in articles:
+            node.important = True
+    best = max(range(1, len(up)), key=lambda a: good[a])
+    if good[0] > REST * good[best]:
+        return {0}
+    taken = {a for a in range(1, len(up)) if BESIDE * good[a] >= good[best]}
+    while best:
+        taken.add(best)
+        best = up[best]
+    return taken
+
+
 def main_text(root: Node, unimportant: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks that are left, joined by an empty line. A page with an article (or main) element has its text from there alone."""
-    only = any(n.tag in ("article", "main") and not n.chrome for n in _walk(root))
+    """The blocks of importance of the areas that are taken, joined by an empty line."""
+    taken = _taken(root, unimportant)
     blocks: list[str] = []
     buffer: list[str] = []
 
@@ -173,7 +273,7 @@ def main_text(root: Node, unimportant: frozenset[str] | set[str] = frozenset())
             if block:
                 flush()
                 todo.append(None)
-            own = node.inside or (not only and node.path not in unimportant)
+            own = node.area in taken and node.important
             keep = [c for c in node.children if isinstance(c, Node) or own]
             todo += keep[::-1]
     flush()

@@ -120,6 +120,42 @@ def test_main_text():
     assert main_text(parse("<p>open <b>bold")) == "open bold"
 
 
+def test_articles_are_evidence_only():
+    text = "The text of the page goes on for some time. " * 4
+    teasers = "<article><a href='/a'>Other post</a></article><article><p>Next one</p></article>"
+    assert main_text(parse(f"<div><p>{text}</p></div>{teasers}")) == text.strip()
+    assert main_text(parse(f"<div><p>{text}</p></div><aside>{teasers}</aside>")) == text.strip()
+    assert main_text(parse(f"<div>by line</div><article><p>{text}</p>{teasers}</article>{teasers}")) == text.strip()
+    assert main_text(parse(f"<main><h1>Title</h1><article><p>{text}</p></article><article><p>{text}</p></article></main>")) == f"Title\n\n{text.strip()}\n\n{text.strip()}"
+    assert main_text(parse("<div>by line</div><article><p>Short</p></article>")) == "Short"
+
+
+def test_style_tree_judges_articles(spark):
+    page = lambda i: f"<html><body><article><p><b>Note</b> text {i}</p><div class='box'><p>Read our terms</p></div></article></body></html>"
+    same = "<html><body><article><p>one text</p></article><div>shown</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(9)] + [(20 + i, f"http://copies.example/{i}", same) for i in range(9)] + [(40 + i, f"http://few.example/{i}", page(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Note text {i}" for i in range(9)} | {20 + i: "one text" for i in range(9)} | {40 + i: f"Note text {i}\n\nRead our terms" for i in range(3)}
+
+
+def test_articles_are_evidence_only():
+    text = "The text of the page goes on for some time. " * 4
+    teasers = "<article><a href='/a'>Other post</a></article><article><p>Next one</p></article>"
+    assert main_text(parse(f"<div><p>{text}</p></div>{teasers}")) == text.strip()
+    assert main_text(parse(f"<div><p>{text}</p></div><aside>{teasers}</aside>")) == text.strip()
+    assert main_text(parse(f"<div>by line</div><article><p>{text}</p>{teasers}</article>{teasers}")) == text.strip()
+    assert main_text(parse(f"<main><h1>Title</h1><article><p>{text}</p></article><article><p>{text}</p></article></main>")) == f"Title\n\n{text.strip()}\n\n{text.strip()}"
+    assert main_text(parse("<div>by line</div><article><p>Short</p></article>")) == "Short"
+
+
+def test_style_tree_judges_articles(spark):
+    page = lambda i: f"<html><body><article><p><b>Note</b> text {i}</p><div class='box'><p>Read our terms</p></div></article></body></html>"
+    same = "<html><body><article><p>one text</p></article><div>shown</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(9)] + [(20 + i, f"http://copies.example/{i}", same) for i in range(9)] + [(40 + i, f"http://few.example/{i}", page(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Note text {i}" for i in range(9)} | {20 + i: "one text" for i in range(9)} | {40 + i: f"Note text {i}\n\nRead our terms" for i in range(3)}
+
+
 def test_style_tree_importance(spark):
     body = lambda i: f"<html><body><div><p>same on all</p></div><div class='x{i % 1}'><span>text {i}</span></div></body></html>"
     rows = [(i, f"http://h.example/{i}", body(i)) for i in range(9)] + [(50, None, None), (51, "http://h.example/e", ""), (0, "http://h.example/0", body(0))]
