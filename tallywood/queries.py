@@ -14,6 +14,7 @@ from .functions import text as X
 from .operators import categorize as C
 from .operators import coverage, detect, merge, periods, query, recurrence, transfers, views
 from .plans import adapters as A
+from .sources.lines import HEAD
 from .streaming import queues
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,7 +273,7 @@ register("resolver_chain", "ledger", f", s AS (SELECT *, {_RULE} AS rule, CASE W
 register("category_labels", "ledger", "SELECT DISTINCT category, CASE category WHEN 'groceries' THEN 'Spesa' WHEN 'dining' THEN 'Ristorazione' WHEN 'transport' THEN 'Trasporti' WHEN 'bills' THEN 'Bollette' WHEN 'investments' THEN 'Investimenti' WHEN 'crypto' THEN 'Crypto' WHEN 'rent' THEN 'Affitti' ELSE 'Altro' END AS label FROM ledger")(
     lambda lg: lg.select("category").distinct().select("category", X.label(F.col("category"), "it").alias("label"))
 )
-_HEAD = "(SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Revolut statement' WHEN 1 THEN 'money in/out, balance, intesa sanpaolo' WHEN 2 THEN 'Trade Republic, intesa sanpaolo' WHEN 3 THEN 'asset_class;transaction_id' ELSE substr(html, 1, 200) END AS head FROM {pages})"
+_HEAD = "(SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Revolut statement' WHEN 1 THEN 'money in/out, balance, intesa sanpaolo' WHEN 2 THEN 'Trade Republic, intesa sanpaolo' WHEN 3 THEN 'asset_class;transaction_id' ELSE substr(html, 1, " + str(HEAD) + ") END AS head FROM {pages})"
 register("detect_source", "pages", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'revolut' WHEN 1 THEN 'revolut' WHEN 3 THEN 'trade_republic' END AS source FROM pages")(lambda p: p.sparkSession.sql(f"SELECT * FROM {_HEAD}", pages=p).select("page_id", detect.detect_source(F.col("head")).alias("source")))
 
 # ---------------------------------------------------------------- neighbours and training

@@ -83,6 +83,13 @@ def test_detection(spark):
     assert registry.markers() == {k: V.MARKERS[k] for k in ("revolut", "trade_republic")}
 
 
+def test_detection_reads_the_whole_head(spark, tmp_path):
+    pages = [(4, "x" * 300 + " Revolut"), (9, "x" * 4089 + "revolut"), (14, "x" * 4090 + "revolut"), (19, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.source for r in queries.QUERIES["detect_source"](spark, str(tmp_path)).collect()}
+    assert got == {4: "revolut", 9: "revolut", 14: None, 19: None}
+
+
 def legs(spark, rows):
     return spark.createDataFrame([(k, a, date(2025, 1, d), Decimal(x), t) for k, a, d, x, t in rows], "natural_key string, account string, value_date date, amount decimal(18,2), description string")
 
