@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 MB = 1 << 20
 _SIZE = struct.Struct("<Q")
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shuffle partitions that one exchange has at most.
+CEILING = 200_000
 
 
 # ----------------------------------------------------------------- storage
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where none is set, local mode (tests) gets a temporary one and a cluster an error: its executors share no local disk."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tallywood.scratch", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallywood-")
         spark.conf.set("spark.tallywood.scratch", at)
     return at.rstrip("/")
@@ -34,21 +38,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`saved` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of a plan; for a file scan the bytes of the files, without reading them. 0 where it can't tell (it then says 2**50 or more)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 50 else 0
 
 
+def buckets_of(df: DataFrame, per: int = 64 * MB) -> int:
+    """Groups to deal a table's rows or tokens into, each looked at in memory: the configured number of partitions, more where a group would exceed ``per``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // per))
+
+
 def partitions(df: DataFrame, per: int = 64 * MB) -> int:
-    """Shuffle partitions for a table: the configured number, more where a partition would exceed ``per``."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, min(-(-input_bytes(df) // per), 200_000))
+    """Shuffle partitions for a table. Beyond the ceiling a partition has several groups (see :func:`buckets_of`), one after the other."""
+    return min(buckets_of(df, per), CEILING)
 
 
 def chunk_of(docs: DataFrame, key: Column) -> Column:
     """The chunk of a document of a table: a few MB of text by a hash of the id."""
-    chunks = max(partitions(docs), -(-input_bytes(docs) // MB))
+    chunks = max(buckets_of(docs), -(-input_bytes(docs) // MB))
     return F.pmod(F.xxhash64(key.cast("long")), F.lit(chunks)).cast("long")
 
 
@@ -71,13 +87,23 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), pa.array(small, pa.binary())], names=["chunk", "doc_id", "text"])
 
 
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) with packed texts, where the documents lie."""
+    rows = docs.select(F.lit(0).cast("long").alias("chunk"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(_packed, "chunk long, doc_id long, text binary").drop("chunk")
+
+
+def unpacked(column) -> pa.Array:
+    """Texts as they were before packing, in UTF-8."""
+    values = [v.as_py() for v in column]
+    return pa.array([pa.decompress(memoryview(v)[8:], decompressed_size=n, codec="zstd", asbytes=True) if (n := _SIZE.unpack_from(v)[0]) else b"" for v in values], pa.large_binary())
+
+
 def texts(table: pa.Table) -> pa.Table:
     """A chunk with its texts unpacked, in an order that doesn't depend on how a shuffle brought its rows."""
     if not table.num_rows:
         return table
-    values = [v.as_py() for v in table.column("text")]
-    values = [pa.decompress(memoryview(v)[8:], decompressed_size=n, codec="zstd", asbytes=True) if (n := _SIZE.unpack_from(v)[0]) else b"" for v in values]
-    table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(values, pa.large_binary()))
+    table = table.set_column(table.schema.get_field_index("text"), "text", unpacked(table.column("text")))
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
@@ -136,7 +162,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, from prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of values[start:end] for each span of at most SPAN bytes, from prefix sums of a polynomial modulo 2**64.
+
+    Longer spans need :func:`word_hash`: from 1,024 bytes on, patterns exist that collide for every base.
+    """
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(which, max(1, len(values)))[: len(values)], out=total[1:])
     got = total[end]
@@ -146,6 +175,46 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix(got)
 
 
+#: The longest span that the polynomial hash is used for.
+SPAN = 512
+_REST = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] for each span, of any length: each block of 8 bytes is mixed with its place in the span before the blocks are summed."""
+    size = end - start
+    many = np.maximum((size + 7) >> 3, 1)
+    ends = np.cumsum(many)
+    n = int(ends[-1]) if len(ends) else 0
+    if n == len(size):
+        at, place, left = start, np.zeros(1, np.uint64), size
+    else:
+        place = np.arange(n) - np.repeat(ends - many, many)
+        at, left = np.repeat(start, many) + 8 * place, np.minimum(np.repeat(size, many) - 8 * place, 8)
+        place = place.astype(np.uint64)
+    data = np.append(raw, np.zeros(8, np.uint8))
+    block = np.ndarray((len(raw) + 1,), "<u8", data, strides=(1,))[at].astype(np.uint64)
+    block &= _REST[left]
+    block ^= mix(place * np.uint64(_ODD[3]) + np.uint64(_ODD[which]))
+    block = mix(block)
+    total = block if n == len(size) else np.add.reduceat(block, ends - many)
+    return mix(total ^ mix(size.astype(np.uint64) + np.uint64(_ODD[which])))
+
+
+def gram_hash(h: np.ndarray, length: int, which: int = 1) -> np.ndarray:
+    """The hash of h[i:i+length] for each i, put together from runs of 1, 2, 4 ... entries, mixed at each step."""
+    one, two = np.uint64(_ODD[which]), np.uint64(_ODD[which + 2])
+    n, size, out, done, have = len(h), 1, None, 0, h
+    while n >= length:
+        if length & size:
+            out, done = have[: n - size + 1] if out is None else mix(out[: n - done - size + 1] * one + have[done : n - size + 1] * two), done + size
+        if size * 2 > length:
+            return out[: n - length + 1]
+        have = mix(have[:-size] * one + have[size:] * two)
+        size *= 2
+    return np.zeros(0, np.uint64)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -168,6 +237,47 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, row
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each entry, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def spaced(raw: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, with one space between those of a row: bytes, and where each word starts in them."""
+    size = end - start
+    gap = np.append(False, row[1:] == row[:-1]) if len(row) else np.zeros(0, bool)
+    to = np.cumsum(size + gap) - size
+    out = np.full(int(size.sum() + gap.sum()), 0x20, np.uint8)
+    out[ranges(to, size)] = raw[ranges(start, size)]
+    return out, to
+
+
+def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for equal words only; words are compared byte by byte."""
+    size = end - start
+    data = raw[ranges(start, size)]
+    off = np.append(0, np.cumsum(size)).astype(np.int64)
+    words_of = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+    return words_of.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def gram_codes(code: np.ndarray, length: int) -> np.ndarray:
+    """A number for code[i:i+length] for each i, the same for equal runs only."""
+
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].reshape(-1).astype(np.int64)
+
+    n, size, out, done, have = len(code), 1, None, 0, code
+    while n >= length:
+        if length & size:
+            out, done = have[: n - size + 1] if out is None else both(out[: n - done - size + 1], have[done : n - size + 1]), done + size
+        if size * 2 > length:
+            return out[: n - length + 1]
+        have = both(have[:-size], have[size:])
+        size *= 2
+    return np.zeros(0, np.int64)
+
+
 def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which of x are in the sorted array ``of``."""
     if not len(of) or not len(x):

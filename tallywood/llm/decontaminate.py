@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import flat, mix, slices, span_hash, words
+from ._common import flat, mix, slices, word_hash, words
 from .near_dedup import lowered
 
 #: These find every overlap of LEAST matching words or more, PERCENT or more of its words.
@@ -87,7 +87,7 @@ class Benchmark:
         raw = lowered(raw)
         start, end, row = words(raw, off)
         self.ids = np.array([i for i, _ in items], np.int64)
-        self.h = span_hash(raw, start, end, 1)
+        self.h = word_hash(raw, start, end, 1)
         self.first = np.searchsorted(row, np.arange(len(items) + 1))
         size = np.diff(self.first)
         seeds, where = [], []
@@ -141,7 +141,7 @@ class Benchmark:
 def _found(bench: Benchmark, raw: np.ndarray, off: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
     """(document row, item, matched, length, document word, item word): for each document and item the best overlap that counts."""
     start, end, row = words(raw, off)
-    h = span_hash(raw, start, end, 1)
+    h = word_hash(raw, start, end, 1)
     first = np.searchsorted(row, np.arange(len(off)))
     best: dict[tuple[int, int], tuple] = {}
     for found in bench.diagonals(h, row):

@@ -1,37 +1,42 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 A signature has K coordinates: the hashes of a document's shingles fall into K
-bins and each bin keeps its least. Documents with equal shingle sets are one
-class. Each (coordinate, value) pair is a posting list of classes. Two classes
-above the similarity threshold agree in at least half of their coordinates (up
-to a miss of some 1e-6 at the threshold itself), so they meet among the rarest
-coordinates of either that half can't do without: only those prefixes are
-posted, and pairs that one document alone has are skipped altogether.
-
-The classes of a posting list meet at its hub, the class whose coordinates are
-the most common, so that a family of near copies meets at few hubs and not in
-all its pairs. What meets at a hub is compared on full shingle sets, each class
-with the hub first and then only those still unlinked with the rest; large
-meetings are cut into tiles of bounded size. Links are those that join two
-components; labels of components spread over them until nothing changes.
+bins and each bin keeps its least. Documents with the same words are one class.
+Each (coordinate, value) pair is a posting list of classes. Two classes above
+the similarity threshold agree in at least MATCH percent of their coordinates,
+so they meet among the rarest coordinates of either that this share can't do
+without. Only these prefixes are posted and merged, which counts the collisions
+of each pair; the long lists of common coordinates are skipped, and looked at
+only for pairs that have met. Pairs whose collisions over all coordinates reach
+the match threshold are retained, and compared shingle by shingle, word by word.
+
+Lists are merged in two passes. In the first, the classes of a list are paired
+with the most central one, its hub, so that a family of near copies costs as many
+pairs as it has members. In the second, only classes that are still in different
+components are paired, so no link between two components is missed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bucket, chunk_of, chunked, flat, input_bytes, mix, partitions, powers, saved, slices, span_hash, texts, words
-from ._exchange import answer, ask, ask_again, finish, gathered, pack
+from ._common import MB, buckets_of, by_bucket, discard, flat, gram_codes, gram_hash, input_bytes, mix, packed, partitions, saved, slices, spaced, unpacked, word_codes, word_hash, words
+from ._exchange import answer, ask, finish, gathered, pack
 
 K = 64
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Classes in a block of a large meeting; a tile compares two blocks.
-BLOCK = 192
-_SETS = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+#: Least percentage of the coordinates of either class in which a retained pair agrees.
+MATCH = 45
+#: Classes that are compared with a hub in one task, and the shingles they have at most together (or one class).
+BLOCK, BLOCK_SHINGLES = 192, 1 << 21
+#: Members of a posting list that meet those of another component in one task.
+SIDE = 2048
+_SETS = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:
@@ -39,25 +44,28 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
 
 
-def shingles(raw: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def needed(count: np.ndarray | int):
+    """How many of ``count`` coordinates a retained pair agrees in."""
+    return (count * MATCH + 99) // 100
+
+
+def shingles(raw: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, rows: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct shingles of each row, by row and hash. Fewer than k words are one shingle."""
-    start, end, row = words(raw, off)
-    n = len(start)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(span_hash(raw, start, end, 1) * powers(3, n)[:n], out=total[1:])
-    rows = np.arange(len(off) - 1)
-    first, last = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
-    at = np.flatnonzero(np.arange(n) + k <= last[row])
-    short = np.flatnonzero((last > first) & (last - first < k))
-    lo = np.concatenate([at, first[short]])
-    hi = np.concatenate([at + k, last[short]])
-    h = mix(((total[hi] - total[lo]) * powers(3, n + 1, True)[lo]) ^ (hi - lo).astype(np.uint64))
-    r = row[lo]
+    h = word_hash(raw, start, end, 1)
+    first = np.searchsorted(row, np.arange(rows + 1))
+    size = np.diff(first)
+    grams = gram_hash(h, k)
+    at = np.flatnonzero(row[: len(grams)] == row[k - 1 :])
+    hashes, owner = [grams[at]], [row[at]]
+    for n in range(1, k):
+        few = np.flatnonzero(size == n)
+        if len(few):
+            hashes.append(mix(gram_hash(h, n)[first[few]] + np.uint64(n)))
+            owner.append(few)
+    h, r = np.concatenate(hashes), np.concatenate(owner)
     order = np.lexsort((h, r))
     h, r = h[order], r[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))
+    new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
     return h[new], r[new]
 
 
@@ -74,25 +82,25 @@ def _describe(batches):
         raw, off = flat(batch.column("text"))
         raw = lowered(raw)
         for a, z in slices(off):
-            o = off[a : z + 1] - off[a]
-            h, row = shingles(raw[off[a] : off[z]], o)
-            sig = signatures(h, row, z - a)
-            cut = np.searchsorted(row, np.arange(z - a + 1))
-            sums = []
-            for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-                total = np.append(np.uint64(0), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64))
-                sums.append((total[cut[1:]] - total[cut[:-1]]).view(np.int64))
+            part, n = raw[off[a] : off[z]], z - a
+            start, end, row = words(part, off[a : z + 1] - off[a])
+            h, owner = shingles(part, start, end, row, n)
+            data, to = spaced(part, start, end, row)
+            cut = np.append(to, len(data))[np.searchsorted(row, np.arange(n + 1))]
+            data = data.tobytes()
+            digest = [hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, z - a), pa.array(np.diff(cut)), pa.array(sums[0]), pa.array(sums[1]), pa.array([s.tobytes() for s in sig], pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "sig"],
+                [batch.column("doc_id").slice(a, n), pa.array(np.bincount(owner, minlength=n)), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in signatures(h, owner, n)], pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "sig"],
             )
 
 
 class _Classes:
-    """The classes of a chunk and their posted pairs. A token is a hash of coordinate and value."""
+    """The classes of a chunk and their coordinates. A token is a hash of coordinate and value."""
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("rep").to_numpy().astype(np.int64)
+        self.sizes = table.column("n_shingles").to_numpy().astype(np.int64)
         sig = np.frombuffer(flat(table.column("sig"))[0].tobytes(), np.uint64).reshape(-1, K)
         self.row, coordinate = np.nonzero(sig != EMPTY)
         self.token = mix(sig[self.row, coordinate] * np.uint64(K) + coordinate.astype(np.uint64))
@@ -110,8 +118,7 @@ class _Classes:
         order = np.lexsort((self.token, often, self.row))
         first = np.searchsorted(self.row[order], np.arange(len(self.ids)))
         place = np.arange(len(order)) - first[self.row[order]]
-        need = (self.count + 1) // 2
-        posted = (place <= (self.count - need)[self.row[order]]) & (often[order] > 1)
+        posted = (place <= (self.count - needed(self.count))[self.row[order]]) & (often[order] > 1)
         return order[posted], score
 
 
@@ -126,114 +133,115 @@ def _frequent(table: pa.Table) -> list[tuple[int, bytes]]:
     df = np.bincount(group, n, len(value)).astype(np.uint32)
     keep = np.flatnonzero(df[group] > 1)
     chunks = table.column("chunk").to_numpy()
-    return [(int(chunks[r]), b"d" + pack(token[keep[i]], df[group[keep[i]]])) for r, i in by_bucket(row[keep])]
+    return [(int(chunks[r]), pack(token[keep[i]], df[group[keep[i]]])) for r, i in by_bucket(row[keep])]
 
 
-def _told(got: pa.Table, tag: bytes, kinds: tuple) -> list[np.ndarray]:
-    mine = [v.as_py()[1:] for v in got.column("payload") if v.as_py()[:1] == tag]
-    return gathered(pa.table({"payload": pa.array(mine, pa.binary())}), kinds)[1]
+_POSTED = "token long, rep long, n_shingles long, score double"
 
 
-def _posted(c: _Classes, got: pa.Table, buckets: int) -> list[tuple[int, bytes]]:
-    """For each posted token, this chunk's most central class."""
-    which, score = c.prefixes(*_told(got, b"d", (np.uint64, np.uint32)))
-    token, row = c.token[which], c.row[which]
-    order = np.lexsort((c.ids[row], -score[row], token))
-    order = order[np.append(True, token[order][1:] != token[order][:-1])] if len(order) else order
-    token, row = token[order], row[order]
-    return [(b, pack(token[i], score[row[i]], c.ids[row[i]])) for b, i in by_bucket((token >> np.uint64(40)) % np.uint64(buckets))]
+def _posted(table: pa.Table, got: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return pa.table({n: pa.array([], t) for n, t in zip(("token", "rep", "n_shingles", "score"), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
+    c = _Classes(table)
+    which, score = c.prefixes(*gathered(got, (np.uint64, np.uint32))[1])
+    row = c.row[which]
+    return pa.table({"token": c.token[which].view(np.int64), "rep": c.ids[row], "n_shingles": c.sizes[row], "score": score[row]})
 
 
-def _hubs(table: pa.Table) -> list[tuple[int, bytes]]:
-    row, (token, score, rep) = gathered(table, (np.uint64, np.float64, np.int64))
-    order = np.lexsort((rep, -score, token))
-    head = np.append(True, token[order][1:] != token[order][:-1])
-    hub = np.empty(len(token), np.int64)
-    hub[order] = rep[order][head][np.cumsum(head) - 1]
-    chunks = table.column("chunk").to_numpy()
-    return [(int(chunks[r]), b"h" + pack(token[i], hub[i])) for r, i in by_bucket(row)]
+def _alike(a: str, b: str):
+    """Sets of these sizes can have 75 % of their union in common."""
+    return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
 
 
-def _meetings(table: pa.Table, got: pa.Table) -> pa.Table:
-    out = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if table.num_rows and got.num_rows:
-        c = _Classes(table)
-        which, _ = c.prefixes(*_told(got, b"d", (np.uint64, np.uint32)))
-        token, hub = _told(got, b"h", (np.uint64, np.int64))
-        order = np.argsort(token)
-        token, hub = token[order], hub[order]
-        if len(which):
-            pairs = np.unique(np.stack([c.ids[c.row[which]], hub[np.searchsorted(token, c.token[which])]], 1), axis=0)
-            out = (pairs[:, 0].copy(), pairs[:, 1].copy())
-    return pa.table({"rep": pa.array(out[0], pa.int64()), "hub": pa.array(out[1], pa.int64())})
-
-
-def _sets_of(table: pa.Table, meetings: pa.Table) -> pa.Table:
-    """The full shingle set of each class, at each tile that it goes to."""
-    names = ["hub", "tile", "rep", "shingles"]
-    if not table.num_rows or not meetings.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
-    wanted = pa.compute.unique(meetings.column("rep"))
-    table = table.filter(pa.compute.is_in(table.column("doc_id"), wanted))
-    table = texts(table)
-    raw, off = flat(table.column("text"))
-    h, row = shingles(lowered(raw), off)
-    cut = np.searchsorted(row, np.arange(table.num_rows + 1))
-    sets = {d: h[a:z].tobytes() for d, a, z in zip(table.column("doc_id").to_pylist(), cut[:-1], cut[1:], strict=True)}
-    hub, tile, rep = [], [], []
-    for r in meetings.select(["hub", "rep", "blocks"]).to_pylist():
-        n = r["blocks"]
-        b = int(mix(np.array([r["rep"]], np.int64).view(np.uint64))[0] % np.uint64(n))
-        for other in range(n):
-            hub.append(r["hub"])
-            tile.append(min(b, other) * n + max(b, other))
-            rep.append(r["rep"])
-    return pa.table({"hub": pa.array(hub, pa.int64()), "tile": pa.array(tile, pa.int64()), "rep": pa.array(rep, pa.int64()), "shingles": pa.array([sets[r] for r in rep], pa.binary())})
-
-
-def linked(sets: list[np.ndarray], first: int, percent: int = 75) -> list[tuple[int, int]]:
-    """Links that join the components of sets with percent of their union in common: all with sets[first], then the rest among themselves."""
-    n, size = len(sets), np.array([len(s) for s in sets])
-    value, code = np.unique(np.concatenate(sets), return_inverse=True)
-    cut = np.append(0, np.cumsum(size))
-    owner = np.repeat(np.arange(n), size)
-    by_code = np.argsort(code, kind="stable")
-    start = np.searchsorted(code[by_code], np.arange(len(value) + 1))
-    who = owner[by_code]
-    above = list(range(n))
-
-    def root(x: int) -> int:
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    links: list[tuple[int, int]] = []
-    for x in [first, *[i for i in range(n) if i != first]]:
-        if x != first and root(x) == root(first):
-            continue
-        c = code[cut[x] : cut[x + 1]]
-        many = start[c + 1] - start[c]
-        common = np.bincount(who[np.repeat(start[c] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))], minlength=n)
-        for y in np.flatnonzero(100 * common >= percent * (size[x] + size - common)):
-            a, b = root(x), root(int(y))
-            if a != b:
-                above[max(a, b)] = min(a, b)
-                links.append((x, int(y)))
-    return links
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    table = table.sort_by("rep")
-    rep = table.column("rep").to_pylist()
-    hub = table.column("hub")[0].as_py()
-    sets = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("shingles")]
-    found = linked(sets, rep.index(hub) if hub in rep else 0) if len(rep) > 1 else []
-    return pa.table({"a": pa.array([rep[x] for x, _ in found], pa.int64()), "b": pa.array([rep[y] for _, y in found], pa.int64())})
+def with_hubs(posted: DataFrame) -> DataFrame:
+    """(a, b, met): each class of a posting list with the list's hub, and in how many lists they met."""
+    hubs = posted.groupBy("token").agg(F.max(F.struct("score", -F.col("rep"), "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = hubs.select("token", (-F.col("hub.col2")).alias("b"), F.col("hub.n_shingles").alias("nb"))
+    return posted.join(hubs, "token").where(F.col("rep") != F.col("b")).where(_alike("n_shingles", "nb")).groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("met"))
+
+
+def across(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, met): all pairs of a posting list that are in different components, and in how many lists they met.
+
+    A list's largest component needs no pairs of its own, so what is left of the
+    list is paired with it and with itself, block by block of either.
+    """
+    named = posted.join(labels, posted["rep"] == labels["node"], "left").select("token", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
+    parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / SIDE).cast("int")
+    lists = lists.select("token", F.col("top.label").alias("big"), blocks(F.col("all")).alias("wide"), blocks(F.col("all") - F.col("top.n")).alias("deep"))
+    every = saved(named.join(lists, "token"), "lists")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = every.where("label <> big").withColumn("j", block("deep")).withColumn("i", each("wide")).select("token", "i", "j", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
+    other = every.withColumn("i", block("wide")).withColumn("j", each("deep")).select("token", "i", "j", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"), "big")
+    pairs = rest.join(other, ["token", "i", "j"]).where("la <> lb AND (lb = big OR a < b)").where(_alike("na", "nb"))
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+
+
+def _agree(batches):
+    """The pairs that agree in enough of all coordinates of either."""
+    for batch in batches:
+        x, y = (np.frombuffer(flat(batch.column(c))[0].tobytes(), np.uint64).reshape(-1, K) for c in ("sa", "sb"))
+        full = x != EMPTY
+        collisions = ((x == y) & full).sum(1)
+        keep = collisions >= needed(np.maximum(full.sum(1), (y != EMPTY).sum(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "na")], names=["a", "b", "na"])
+
+
+def retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, na: shingles of a) above the match threshold."""
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("sig").alias(f"s{s}"), F.col("n_shingles").alias(f"n{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "sb").mapInArrow(_agree, "a long, b long, na long").distinct()
+
+
+def shared_shingles(code: np.ndarray, row: np.ndarray, rows: int, hubs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each row, shingles that it has in common with each hub row): both of exact sets. Rows of fewer words share none with another class."""
+    gram = gram_codes(code, k)
+    at = np.flatnonzero(row[: len(gram)] == row[k - 1 :])
+    top = int(gram.max()) + 1 if len(gram) else 1
+    pair = np.unique(row[at] * top + gram[at])
+    owner, gram = pair // top, pair % top
+    size = np.bincount(owner, minlength=rows)
+    common = np.zeros((len(hubs), rows), np.int64)
+    for n, hub in enumerate(hubs.tolist()):
+        has = np.zeros(top, bool)
+        has[gram[owner == hub]] = True
+        common[n] = np.bincount(owner, has[gram], rows)
+    return size, common
+
+
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """The links between a hub and the classes that came to one of its tiles."""
+    rep, hub = table.column("rep").to_numpy(), table.column("hub")[0].as_py()
+    raw, off = flat(unpacked(table.column("text")))
+    raw = lowered(raw)
+    start, end, row = words(raw, off)
+    hubs = np.flatnonzero(rep == hub)
+    size, common = shared_shingles(word_codes(raw, start, end), row, len(rep), hubs)
+    linked = ((100 * common >= percent * (size + size[hubs][:, None] - common)) & (common > 0)).any(0) & (rep != hub)
+    found = np.unique(rep[linked])
+    return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array(np.full(len(found), hub), pa.int64())})
+
+
+def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have ``percent`` of their union in common, compared on their words.
+
+    The partners of b are dealt into tiles of bounded size, and b goes to each.
+    """
+    hubs = pairs.groupBy("b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("na") / BLOCK_SHINGLES)).cast("int").alias("tiles"))
+    dealt = pairs.join(hubs, "b").select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int").alias("tile"), F.col("a").alias("rep"))
+    own = hubs.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("b").alias("rep"))
+    tiles = dealt.union(own).join(bodies, "rep")
+    return tiles.groupBy("hub", "tile").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable over links (a, b). Labels spread over links and jump to their own labels until nothing changes."""
+    """(node, label): the least node reachable over links (a, b), null ends and self-links left out.
+
+    Labels spread over links and jump to their own labels until nothing changes.
+    """
     both = saved(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
@@ -241,8 +249,11 @@ def components(links: DataFrame) -> DataFrame:
         step = saved(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), "step")
         own = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
         jumped = saved(step.join(own, "label").select("node", F.least("label", "next").alias("label"), "was"), "labels")
+        discard(labels)
+        discard(step)
         labels = jumped.select("node", "label")
         if jumped.where("label <> was").isEmpty():
+            discard(both)
             return labels
 
 
@@ -252,37 +263,31 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Sets hold the distinct shingles of five words, A-Z in lower case; fewer words
     are one shingle. Documents are linked if their sets have 75 % of their union
     in common, confirmed on full sets. A null, empty or blank text has no
-    shingles and is linked with nothing. Repeated rows have one id and one
-    component, and all are kept if the id is. A row with a null doc_id is a
-    component of its own with component_id null and is kept. Extra columns are
-    ignored; an empty table gives an empty result.
+    shingles and is linked with nothing. Rows that repeat an id are one document
+    with one component, linked by each of their texts, and all are kept if the id
+    is. A row with a null doc_id is a component of its own with component_id null
+    and is kept. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     described = saved(rows.mapInArrow(_describe, _SETS), "signatures")
-    parts = partitions(docs)
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = saved(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    chunks = max(parts, -(-input_bytes(described) // (2 << 20)))
-    base = (
-        described.select("doc_id", "sig").join(classes.select("rep"), F.col("doc_id") == F.col("rep"))
-        .groupBy("rep").agg(F.first("sig").alias("sig"))  # repeated rows
-        .select(F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"), "rep", "sig").repartition(parts, "chunk")
-    )
-    common = answer(ask(base, lambda t: _tokens(_Classes(t), parts)), _frequent)
-    hubs = answer(ask_again(base, common, lambda t, got: _posted(_Classes(t), got, parts)), _hubs)
-    meetings = saved(finish(base, common.union(hubs), _meetings, "rep long, hub long"), "meetings")
-    size = saved(meetings.groupBy("hub").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "hubs")
-    meetings = meetings.join(size, "hub").select("hub", "rep", F.ceil(F.col("met") / BLOCK).cast("int").alias("blocks"))
-    text_base = chunked(docs, key, text)
-    dealt = meetings.select(chunk_of(docs, F.col("rep")).alias("chunk"), "hub", "rep", "blocks")
-    sets = text_base.groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInArrow(_sets_of, "hub long, tile long, rep long, shingles binary")
-    links = saved(sets.groupBy("hub", "tile").applyInArrow(_compare, "a long, b long"), "links")
-    labels = components(links)
+    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    parts, buckets = partitions(docs), buckets_of(docs)
+    chunks = max(buckets, -(-input_bytes(described) // (2 * MB)))
+    base = classes.select(F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"), "rep", "n_shingles", "sig").repartition(parts, "chunk")
+    common = answer(ask(base, lambda t: _tokens(_Classes(t), buckets)), _frequent)
+    posted = saved(finish(base, common, _posted, _POSTED), "posted")
+    first = saved(retained(with_hubs(posted), classes), "pairs")
+    met = posted.join(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "token").select("rep").distinct()
+    bodies = saved(packed(docs, key, text).join(met, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text"), "bodies")
+    links = saved(confirmed(first, bodies), "links")
+    second = retained(across(posted, components(links)), classes).join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    links = links.union(saved(confirmed(saved(second, "pairs"), bodies), "links"))
     per = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").join(per, "rep", "left")
-    named = saved(named.select("h1", "h2", "n_shingles", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    out = described.drop("sig").join(named, ["h1", "h2", "n_shingles"], "left")
+    labels = components(links)
+    named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").join(per, "rep", "left")
+    named = saved(named.select("digest", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    out = described.drop("sig").join(named, "digest", "left")
     own = F.col("n_shingles") == 0
     label = F.when(F.col("doc_id").isNull() | own, F.col("doc_id")).otherwise(F.col("label"))
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.expr("doc_id").eqNullSafe(label).alias("kept"), F.when(own, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
-

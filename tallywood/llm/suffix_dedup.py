@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import by_bucket, chunked, flat, group_minmax, member, partitions, span_hash, texts
+from ._common import SPAN, buckets_of, by_bucket, chunked, flat, group_minmax, member, span_hash, texts
 from ._exchange import answer, ask, ask_again, finish, gathered, pack, unpack
 from .suffix_groups import suffix_arrays
 
@@ -357,7 +357,9 @@ def suffix_dedup(docs: DataFrame, window: int = 50, gram: int = 16, key: str = "
     keep all bytes. Extra columns are ignored; an empty table gives an empty
     result.
     """
-    base, buckets = chunked(docs, key, text), partitions(docs)
+    if 2 * window > SPAN:
+        raise ValueError(f"windows have at most {SPAN // 2} bytes")
+    base, buckets = chunked(docs, key, text), buckets_of(docs)
     wide = 2 * buckets  # stretches are longer than hashes
     grams = answer(ask(base, lambda t: _grams(_Bytes(t, window, gram), buckets)), _repeated)
     parts = ask_again(base, grams, lambda t, got: _stretches(_Bytes(t, window, gram), got, wide))

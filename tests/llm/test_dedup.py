@@ -10,9 +10,11 @@ import numpy as np
 import pytest
 
 from tallywood.llm import suffix_dedup as S
+from tallywood.llm._common import gram_codes, gram_hash, word_codes, word_hash, words
+from tallywood.llm.decontaminate import contaminated
 from tallywood.llm.exact_dedup import directory, exact_dedup
-from tallywood.llm.near_dedup import linked, near_dedup
-from tallywood.llm.substring_dedup import substring_dedup
+from tallywood.llm.near_dedup import EMPTY, near_dedup, needed, signatures
+from tallywood.llm.substring_dedup import levels, substring_dedup
 from tallywood.llm.suffix_dedup import suffix_dedup
 from tallywood.llm.suffix_groups import suffix_arrays
 
@@ -182,30 +184,6 @@ def test_near(spark, rows):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == brute_components(rows)
 
 
-def test_linked_spans_all_links():
-    rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 12, 9)).astype(np.uint64) for _ in range(40)]
-    above = list(range(40))
-
-    def root(x):
-        while above[x] != x:
-            x = above[x]
-        return x
-
-    for a in range(40):
-        for b in range(a):
-            k = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
-                above[root(a)] = root(b)
-    links = linked(sets, 7)
-    mine = list(range(40))
-    for a, b in links:
-        ra = next(x for x in [a] if True)
-        mine = [min(mine[a], mine[b]) if m in (mine[a], mine[b]) else m for m in mine]
-        assert ra == a
-    assert {(a, b) for a in range(40) for b in range(40) if root(a) == root(b)} == {(a, b) for a in range(40) for b in range(40) if mine[a] == mine[b]}
-
-
 @pytest.mark.parametrize("op", [exact_dedup, substring_dedup, suffix_dedup, near_dedup])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).collect() == []
@@ -218,3 +196,73 @@ def test_long_text(spark):
     assert [r.n_removed for r in substring_dedup(df).orderBy("doc_id").collect()] == [0, 60_000]
     assert [r.n_removed for r in suffix_dedup(df).orderBy("doc_id").collect()] == [0, len(long)]
     assert [r.component_id for r in near_dedup(df).orderBy("doc_id").collect()] == [1, 1]
+
+
+def morse(n: int, a: str = "a", b: str = "b") -> str:
+    """A pattern that polynomial hashes modulo 2**64 don't tell from the one with a and b exchanged."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_in_polynomials(spark, n):
+    one, two, rest = morse(n), morse(n, "b", "a"), " ".join(f"w{i}" for i in range(12))
+    table = spark.createDataFrame([(1, f"{one} {rest}", "x", 1, 2), (2, f"{two} {rest}", "x", 1, 2), (3, one, "x", 1, 2), (4, two, "x", 1, 2)], SCHEMA)
+    assert {r.doc_id: r.n_removed for r in substring_dedup(table).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    short = spark.createDataFrame([(1, f"{one} c d e f", "x", 1, 2), (2, f"{two} c d e f", "x", 1, 2), (3, one, "x", 1, 2), (4, two, "x", 1, 2)], SCHEMA)
+    assert {r.doc_id: r.component_id for r in near_dedup(short).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    bench = spark.createDataFrame([(7, f"{one} {rest}")], "item_id long, text string")
+    assert {r.doc_id: r.n_matched for r in contaminated(table, bench).collect()} == {1: 13, 2: 12}
+
+
+def test_word_codes_and_hashes():
+    rng = random.Random(6)
+    said = [rng.choice(["a", "b", "ab", "abcdefgh", "abcdefghi", "x" * 40]) for _ in range(400)]
+    raw = np.frombuffer(" ".join(said).encode(), np.uint8)
+    start, end, _ = words(raw, np.array([0, len(raw)]))
+    for which in (1, 2):
+        assert len(set(zip(word_hash(raw, start, end, which).tolist(), said, strict=True))) == len(set(said))
+    code, h = word_codes(raw, start, end), word_hash(raw, start, end, 1)
+    for n in (1, 2, 3, 5, 7, 13):
+        runs = [tuple(said[i : i + n]) for i in range(len(said) - n + 1)]
+        for got in (gram_codes(code, n).tolist(), gram_hash(h, n).tolist()):
+            assert len(got) == len(runs) and len(set(zip(got, runs, strict=True))) == len(set(got)) == len(set(runs))
+
+
+def test_levels_double_up_to_the_window():
+    assert levels(13) == [4, 7, 13] and levels(50) == [4, 7, 13, 25, 50] and levels(3) == [3]
+    assert all(b <= 2 * a for w in range(1, 60) for a, b in zip(levels(w), levels(w)[1:], strict=False))
+
+
+@pytest.mark.parametrize("window", [1, 3, 5, 30])
+def test_other_windows(spark, window):
+    rows = corpus(4)
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA), window=window).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_words(rows, window)
+
+
+def test_match_threshold_keeps_pairs_at_75_percent():
+    """Pairs with exactly 75 % of their union in common: the share that agrees in enough coordinates."""
+    rng, lost, n = np.random.default_rng(8), 0, 0
+    for d in (1, 2, 3, 5, 10, 40):
+        pairs = 60_000 // (8 * d)
+        h = rng.integers(0, 1 << 63, (pairs, 8 * d), dtype=np.int64).view(np.uint64)  # 6 d in common, d more in either
+        row = np.repeat(np.arange(pairs), 7 * d)
+        a, b = (signatures(np.concatenate([h[:, : 6 * d], more], 1).reshape(-1), row, pairs) for more in (h[:, 6 * d : 7 * d], h[:, 7 * d :]))
+        full = a != EMPTY
+        lost += int((((a == b) & full).sum(1) < needed(np.maximum(full.sum(1), (b != EMPTY).sum(1)))).sum())
+        n += pairs
+    assert lost <= n / 1000
+
+
+def test_a_family_costs_as_many_links_as_it_has_members(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(150)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w), "x", 1, 2))
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(r.n_links for r in got) <= 2 * 4 * len(rows)
