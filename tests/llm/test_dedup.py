@@ -8,11 +8,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallywood.llm import suffix_dedup as S
 from tallywood.llm._common import gram_codes, gram_hash, word_codes, word_hash, words
 from tallywood.llm.decontaminate import contaminated
-from tallywood.llm.exact_dedup import directory, exact_dedup
+from tallywood.llm.exact_dedup import build_index, directory, exact_dedup
 from tallywood.llm.near_dedup import EMPTY, near_dedup, needed, signatures
 from tallywood.llm.substring_dedup import levels, substring_dedup
 from tallywood.llm.suffix_dedup import suffix_dedup
@@ -53,15 +54,37 @@ def rows(request):
     return corpus(request.param)
 
 
-def test_directory_splits_full_buckets_only():
-    cells = directory({0: 10, 1: 1, 15: 3}, 4, 4)
-    assert [c for c, _, _ in cells] == list(range(16))
-    assert {b: d for _, b, d in cells}[0] == 4 and {b: d for _, b, d in cells}[8] == 1
-    assert directory({}, 4, 2) == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0)]
-
-
-def test_exact(spark, rows):
-    got = exact_dedup(spark.createDataFrame(rows, SCHEMA), capacity=4).collect()
+def cells_of(keys: list[int], capacity: int) -> dict[int, tuple[int, int]]:
+    """The buckets by brute force: (prefix at 64 bits, depth) of each, by splitting one bit at a time."""
+    todo, done = [(0, 0, keys)], {}
+    while todo:
+        prefix, depth, mine = todo.pop()
+        if len(mine) > capacity and depth < 64:
+            for bit in (0, 1):
+                todo.append((2 * prefix + bit, depth + 1, [k for k in mine if k >> (63 - depth) == 2 * prefix + bit]))
+        else:
+            done[prefix << (64 - depth) if depth else 0] = depth
+    return done
+
+
+@pytest.mark.parametrize("capacity,crowd", [(4, 0), (1, 0), (4, 30), (1000, 0)])
+def test_directory_doubles_where_buckets_overflow(spark, capacity, crowd):
+    """A crowd of keys that agree in their first 40 bits splits far deeper than the rest."""
+    rng = random.Random(capacity)
+    keys = sorted({rng.getrandbits(64) for _ in range(60)} | {(5 << 60) + i for i in range(crowd)}) if not crowd else sorted({(5 << 60) + (i << 46) for i in range(crowd)} | {rng.getrandbits(64) for _ in range(20)})
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    cells, depth = directory(spark.createDataFrame([(signed(k),) for k in keys], "key long"), capacity)
+    got = cells.collect()
+    want = cells_of(keys, capacity)
+    assert depth == max(want.values()) and sorted(r.cell for r in got) == list(range(1 << depth))
+    assert {(r.bucket, r.depth) for r in got} == {(signed(b), d) for b, d in want.items()}
+    assert all((r.cell >> (depth - r.depth)) << (64 - r.depth) == r.bucket % (1 << 64) for r in got if r.depth)
+
+
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_exact(spark, rows, bits):
+    """With 3 or 0 bits of the hash, different texts collide and are chained in one bucket."""
+    got = exact_dedup(spark.createDataFrame(rows, SCHEMA), capacity=4, bits=bits).collect()
     assert len(got) == len(rows)
     groups: dict[str, list] = {}
     for r in rows:
@@ -69,6 +92,21 @@ def test_exact(spark, rows):
     expected = sorted(((i, max((x for x in g if x is not None), default=None), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g), key=repr)
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == expected
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    chains: dict = {}
+    for r in got:
+        chains.setdefault(r.bucket, {})[r.text_sha256] = r.chain
+    if bits == 0:
+        assert len(chains) == 1 and sorted(chains[0].values()) == list(range(1, len(groups) + 1))
+    else:
+        assert len(chains) > 1 and (bits == 64) == all(c == 1 for x in chains.values() for c in x.values())
+
+
+def test_the_answer_is_read_from_the_buckets(spark, rows):
+    table = spark.createDataFrame(rows, SCHEMA)
+    index = build_index(table, capacity=4)
+    assert index.entries.groupBy("bucket").agg(F.countDistinct("key").alias("n")).where("n > 4").isEmpty()
+    assert index.entries.join(index.cells, ["bucket", "depth"], "left_anti").isEmpty()
+    assert index.entries.agg(F.sum("group_size")).first()[0] == len(rows)
 
 
 def brute_words(rows, w=13):
