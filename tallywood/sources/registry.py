@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Adapter:
-    """``parse`` takes lines (file, line_no, line) and returns movements; the other scans return their tables."""
+    """``parse`` takes lines (file, line_no, line), or the words of pages where options say so, and returns movements; the other scans return their tables."""
 
     source: str
     parse: Callable[[DataFrame], DataFrame]
@@ -34,7 +34,7 @@ def register(adapter: Adapter) -> Adapter:
 
 
 def adapters() -> dict[str, Adapter]:
-    from . import broker_csv, consolidated_csv  # noqa: F401  they register themselves
+    from . import broker_csv, consolidated_csv, layouts  # noqa: F401  they register themselves
 
     return dict(_ADAPTERS)
 
