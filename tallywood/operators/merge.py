@@ -25,6 +25,12 @@ def dedup(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy("natural_key").orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def twin_keys(one: DataFrame, other: DataFrame, key: str = "natural_key") -> DataFrame:
+    """(only_one, only_other, both): how many keys two formats of a statement have alone and in common."""
+    rows = one.select(key, F.lit(1).alias("side")).union(other.select(key, F.lit(2).alias("side"))).groupBy(key).agg(F.bit_or("side").alias("side"))
+    return rows.agg(F.count_if(F.col("side") == 1).alias("only_one"), F.count_if(F.col("side") == 2).alias("only_other"), F.count_if(F.col("side") == 3).alias("both"))
+
+
 def ledger_upsert(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Fold a batch (natural_key, seq, description, merchant, mcc, purchase_time, category, category_source, value_date, booking_date) into the ledger.
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import statement_queries
 from .functions import money as M
 from .functions import text as X
 from .operators import categorize as C
@@ -362,3 +363,5 @@ def _stream_feedback(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("natural_key"), F.col("role").alias("category"))
     return merge.latest(_streamed(rows, "category.feedback", lambda b: b.where("NOT malformed").select("id", "natural_key", "category")), "natural_key", "category", "id")
 
+
+statement_queries.register_all(register)
