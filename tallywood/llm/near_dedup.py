@@ -12,8 +12,10 @@ the match threshold are retained, and compared shingle by shingle, word by word.
 
 Lists are merged in two passes. In the first, the classes of a list are paired
 with the most central one, its hub, so that a family of near copies costs as many
-pairs as it has members. In the second, only classes that are still in different
-components are paired, so no link between two components is missed.
+pairs as it has members. In the second, classes whose lists have one hub meet in
+blocks, where collisions are counted between those that are still in different
+components, and the likeliest are compared first. Only links that join two
+components leave a block, and none of these is missed.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import MB, buckets_of, by_bucket, discard, flat, gram_codes, gram_hash, input_bytes, mix, packed, partitions, saved, slices, spaced, unpacked, word_codes, word_hash, words
+from ._common import MB, buckets_of, by_bucket, discard, flat, gram_codes, gram_hash, input_bytes, member, mix, packed, partitions, ranges, saved, slices, spaced, unpacked, word_codes, word_hash, words
 from ._exchange import answer, ask, finish, gathered, pack
 
 K = 64
@@ -34,8 +36,8 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 MATCH = 45
 #: Classes that are compared with a hub in one task, and the shingles they have at most together (or one class).
 BLOCK, BLOCK_SHINGLES = 192, 1 << 21
-#: Members of a posting list that meet those of another component in one task.
-SIDE = 2048
+#: Classes of a side in a block of the second pass, and the shingles they have at most together (or one class).
+SIDE, SIDE_SHINGLES = 512, 1 << 19
 _SETS = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
@@ -153,31 +155,34 @@ def _alike(a: str, b: str):
     return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
 
 
-def with_hubs(posted: DataFrame) -> DataFrame:
-    """(a, b, met): each class of a posting list with the list's hub, and in how many lists they met."""
+def hubs_of(posted: DataFrame) -> DataFrame:
+    """(token, b, nb): the most central class of each posting list of several, and its size."""
     hubs = posted.groupBy("token").agg(F.max(F.struct("score", -F.col("rep"), "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hubs = hubs.select("token", (-F.col("hub.col2")).alias("b"), F.col("hub.n_shingles").alias("nb"))
+    return hubs.select("token", (-F.col("hub.col2")).alias("b"), F.col("hub.n_shingles").alias("nb"))
+
+
+def with_hubs(posted: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b, met): each class of a posting list with the list's hub, and in how many lists they met."""
     return posted.join(hubs, "token").where(F.col("rep") != F.col("b")).where(_alike("n_shingles", "nb")).groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("met"))
 
 
-def across(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, met): all pairs of a posting list that are in different components, and in how many lists they met.
+def across(posted: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, i, j, rest, rep, label): who meets in which block of the second pass.
 
-    A list's largest component needs no pairs of its own, so what is left of the
-    list is paired with it and with itself, block by block of either.
+    The largest component of a hub's classes needs no pairs of its own, so what is
+    left of them (``rest``, dealt over j) meets all (dealt over i).
     """
-    named = posted.join(labels, posted["rep"] == labels["node"], "left").select("token", "rep", "n_shingles", F.coalesce("label", "rep").alias("label"))
-    parts = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    lists = parts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    blocks = lambda n: F.ceil(n / SIDE).cast("int")
-    lists = lists.select("token", F.col("top.label").alias("big"), blocks(F.col("all")).alias("wide"), blocks(F.col("all") - F.col("top.n")).alias("deep"))
-    every = saved(named.join(lists, "token"), "lists")
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    named = posted.join(hubs, "token").join(labels, F.col("rep") == F.col("node"), "left")
+    named = named.groupBy(F.col("b").alias("hub"), "rep").agg(F.first(F.coalesce("label", "rep")).alias("label"), F.first("n_shingles").alias("n"))
+    parts = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    met = parts.groupBy("hub").agg(F.max(F.struct("k", "n", "label")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda k, n: F.greatest(F.ceil(k / SIDE), F.ceil(n / SIDE_SHINGLES)).cast("int")
+    met = met.select("hub", F.col("top.label").alias("big"), blocks(F.col("k"), F.col("n")).alias("wide"), blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("deep"))
+    every = named.drop("n").join(met, "hub")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = every.where("label <> big").withColumn("j", block("deep")).withColumn("i", each("wide")).select("token", "i", "j", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-    other = every.withColumn("i", block("wide")).withColumn("j", each("deep")).select("token", "i", "j", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"), "big")
-    pairs = rest.join(other, ["token", "i", "j"]).where("la <> lb AND (lb = big OR a < b)").where(_alike("na", "nb"))
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    some = every.where("label <> big").select("hub", each("wide").alias("i"), own("deep").alias("j"), F.lit(True).alias("rest"), "rep", "label")
+    return some.union(every.select("hub", own("wide").alias("i"), each("deep").alias("j"), F.lit(False), "rep", "label"))
 
 
 def _agree(batches):
@@ -196,35 +201,95 @@ def retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "sb").mapInArrow(_agree, "a long, b long, na long").distinct()
 
 
-def shared_shingles(code: np.ndarray, row: np.ndarray, rows: int, hubs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles of each row, shingles that it has in common with each hub row): both of exact sets. Rows of fewer words share none with another class."""
-    gram = gram_codes(code, k)
-    at = np.flatnonzero(row[: len(gram)] == row[k - 1 :])
-    top = int(gram.max()) + 1 if len(gram) else 1
-    pair = np.unique(row[at] * top + gram[at])
-    owner, gram = pair // top, pair % top
-    size = np.bincount(owner, minlength=rows)
-    common = np.zeros((len(hubs), rows), np.int64)
-    for n, hub in enumerate(hubs.tolist()):
-        has = np.zeros(top, bool)
-        has[gram[owner == hub]] = True
-        common[n] = np.bincount(owner, has[gram], rows)
-    return size, common
+class _Sets:
+    """The exact shingle sets of a table's texts. Texts of fewer words have none that another class could share."""
+
+    def __init__(self, column, k: int = 5):
+        raw, off = flat(unpacked(column))
+        raw = lowered(raw)
+        start, end, row = words(raw, off)
+        gram = gram_codes(word_codes(raw, start, end), k)
+        at = np.flatnonzero(row[: len(gram)] == row[k - 1 :])
+        self.top = int(gram.max()) + 1 if len(gram) else 1
+        self.key = np.unique(row[at] * self.top + gram[at])
+        self.cut = np.searchsorted(self.key, np.arange(len(off)) * self.top)
+        self.size = np.diff(self.cut)
+
+    def linked(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows have ``percent`` of their union in common."""
+        out = np.zeros(len(x), bool)
+        total = np.append(0, np.cumsum(self.size[x]))
+        a = 0
+        while a < len(x):
+            z = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 20), "right")) - 1)
+            p, n = x[a:z], self.size[x[a:z]]
+            code = self.key[ranges(self.cut[p], n)] % self.top
+            hit = member(np.repeat(y[a:z], n) * self.top + code, self.key)
+            common = np.bincount(np.repeat(np.arange(len(p)), n), hit, len(p)).astype(np.int64)
+            out[a:z] = (common > 0) & (100 * common >= percent * (n + self.size[y[a:z]] - common))
+            a = z
+        return out
 
 
 def _compare(table: pa.Table, percent: int) -> pa.Table:
     """The links between a hub and the classes that came to one of its tiles."""
     rep, hub = table.column("rep").to_numpy(), table.column("hub")[0].as_py()
-    raw, off = flat(unpacked(table.column("text")))
-    raw = lowered(raw)
-    start, end, row = words(raw, off)
-    hubs = np.flatnonzero(rep == hub)
-    size, common = shared_shingles(word_codes(raw, start, end), row, len(rep), hubs)
-    linked = ((100 * common >= percent * (size + size[hubs][:, None] - common)) & (common > 0)).any(0) & (rep != hub)
-    found = np.unique(rep[linked])
+    sets = _Sets(table.column("text"))
+    other, own = np.flatnonzero(rep != hub), np.flatnonzero(rep == hub)
+    x, y = np.repeat(other, len(own)), np.tile(own, len(other))
+    found = np.unique(rep[x[sets.linked(x, y, percent)]])
     return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array(np.full(len(found), hub), pa.int64())})
 
 
+def joining(est: np.ndarray, x: np.ndarray, y: np.ndarray, label: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Links among the candidate pairs (x, y) that join components, given by label: for each x its likeliest candidates by ``est``, one, then two, four ..., until no pair of two components is left to look at."""
+    _, part = np.unique(label, return_inverse=True)
+    above = np.arange(int(part.max()) + 1)
+
+    def root(v: int) -> int:
+        while above[v] != v:
+            above[v] = above[above[v]]
+            v = above[v]
+        return v
+
+    order = np.lexsort((y, -est, x))
+    x, y, links, many = x[order], y[order], [], 1
+    while len(x):
+        first = np.searchsorted(x, x, "left")
+        now = np.arange(len(x)) - first < many
+        p, q = x[now], y[now]
+        for k in np.flatnonzero(linked(p, q)).tolist():
+            a, b = root(part[p[k]]), root(part[q[k]])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                links.append((int(p[k]), int(q[k])))
+        roots = np.array([root(v) for v in range(len(above))])[part]
+        left = ~now & (roots[x] != roots[y])
+        x, y, many = x[left], y[left], 2 * many
+    return links
+
+
+def _meet(table: pa.Table, percent: int) -> pa.Table:
+    """A block of the second pass: pairs above the match threshold of its rest with all, until each pair is of one component or compared."""
+    rep, label, rest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "rest"))
+    sig = np.frombuffer(flat(table.column("sig"))[0].tobytes(), np.uint64).reshape(-1, K)
+    x, y = np.flatnonzero(rest), np.flatnonzero(~rest)
+    collisions = np.zeros((len(x), len(y)), np.int64)
+    for k in range(K):
+        a, b = sig[x, k], sig[y, k]
+        collisions += (a[:, None] == b) & (a != EMPTY)[:, None]
+    count = (sig != EMPTY).sum(1)
+    keep = (collisions >= needed(np.maximum(count[x][:, None], count[y]))) & (label[x][:, None] != label[y])
+    i, j = np.nonzero(keep)
+    links: list[tuple[int, int]] = []
+    if len(i):
+        sets = _Sets(table.column("text"))
+        n, x, y = sets.size, x[i], y[j]
+        alike = (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+        links = joining(collisions[i, j][alike], x[alike], y[alike], label, lambda p, q: sets.linked(p, q, percent))
+    return pa.table({"a": pa.array([int(rep[p]) for p, _ in links], pa.int64()), "b": pa.array([int(rep[q]) for _, q in links], pa.int64())})
+
+
 def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have ``percent`` of their union in common, compared on their words.
 
@@ -233,7 +298,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = 75) -> DataFra
     hubs = pairs.groupBy("b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("na") / BLOCK_SHINGLES)).cast("int").alias("tiles"))
     dealt = pairs.join(hubs, "b").select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int").alias("tile"), F.col("a").alias("rep"))
     own = hubs.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("b").alias("rep"))
-    tiles = dealt.union(own).join(bodies, "rep")
+    tiles = dealt.union(own).join(bodies.select("rep", "text"), "rep")
     return tiles.groupBy("hub", "tile").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
 
 
@@ -277,12 +342,13 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     base = classes.select(F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"), "rep", "n_shingles", "sig").repartition(parts, "chunk")
     common = answer(ask(base, lambda t: _tokens(_Classes(t), buckets)), _frequent)
     posted = saved(finish(base, common, _posted, _POSTED), "posted")
-    first = saved(retained(with_hubs(posted), classes), "pairs")
-    met = posted.join(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "token").select("rep").distinct()
-    bodies = saved(packed(docs, key, text).join(met, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text"), "bodies")
-    links = saved(confirmed(first, bodies), "links")
-    second = retained(across(posted, components(links)), classes).join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = links.union(saved(confirmed(saved(second, "pairs"), bodies), "links"))
+    hubs = saved(hubs_of(posted), "hubs")
+    met = posted.join(hubs.select("token"), "token", "left_semi").select("rep").distinct()
+    bodies = packed(docs, key, text).join(met, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    bodies = saved(bodies.join(classes.select("rep", "sig"), "rep"), "bodies")
+    links = saved(confirmed(retained(with_hubs(posted, hubs), classes), bodies), "links")
+    blocks = across(posted, hubs, components(links)).join(bodies, "rep")
+    links = links.union(saved(blocks.groupBy("hub", "i", "j").applyInArrow(lambda t: _meet(t, 75), "a long, b long"), "links"))
     per = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     labels = components(links)
     named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").join(per, "rep", "left")
