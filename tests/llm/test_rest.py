@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallywood.llm.chat_format import CLOSE, OPEN, preference_pairs
 from tallywood.llm.decontaminate import MASKS, Benchmark, _found, contaminated, decontaminate, masks_for
-from tallywood.llm.html_extract import entropy, extract_text, main_text, parse, style_tree
+from tallywood.llm.html_extract import _walk, entropy, extract_text, main_text, parse, style_tree, styles
 from tallywood.llm.mixing import mix_sources, repeated
 from tallywood.llm.quality import Net, crc_rest, fit, keep_good, padded, score_documents, train
 from tallywood.llm.sharding import Shard, grown, shard_documents, shard_of, tree
@@ -50,7 +51,7 @@ def test_gradients():
         p = net.rest(top, mean, first)[1]
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
-    grads = net.gradients(raw, off, y, w)
+    grads = net.gradients(raw, off, y, w / 3)
     for k, g in grads.items():
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
         net.p[k][at] += 1e-5
@@ -106,6 +107,35 @@ def test_preference_pairs(spark):
     assert preference_pairs(df.limit(0)).collect() == []
 
 
+def test_preference_pairs_match_sql(spark, tmp_path):
+    """Pairs that share 0 to 7 turns, up to all, against the registered SQL; some have very long texts, nulls and repeated turns."""
+    import duckdb
+
+    from tallywood.llm import queries as Q
+
+    rng = random.Random(7)
+    say = lambda: rng.choice([None, "", "ok", "é漢🙂", "why?", "because " * rng.randint(1, 30), "long " * 40_000 if rng.random() < 0.02 else "so"])
+    rows = []
+    for pair in range(80):
+        turns = [(rng.choice(["system", "user", "assistant", None]), say()) for _ in range(rng.randint(1, 8))]
+        for side in (0, 1):
+            if side and pair % 11 == 0:
+                continue
+            mine = turns[: rng.randint(0, len(turns))] + [(rng.choice(["user", "assistant"]), say()) for _ in range(rng.randint(0, 4))]
+            rows += [(2 * pair + side, k, *t, 1) for k, t in enumerate(mine or turns)]
+            rows += rows[-1:] if pair % 7 == 0 else []
+    spark.createDataFrame([*rows, (None, 0, "user", "lost", 1)], "conv_id long, turn long, role string, text string, a int").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = Q.QUERIES["op2_preference_pairs"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = db.execute(Q.SQL["op2_preference_pairs"])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(got.columns)
+    want = sorted(found.fetchall(), key=repr)
+    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr) == want
+    assert len({r[names.index("n_prompt_turns")] for r in want}) > 4
+
+
 # ------------------------------------------------------------------ html
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><aside>side</aside><div id="cookie-notice">ok?</div>
@@ -138,22 +168,43 @@ def test_style_tree_judges_articles(spark):
     assert got == {i: f"Note text {i}" for i in range(9)} | {20 + i: "one text" for i in range(9)} | {40 + i: f"Note text {i}\n\nRead our terms" for i in range(3)}
 
 
-def test_articles_are_evidence_only():
-    text = "The text of the page goes on for some time. " * 4
-    teasers = "<article><a href='/a'>Other post</a></article><article><p>Next one</p></article>"
-    assert main_text(parse(f"<div><p>{text}</p></div>{teasers}")) == text.strip()
-    assert main_text(parse(f"<div><p>{text}</p></div><aside>{teasers}</aside>")) == text.strip()
-    assert main_text(parse(f"<div>by line</div><article><p>{text}</p>{teasers}</article>{teasers}")) == text.strip()
-    assert main_text(parse(f"<main><h1>Title</h1><article><p>{text}</p></article><article><p>{text}</p></article></main>")) == f"Title\n\n{text.strip()}\n\n{text.strip()}"
-    assert main_text(parse("<div>by line</div><article><p>Short</p></article>")) == "Short"
-
-
-def test_style_tree_judges_articles(spark):
-    page = lambda i: f"<html><body><article><p><b>Note</b> text {i}</p><div class='box'><p>Read our terms</p></div></article></body></html>"
-    same = "<html><body><article><p>one text</p></article><div>shown</div></body></html>"
-    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(9)] + [(20 + i, f"http://copies.example/{i}", same) for i in range(9)] + [(40 + i, f"http://few.example/{i}", page(i)) for i in range(3)]
-    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"Note text {i}" for i in range(9)} | {20 + i: "one text" for i in range(9)} | {40 + i: f"Note text {i}\n\nRead our terms" for i in range(3)}
+def test_names_are_read_as_wholes():
+    text = lambda part, where="": main_text(parse(f"<body>{where}<article>{part}<p>Story</p></article></body>"))
+    assert text('<div class="entry-header"><h1>Title</h1></div>') == "Title\n\nStory"
+    assert text('<div class="social-history"><p>How it began</p></div>') == "How it began\n\nStory"
+    assert text('<div class="x" hidden>gone</div><div hidden>too</div><p title="not hidden here">Shown</p>') == "Shown\n\nStory"
+    for name in ("site-header", "post-comments", "related-posts", "share-buttons", "google-ads", "cookie-notice", "main-nav"):
+        assert text(f'<div class="{name}">gone</div>') == "Story", name
+    assert text("", '<div class="left-sidebar">side</div><div id="page-footer">foot</div>') == "Story"
+
+
+def test_deep_and_broken_pages_take_one_pass():
+    deep = parse("<div>" * 3000 + "<p>deep</p>")
+    paths = [node.path for node in _walk(deep)]
+    assert len(set(paths)) == len(paths) and max(map(len, paths)) < 1000 and main_text(deep) == "deep"
+    for page in ("<a " * 60_000, "<div>" * 20_000 + "</span>" * 60_000, "<b>" * 20_000 + "<hr>" * 60_000, "<a \"'>" * 60_001, "<!--" * 60_000, "<p><b>" * 20_000):
+        began = time.time()
+        main_text(parse(page))
+        assert time.time() - began < 5, page[:20]
+    assert main_text(parse("<p>kept</p><a href='cut")) == "kept" and main_text(parse('<p class="x>one</p><p>two</p>')) == "one\n\ntwo"
+    places = styles(parse("".join(f"<div class='{' '.join('abcdefgh'[:k])}'>t{k}</div>" for k in range(1, 9))))
+    assert len(places) == 8
+
+
+def test_gold_pages(spark):
+    """Pages of a host whose template has no telling tags or names: the tree alone takes it away, and with no tree it stays."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["river", "stone", "walks", "under", "light", "moon", "sand", "tree"]) for _ in range(n))
+    rows, gold = [], {}
+    for i in range(24):
+        paragraphs = [f"{say(rng.randint(5, 40))} {i}" for _ in range(rng.randint(1, 5))]
+        top = '<div class="alpha"><p>Our house style</p><ul><li>Start</li><li>People</li></ul></div>'
+        body = f'<div class="beta"><h1>Head {i}</h1>{"".join(f"<p>{p}</p>" for p in paragraphs)}</div>'
+        rows.append((i, f"https://{'a' if i % 2 else 'b'}.example/{i}", f'<html><body>{top}{body}<div class="gamma">Made by hand<br>in one town</div></body></html>'))
+        gold[i] = "\n\n".join([f"Head {i}", *paragraphs])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == gold
+    assert all(r.text == f"Our house style\n\nStart\n\nPeople\n\n{gold[r.page_id]}\n\nMade by hand in one town" for r in extract_text(pages, least_importance=0.0).collect())
 
 
 def test_style_tree_importance(spark):
@@ -161,7 +212,7 @@ def test_style_tree_importance(spark):
     rows = [(i, f"http://h.example/{i}", body(i)) for i in range(9)] + [(50, None, None), (51, "http://h.example/e", ""), (0, "http://h.example/0", body(0))]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")
     tree = {(r.host, r.path): r for r in style_tree(df).collect()}
-    assert tree["h.example", "/html/body/div/p"].content == pytest.approx(0)
+    assert tree["h.example", "/html/body/div/p"].content == pytest.approx(entropy([10])) == 0.1
     assert tree["h.example", "/html/body/div.x/span"].content == pytest.approx(entropy([2] + [1] * 8))
     got = {(r.page_id, r.text, r.n_chars) for r in extract_text(df).collect()}
     assert got == {(i, f"text {i}", 6) for i in range(9)} | {(50, "", 0), (51, "", 0)}
@@ -260,6 +311,16 @@ def overlaps(doc: list[str], item: list[str], least: int = 10, percent: int = 75
     return None if not got else (got[0][2], -got[0][3], -got[0][4], -got[0][5])
 
 
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    from tallywood.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "BLOCK_BYTES", 200)
+    rows = [(i, f"{'word ' * (i % 7)}item{i}") for i in range(60)] + [(99, "long " * 300), (5, "word item5")]
+    blocks = list(D._blocks(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", MASKS))
+    assert sorted(i for b in blocks for i in b.ids.tolist()) == sorted(i for i, _ in rows)
+    assert all(len(b.raw) <= 400 or len(b.ids) == 1 for b in blocks) and len(blocks) > 4
+
+
 def test_all_of_a_diagonal_is_looked_at():
     put = lambda part, *at: [f"x{i}" if i in at else w for i, w in enumerate(part)]
     # A weak stretch first, then a strong one, on one diagonal.
