@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import WORD, saved
 
 #: The seeded order is cut into 16**BIN_DIGITS bins, so that no source is sorted in one task.
 BIN_DIGITS = 3
@@ -25,9 +25,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """The seeded order of a document: a hex MD5, the same in any engine."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """The seeded order of a document: a hex MD5 of its id, or of its text where it has none; the same in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.coalesce(text, F.lit("")))).cast("binary"))
 
 
 def water_fill(sources: DataFrame, max_epochs: float = 3.0, total: Column | None = None) -> DataFrame:
@@ -58,23 +58,25 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     what the fractional round takes of it. A source's taken words sum to its
     rounded target. Sources in code-point order, null last, take ``weights`` in
     turn. A null text or a text without words has size 0 and taken 0. Rows that
-    repeat a doc_id are documents of their own. An empty table gives an empty
+    repeat a doc_id are documents of their own; rows without one are ordered by their texts. An empty table gives an empty
     result. Sums per source are integers, so reruns agree.
 
     A hot source is never sorted as a whole: documents fall into bins of their
     seeded draw, bins are summed, and only within a bin are they ordered.
     """
     extra = [c for c in columns if c not in ("doc_id", "source", "size")]
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *extra)
-    rows = rows.withColumn("_draw", draw(F.col("doc_id"), seed)).withColumn("_bin", F.substring("_draw", 1, BIN_DIGITS))
-    rows = rows.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))  # a key without nulls
-    bins = rows.groupBy("_src", "_bin").agg(F.first("source").alias("source"), F.sum("size").alias("_bin_size"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw(F.col(key), F.col(text), seed).alias("_draw"))
+    sized = saved(sized, "sizes")  # texts are counted once for all the sums
+    keyed = lambda d: d.withColumn("_bin", F.substring("_draw", 1, BIN_DIGITS)).withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))  # noqa: E731  a key without nulls
+    whole = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw(F.col(key), F.col(text), seed).alias("_draw"), *extra)
+    rows = keyed(whole if extra else sized)
+    bins = keyed(sized).groupBy("_src", "_bin").agg(F.first("source").alias("source"), F.sum("size").alias("_bin_size"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     sources = bins.groupBy("_src").agg(F.first("source").alias("source"), F.sum("_bin_size").alias("source_size"))
     sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")))
     sources = water_fill(sources, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sources = sources.withColumn("_whole", whole).withColumn("_more", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
+    times = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
+    sources = sources.withColumn("_whole", times).withColumn("_more", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
     start = F.coalesce(F.sum("_bin_size").over(W.partitionBy("_src").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = bins.withColumn("_start", start).select("_src", "_bin", "_start").join(sources.select("_src", "source_size", "target", "_whole", "_more"), "_src")
     # A document gets the fraction of the round that is left when its turn comes in the seeded order.
@@ -86,7 +88,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
 
 
 def repeated(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """The mix itself: each document as often as it is taken whole; where a fraction is left, once more with its first words, joined by one space."""
+    """The mix itself: each document as often as it is taken whole; where a fraction is left, once more with its first words, joined by one space.
+
+    A document without words, or of which nothing is taken, isn't in the mix. Rows
+    that repeat an id are repeated each; an empty table gives an empty mix.
+    """
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rows = mixed.where(F.col("taken") > 0).withColumn("_whole", whole).withColumn("_rest", (F.col("taken") - F.col("_whole") * F.col("size")).cast("int"))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + (F.col("_rest") > 0).cast("int"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat_format import preference_pairs
 from .decontaminate import contaminated
@@ -26,7 +27,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_pairs(_table(spark, sf_dir, "conversations"))
+    """Masks as text, start-stop by start-stop."""
+    pairs = preference_pairs(_table(spark, sf_dir, "conversations"))
+    said = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
+    return pairs.withColumns({c: said(c) for c in ("chosen_mask", "rejected_mask")})
 
 
 def op3_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +81,20 @@ QUERIES = {
 _W = r"[^\x20\x09-\x0D]+"
 
 SQL = {
+    "op2_preference_pairs": """
+WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS said FROM t),
+p AS (SELECT a.pair_id, a.k FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.k = b.k AND a.good AND NOT b.good AND a.role = b.role AND a.text = b.text),
+c AS (SELECT pair_id, count(*) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY k) AS r FROM p) WHERE r = k GROUP BY pair_id),
+f AS (SELECT n.*, coalesce(shared, 0) AS shared FROM n LEFT JOIN c ON c.pair_id = n.pair_id),
+g AS (SELECT *, coalesce(sum(length(said)) FILTER (WHERE k > shared) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length('<|im_start|>') + length(role) + 1 AS b FROM f),
+m AS (SELECT *, CAST(CAST(b AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(b + length(text) AS BIGINT) AS VARCHAR) AS span, k > shared AS own FROM g)
+SELECT pair_id, max(conv_id) FILTER (WHERE good) AS chosen_id, max(conv_id) FILTER (WHERE NOT good) AS rejected_id, CAST(max(shared) AS BIGINT) AS n_prompt_turns,
+       coalesce(string_agg(said, '' ORDER BY k) FILTER (WHERE good AND NOT own), '') AS prompt,
+       coalesce(string_agg(said, '' ORDER BY k) FILTER (WHERE good AND own), '') AS chosen, coalesce(string_agg(said, '' ORDER BY k) FILTER (WHERE NOT good AND own), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY k) FILTER (WHERE good AND own AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(span, ',' ORDER BY k) FILTER (WHERE NOT good AND own AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY pair_id""",
     "op4_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_W}'), []) AS w FROM documents),
 v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
@@ -89,7 +107,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op5_mix_sources": rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_W}')), 0) AS BIGINT) AS size,
-                  md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS dr FROM documents),
+                  md5('17|' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS dr FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) AS t FROM s),
