@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import flat, mix, slices, word_hash, words
+from ._common import flat, mix, ranges, slices, word_hash, words
 from .near_dedup import lowered
 
 #: These find every overlap of LEAST matching words or more, PERCENT or more of its words.
 MASKS = ("11111", "110111", "100001111", "1101000011")
 LEAST, PERCENT = 10, 75
-#: Benchmark items that are looked for in one pass over the documents.
-BLOCK_ITEMS = 20_000
+#: Benchmark items, and bytes of them (or one item), that are looked for in one pass over the documents.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 #: Hits, or words along their diagonals, that are held at a time.
 HELD = 1 << 20
 RESULT = "doc_id long, item_id long, n_matched long, n_overlap long, doc_start long, item_start long"
@@ -56,11 +56,6 @@ def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1 ... of each entry, one after the other."""
-    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
-
-
 def overlap(same: np.ndarray, percent: int) -> tuple[int, int, int]:
     """(matched, length, start) of the stretch with the most matches of which at least ``percent`` of the words match; the shortest, then the first, of several."""
     at = np.flatnonzero(same)
@@ -87,6 +82,7 @@ class Benchmark:
         raw = lowered(raw)
         start, end, row = words(raw, off)
         self.ids = np.array([i for i, _ in items], np.int64)
+        self.raw, self.start, self.end = raw, start, end
         self.h = word_hash(raw, start, end, 1)
         self.first = np.searchsorted(row, np.arange(len(items) + 1))
         size = np.diff(self.first)
@@ -130,7 +126,7 @@ class Benchmark:
         order = np.argsort(hit, kind="stable")
         hit, lo, many = hit[order], lo[order], many[order]
         for a, z in _parts(many):
-            p, q = np.repeat(hit[a:z], many[a:z]), self.where[_ranges(lo[a:z], many[a:z])]
+            p, q = np.repeat(hit[a:z], many[a:z]), self.where[ranges(lo[a:z], many[a:z])]
             # Along a diagonal the difference stays, so that it tells diagonals of one document and item apart.
             width = n + len(self.row)
             key = np.unique((row[p] * len(self.ids) + self.row[q]) * width + p - q + len(self.row))
@@ -150,11 +146,20 @@ def _found(bench: Benchmark, raw: np.ndarray, off: np.ndarray, least: int, perce
         q = np.maximum(bench.first[item], first[d] - diagonal)
         size = np.minimum(bench.first[item + 1], first[d + 1] - diagonal) - q
         for a, z in _parts(size):
-            at = _ranges(q[a:z], size[a:z])
+            at = ranges(q[a:z], size[a:z])
             same = h[at + np.repeat(diagonal[a:z], size[a:z])] == bench.h[at]
             head = np.cumsum(size[a:z]) - size[a:z]
             for k in np.flatnonzero(np.add.reduceat(same, head, dtype=np.int64) >= enough[a:z]).tolist():
                 matched, length, skip = overlap(same[head[k] : head[k] + size[a + k]], percent)
+                if matched >= enough[a + k]:
+                    # What the hashes say is looked at word by word.
+                    mine = slice(head[k], head[k] + size[a + k])
+                    real = same[mine].copy()
+                    for j in np.flatnonzero(real).tolist():
+                        x, y = int(at[head[k] + j] + diagonal[a + k]), int(at[head[k] + j])
+                        real[j] = raw[start[x] : end[x]].tobytes() == bench.raw[bench.start[y] : bench.end[y]].tobytes()
+                    if not np.array_equal(real, same[mine]):
+                        matched, length, skip = overlap(real, percent)
                 if matched >= enough[a + k]:
                     i = a + k
                     pair, word = (int(d[i]), int(item[i])), int(q[i]) + skip
@@ -164,11 +169,18 @@ def _found(bench: Benchmark, raw: np.ndarray, off: np.ndarray, least: int, perce
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...]) -> Iterator[Benchmark]:
-    """The benchmark in blocks of a bounded number of items; each is small enough to be sent to all tasks."""
-    rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
-    blocks = -(-rows.count() // BLOCK_ITEMS)
+    """The benchmark in blocks of a bounded number of items and bytes; each is small enough to be sent to all tasks."""
+    rows = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
+    count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks = max(-(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES), min(count, 1))
+    while blocks > 1:  # until no block is far above the bound, but for single items
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+        over = rows.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size"), F.count_distinct("item_id", "text").alias("kinds"))
+        if over.where(f"kinds > 1 AND (n > {2 * BLOCK_ITEMS} OR size > {2 * BLOCK_BYTES})").isEmpty():
+            break
+        blocks *= 2
     for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         yield Benchmark(sorted((r[0], r[1]) for r in part.collect()), masks)
 
 
@@ -205,7 +217,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, percent
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 10, percent: int = 75, text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that overlap with no benchmark item; see :func:`contaminated`."""
+    """The documents, with all their columns, that overlap with no benchmark item; see :func:`contaminated`.
+
+    A null or empty text, and any document when the benchmark is empty, stays.
+    Rows that repeat, or have no id, are judged one by one.
+    """
     for bench in _blocks(benchmark, "item_id", "text", masks_for(least, percent)):
 
         def run(batches, bench=bench):

@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import input_bytes
-
-#: Slots are numbered within bins of a shard; so many bins at least, more for larger tables.
-BINS = 256
+#: Slots are numbered within bins of a shard. The same for every table, so that the same rows always get the same slots.
+BINS = 4096
 
 
 @dataclass(frozen=True)
@@ -91,7 +89,8 @@ def shard_documents(docs: DataFrame, shards: list[Shard] | None = None, key: str
     The law is ``key``: only the doc_id and the tree decide. A null doc_id
     draws as the text "null"; rows with one doc_id go to one shard. Size is the UTF-8 bytes
     of the text plus 1, 1 for a null text, whose CRC is that of no bytes. Slots
-    are gapless in each shard. An empty table gives an empty result. Columns of
+    are gapless in each shard and depend on the rows alone; rows that share an id,
+    or have none, are told apart by their texts. An empty table gives an empty result. Columns of
     the input that are not named are ignored, so clashing names don't matter.
     """
     shards = shards or tree(16)
@@ -101,6 +100,5 @@ def shard_documents(docs: DataFrame, shards: list[Shard] | None = None, key: str
         F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"),
         shard_of(name, shards).alias("shard"), shard_of(name, grown(shards)).alias("grown_shard"), *[F.col(c) for c in columns if c not in ("doc_id", key)],
     )
-    bins = max(BINS, -(-input_bytes(docs) // (8 << 20)))
-    placed = numbered(rows, "shard", ["doc_id", "size", "text_crc32"], bins, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    placed = numbered(rows, "shard", ["doc_id", "size", "text_crc32"], BINS, F.struct("doc_id", "size", "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", *[c for c in columns if c not in ("doc_id", key)])
