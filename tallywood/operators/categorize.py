@@ -54,46 +54,43 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def knn(queries: DataFrame, labelled: DataFrame, k: int = V.NEIGHBOURS, block: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, label, sim): the k nearest labelled vectors by dot product, ties by id.
+def knn(queries: DataFrame, labelled: DataFrame, k: int = V.NEIGHBOURS, block: int = 8192, others: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, label, sim): the k nearest labelled vectors by dot product, ties by id; with ``others`` a query's own row doesn't count.
 
-    Queries (query_id, vector) meet the labelled set (vec_id, vector, label) in
-    blocks of a bounded number of vectors; each block is a matrix sent to all
-    tasks, and a task keeps k candidates per query and block. The blocks' lists
-    are then merged by rank.
+    Queries (query_id, vector) and the labelled set (vec_id, vector, label) are
+    dealt into blocks of some ``block`` vectors. Each block of queries meets each
+    labelled block as two matrices in one task, which keeps k candidates for a
+    query; these are merged by rank. Only two counts reach the driver.
     """
-    import numpy as np
-    import pandas as pd
-
-    total = labelled.count()
-    blocks = max(1, -(-total // block))
-    out = None
-    for b in range(blocks):
-        part = labelled if blocks == 1 else labelled.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = part.select("vec_id", "vector", "label").orderBy("vec_id").collect()
-        ids = np.array([r[0] for r in rows], np.int64)
-        labels = np.array([r[2] for r in rows], object)
-        matrix = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
-
-        def near(frames, ids=ids, labels=labels, matrix=matrix):
-            for f in frames:
-                got = []
-                for a in range(0, len(f), 256):
-                    part = f.iloc[a : a + 256]
-                    if not len(ids):
-                        continue
-                    sims = np.stack(part["vector"].to_list()).astype(np.float64) @ matrix.T
-                    m = min(k, len(ids))
-                    order = np.lexsort((np.broadcast_to(ids, sims.shape), -np.round(sims, 12)), axis=1)[:, :m]
-                    for q, o, s in zip(part["query_id"], order, sims, strict=True):
-                        got += [(q, int(ids[i]), labels[i], float(s[i])) for i in o]
-                yield pd.DataFrame(got, columns=["query_id", "vec_id", "label", "sim"])
-
-        kind = dict(labelled.dtypes)["label"]
-        found = queries.select("query_id", "vector").mapInPandas(near, f"query_id long, vec_id long, label {kind}, sim double")
-        out = found if out is None else out.unionByName(found)
+    kind = dict(labelled.dtypes)["label"]
+    many = lambda d: max(1, -(-d.count() // block))
+    rows, columns = many(queries), many(labelled)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), part("query_id", rows).alias("i"), each(columns).alias("j"))
+    v = labelled.select("vec_id", F.col("vector").cast("array<double>").alias("vector"), "label", each(rows).alias("i"), part("vec_id", columns).alias("j"))
+
+    def near(a, b):
+        import numpy as np
+        import pandas as pd
+
+        got: list[tuple] = []
+        if len(a) and len(b):
+            b = b.sort_values("vec_id")
+            ids, labels, matrix = b["vec_id"].to_numpy(), b["label"].to_numpy(), np.stack(b["vector"].to_list())
+            for s in range(0, len(a), 256):
+                some = a.iloc[s : s + 256]
+                sims = np.stack(some["vector"].to_list()) @ matrix.T
+                rank = np.round(sims, 12)
+                if others:
+                    rank[some["query_id"].to_numpy()[:, None] == ids] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, sims.shape), -rank), axis=1)[:, :k]
+                got += [(query, int(ids[n]), labels[n], float(sims[r, n])) for r, query in enumerate(some["query_id"]) for n in order[r] if rank[r, n] > -np.inf]
+        return pd.DataFrame(got, columns=["query_id", "vec_id", "label", "sim"])
+
+    found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInPandas(near, f"query_id long, vec_id long, label {kind}, sim double")
     w = W.partitionBy("query_id").orderBy(F.round("sim", 12).desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def vote(neighbours: DataFrame) -> DataFrame:

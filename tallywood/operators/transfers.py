@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,16 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.money import pair_id
 from ..functions.text import has_hint
 from ..plans import vocabulary as V
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """Through a table in the shared folder, which outlives executors; where none is configured, lineage is kept."""
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return df
-    path = f"{at.rstrip('/')}/{uuid.uuid4().hex}-pairs"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..shared import saved
 
 
 def candidates(legs: DataFrame, window_days: int = V.TRANSFER_WINDOW, require_hint: bool = True) -> DataFrame:
@@ -47,13 +36,13 @@ def find_pairs(legs: DataFrame, window_days: int = V.TRANSFER_WINDOW, require_hi
     order is total; taking all of those at once and going on with the rest gives
     the same pairs in a few rounds, in whatever order rows come.
     """
-    rest, done = _saved(candidates(legs, window_days, require_hint)), None
+    rest, done = saved(candidates(legs, window_days, require_hint)), None
     order = [F.col("gap"), F.col("size").desc(), F.col("out_key"), F.col("in_key")]
     while not rest.isEmpty():
         best = rest.withColumn("_o", F.row_number().over(W.partitionBy("out_key").orderBy(*order))).withColumn("_i", F.row_number().over(W.partitionBy("in_key").orderBy(*order)))
-        found = _saved(best.where("_o = 1 AND _i = 1").drop("_o", "_i"))
+        found = saved(best.where("_o = 1 AND _i = 1").drop("_o", "_i"))
         done = found if done is None else done.unionByName(found)
-        rest = _saved(rest.join(found.select("out_key"), "out_key", "left_anti").join(found.select("in_key"), "in_key", "left_anti"))
+        rest = saved(rest.join(found.select("out_key"), "out_key", "left_anti").join(found.select("in_key"), "in_key", "left_anti"))
     done = rest if done is None else done
     return done.withColumn("transfer_group", pair_id(F.col("out_key"), F.col("in_key")))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from .functions import text as X
 from .operators import categorize as C
 from .operators import coverage, detect, merge, periods, query, recurrence, transfers, views
 from .plans import adapters as A
+from .shared import place
 from .sources.lines import HEAD
 from .streaming import queues
 
@@ -222,19 +221,43 @@ register("transfer_pairs", "legs")(transfers.find_pairs)
 
 # ---------------------------------------------------------------- recurrence
 register("recurrence_key", "series", "SELECT natural_key, trim(regexp_replace(regexp_replace(replace(lower(description), 's.p.a.', 'spa'), '[^a-z]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM series")(lambda s: s.select("natural_key", X.recurrence_key(F.col("description")).alias("key")))
-_GROUPS = """, r AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(description), 's.p.a.', 'spa'), '[^a-z]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key, amount < 0 AS outgoing FROM series),
-d AS (SELECT key, outgoing, value_date, sum(amount) AS total FROM r GROUP BY ALL),
-g AS (SELECT *, value_date - lag(value_date) OVER w AS gap, lag(total) OVER w AS prev FROM d WINDOW w AS (PARTITION BY key, outgoing ORDER BY value_date)),
-q AS (SELECT key, outgoing, count(*) AS n, min(value_date) AS first_date, max(value_date) AS last_date, median(gap) AS mg, list(gap) FILTER (WHERE gap IS NOT NULL) AS gaps, min(total) AS amount_min, max(total) AS amount_max,
-  list_sort(list(total)) AS ts, count(*) FILTER (WHERE least(abs(total), abs(prev)) > 0 AND greatest(abs(total), abs(prev)) <= 1.5 * least(abs(total), abs(prev))) AS alike FROM g GROUP BY ALL HAVING count(*) >= 3),
-c AS (SELECT q.*, w.* FROM q JOIN (VALUES ('weekly',5,10),('monthly',24,38),('bimonthly',50,75),('quarterly',78,110),('semiannual',155,220),('yearly',330,430)) w(cadence, lo, hi) ON mg BETWEEN lo AND hi),
-e AS (SELECT *, len(list_filter(gaps, lambda x: x BETWEEN lo AND hi)) / len(gaps) AS reg, CASE WHEN n % 2 = 1 THEN CAST(ts[(n + 1) // 2] AS DECIMAL(18,3)) ELSE CAST(CAST(ts[n // 2] + ts[n // 2 + 1] AS DECIMAL(18,2)) * 0.5 AS DECIMAL(18,3)) END AS med FROM c)
-SELECT key, outgoing, n AS n_occurrences, first_date, last_date, CAST(med AS DECIMAL(18,2)) AS amount, CAST(amount_min AS DECIMAL(18,2)) AS amount_min, CAST(amount_max AS DECIMAL(18,2)) AS amount_max, cadence, round_even(reg, 3) AS regularity,
-  (DATE '2026-01-01' - (last_date + CAST(round_even(mg, 0) AS INTEGER))) <= greatest(21, 0.35 * mg) AS active
-FROM e WHERE reg >= 0.7 AND med <> 0 AND (alike / (n - 1) >= 0.7 OR reg >= 0.9)"""
-_G = ["key", "outgoing", "n_occurrences", "first_date", "last_date", "amount", "amount_min", "amount_max", "cadence", "regularity", "active"]
-register("recurring_groups", "series", _GROUPS)(lambda s: recurrence.groups(s, "2026-01-01").select(_G))
-register("recurring_merged", "series")(lambda s: recurrence.detect(s, "2026-01-01"))
+_WINDOWS = "(VALUES ('weekly',5,10),('monthly',24,38),('bimonthly',50,75),('quarterly',78,110),('semiannual',155,220),('yearly',330,430)) w(cadence, lo, hi)"
+_KEYED_SERIES = "r AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(description), 's.p.a.', 'spa'), '[^a-z]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key, amount < 0 AS outgoing FROM series)"
+_LIKE = "least(abs({0}), abs({1})) > 0 AND greatest(abs({0}), abs({1})) <= 1.5 * least(abs({0}), abs({1}))"
+_MED = "CASE WHEN len(ts) % 2 = 1 THEN CAST(ts[(len(ts) + 1) // 2] AS DECIMAL(18,3)) ELSE CAST(CAST(ts[len(ts) // 2] + ts[len(ts) // 2 + 1] AS DECIMAL(18,2)) * 0.5 AS DECIMAL(18,3)) END"
+
+
+def _series_sql(rows: str) -> str:
+    """(key, outgoing, n, first_date, last_date, first_total, last_total, gaps, ts, alike) of rows (key, outgoing, value_date, amount)."""
+    return f"""SELECT key, outgoing, count(*) AS n, min(value_date) AS first_date, max(value_date) AS last_date, arg_min(total, value_date) AS first_total, arg_max(total, value_date) AS last_total, list(gap) FILTER (WHERE gap IS NOT NULL) AS gaps,
+      list_sort(list(total)) AS ts, count(*) FILTER (WHERE {_LIKE.format('total', 'prev')}) AS alike FROM (SELECT *, value_date - lag(value_date) OVER w AS gap, lag(total) OVER w AS prev
+      FROM (SELECT key, outgoing, value_date, sum(amount) AS total FROM {rows} GROUP BY ALL) WINDOW w AS (PARTITION BY key, outgoing ORDER BY value_date)) GROUP BY ALL"""
+
+
+def _rhythm_sql(found: str) -> str:
+    """Those of them that have a rhythm, with mg, cadence, reg and med."""
+    return f"""SELECT * FROM (SELECT x.*, w.cadence, list_aggregate(gaps, 'median') AS mg, len(list_filter(gaps, lambda g: g BETWEEN lo AND hi)) / len(gaps) AS reg, CAST(round_even({_MED}, 2) AS DECIMAL(18,2)) AS med
+      FROM (SELECT * FROM {found} WHERE n >= 3) x JOIN {_WINDOWS} ON list_aggregate(gaps, 'median') BETWEEN lo AND hi) WHERE reg >= 0.7 AND med <> 0 AND (alike / (n - 1) >= 0.7 OR reg >= 0.9)"""
+
+
+_SAID = """SELECT g.key, g.outgoing, n AS n_occurrences, first_date, last_date, CAST(med AS DECIMAL(18,2)) AS amount, CAST(ts[1] AS DECIMAL(18,2)) AS amount_min, CAST(ts[len(ts)] AS DECIMAL(18,2)) AS amount_max, cadence, round_even(reg, 3) AS regularity,
+  CAST(round_even(CAST(CAST(med AS DECIMAL(18,2)) * 30.44 AS DECIMAL(28,4)) * 10 / CAST(mg * 10 AS BIGINT), 2) AS DECIMAL(18,2)) AS monthly_equivalent,
+  (DATE '2026-01-01' - (last_date + CAST(round_even(mg, 0) AS INTEGER))) <= greatest(21, 0.35 * mg) AS active, CASE WHEN (DATE '2026-01-01' - (last_date + CAST(round_even(mg, 0) AS INTEGER))) <= greatest(21, 0.35 * mg) THEN last_date + CAST(round_even(mg, 0) AS INTEGER) END AS next_expected,
+  description, category, accounts
+FROM ({found}) g JOIN (SELECT key, outgoing, arg_max(description, {{'l': length(description), 'k': natural_key}}) AS description, arg_max(category, {{'d': value_date, 'k': natural_key}}) AS category, array_to_string(list_sort(list(DISTINCT account)), ',') AS accounts FROM {rows} GROUP BY 1, 2) x ON x.key = g.key AND x.outgoing = g.outgoing"""
+_GROUPS = f", {_KEYED_SERIES}, s AS ({_series_sql('r')}) {_SAID.format(found=_rhythm_sql('s'), rows='r')}"
+# In the table a series is renamed once, so that one round joins each with what follows it.
+_TWINS = f"""{_KEYED_SERIES}, s AS ({_series_sql('r')}), q AS ({_rhythm_sql('s')}),
+u AS (SELECT a.key, a.outgoing, b.key AS follows, a.cadence AS was, a.first_date AS a0, b.first_date AS b0, a.n + b.n AS n, a.first_date, b.last_date, list_concat(list_concat(a.gaps, [b.first_date - a.last_date]), b.gaps) AS gaps, list_sort(list_concat(a.ts, b.ts)) AS ts,
+  a.alike + b.alike + CASE WHEN {_LIKE.format('a.last_total', 'b.first_total')} THEN 1 ELSE 0 END AS alike FROM q a JOIN q b ON a.outgoing = b.outgoing AND a.cadence = b.cadence AND b.first_date > a.last_date AND greatest(abs(a.med), abs(b.med)) <= 1.25 * least(abs(a.med), abs(b.med))),
+p AS (SELECT * FROM ({_rhythm_sql('u')}) WHERE cadence = was)"""
+_G = ["key", "outgoing", "n_occurrences", "first_date", "last_date", "amount", "amount_min", "amount_max", "cadence", "regularity", "monthly_equivalent", "active", "next_expected", "description", "category", "accounts"]
+_said = lambda found: found.withColumn("accounts", F.array_join("accounts", ",")).select(_G)
+register("recurring_groups", "series", _GROUPS)(lambda s: _said(recurrence.groups(s, "2026-01-01")))
+register("recurring_twins", "series", f", {_TWINS} SELECT outgoing, key, follows, n AS n_occurrences, cadence FROM p")(
+    lambda s: recurrence._follow(recurrence.rhythmic(recurrence.series(recurrence.keyed(s), ["key", "outgoing"])).select(*recurrence._ONE)).select("outgoing", "key", F.col("then").alias("follows"), "n_occurrences", "cadence")
+)
+register("recurring_merged", "series")(lambda s: _said(recurrence.detect(s, "2026-01-01")))
 register("recurring_summary", "series")(lambda s: recurrence.summary(recurrence.detect(s, "2026-01-01")))
 
 # ---------------------------------------------------------------- coverage
@@ -278,10 +301,13 @@ _HEAD = "(SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Revolut statement' WHEN
 register("detect_source", "pages", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'revolut' WHEN 1 THEN 'revolut' WHEN 3 THEN 'trade_republic' END AS source FROM pages")(lambda p: p.sparkSession.sql(f"SELECT * FROM {_HEAD}", pages=p).select("page_id", detect.detect_source(F.col("head")).alias("source")))
 
 # ---------------------------------------------------------------- neighbours and training
-_DOT = "SELECT q.vec_id AS query_id, l.vec_id, l.label, list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(l.vector AS DOUBLE[])) AS sim FROM vectors q JOIN vectors l ON q.vec_id % 5 = 0 AND l.vec_id % 5 <> 0"
-_KNN = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM ({_DOT})) WHERE rank <= 5)"
-_knn = lambda v: C.knn(v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), v.where("vec_id % 5 <> 0"))  # noqa: E731  the stated split in queries and labelled set
-register("knn_topk", "vectors", f"SELECT query_id, vec_id, label, rank, round(sim, 4) AS sim FROM {_KNN}")(lambda v: _knn(v).withColumn("sim", F.round("sim", 4)))
+# Every vector whose id is divisible by 50 asks all vectors; for a prediction its own row doesn't count.
+_DOT = "SELECT q.vec_id AS query_id, l.vec_id, l.label, list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(l.vector AS DOUBLE[])) AS sim FROM vectors q JOIN vectors l ON q.vec_id % 50 = 0"
+_top = lambda dot: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM ({dot})) WHERE rank <= 5)"
+_KNN = _top(_DOT + " AND q.vec_id <> l.vec_id")
+_asked = lambda v: v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+_knn = lambda v: C.knn(_asked(v), v, others=True)
+register("knn_topk", "vectors", f"SELECT query_id, vec_id, label, rank, round(sim, 4) AS sim FROM {_top(_DOT)}")(lambda v: C.knn(_asked(v), v).withColumn("sim", F.round("sim", 4)))
 _VOTE = f"(SELECT query_id, arg_max({{'l': label, 's': score, 'c': confidence}}, {{'s': round(score, 12), 'f': -f}}) AS x FROM (SELECT query_id, label, sum(sim) AS score, max(sim) AS confidence, min(rank) AS f FROM {_KNN} GROUP BY 1, 2) GROUP BY 1)"
 register("knn_predict", "vectors", f"SELECT query_id, x.l AS label, round(x.s, 4) AS score, round(x.c, 4) AS confidence FROM {_VOTE}")(lambda v: C.vote(_knn(v)).withColumns({"score": F.round("score", 4), "confidence": F.round("confidence", 4)}))
 _PRED = f"(SELECT v.label AS actual, x.l AS predicted FROM {_VOTE} p JOIN vectors v ON v.vec_id = p.query_id)"
@@ -327,16 +353,10 @@ register("merchant_changes", "ledger")(lambda lg: periods.merchant_changes(query
 # ---------------------------------------------------------------- sinks and streams
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder of its own in the shared folder of the cluster; a temporary one where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallywood-")
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @register("export_csv", "ledger", "SELECT natural_key, value_date, CAST(amount AS DECIMAL(18,2)) AS amount, category, CASE category WHEN 'bills' THEN 'Bills & utilities' ELSE upper(left(category, 1)) || substr(category, 2) END AS category_label FROM ledger")
 def _export(ledger: DataFrame) -> DataFrame:
     """Write the export and read it back."""
-    path = _shared(ledger.sparkSession)
+    path = place(ledger.sparkSession)
     query.export_csv(ledger, path)
     rows = ledger.sparkSession.read.csv(path, header=True, schema=query.export_rows(ledger).schema)
     return rows.select("natural_key", "value_date", "amount", "category", "category_label")
@@ -344,7 +364,7 @@ def _export(ledger: DataFrame) -> DataFrame:
 
 def _streamed(rows: DataFrame, subject: str, handle: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows through a queue of JSON messages: written to its folder, consumed to the end, handled by micro-batch."""
-    spark, at = rows.sparkSession, _shared(rows.sparkSession)
+    spark, at = rows.sparkSession, place(rows.sparkSession)
     queues.encode(rows).write.text(f"{at}/queue")
     queues.consume(queues.messages(spark, f"{at}/queue", subject), lambda b, i: handle(b).write.mode("append").parquet(f"{at}/out"), f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out")

@@ -148,20 +148,26 @@ def plain_detect(rows, horizon, merge=True):
     for r in rows:
         groups.setdefault((r.key, r.amount < 0), []).append(r)
     live = [[k, q, m] for k, m in groups.items() if (q := plain_qualify(m, horizon))]
-    live.sort(key=lambda s: (s[1][5], s[0]))
-    again = merge
-    while again:
-        again = False
-        for a, b in itertools.combinations(live, 2):
+    while merge:
+        pairs = []
+        for a, b in itertools.permutations(live, 2):
             x, y = a[1], b[1]
             hi, lo = max(abs(x[1]), abs(y[1])), min(abs(x[1]), abs(y[1]))
-            if (x[1] < 0) != (y[1] < 0) or x[0] != y[0] or not (x[6] < y[5] or y[6] < x[5]) or hi / lo > Decimal("1.25"):
-                continue
-            both = plain_qualify(a[2] + b[2], horizon)
-            if both and both[0] == x[0]:
-                a[1], a[2], again = both, a[2] + b[2], True
-                live.remove(b)
-                break
+            if (x[1] < 0) == (y[1] < 0) and x[0] == y[0] and y[5] > x[6] and hi / lo <= Decimal("1.25"):
+                both = plain_qualify(a[2] + b[2], horizon)
+                if both and both[0] == x[0]:
+                    pairs.append(((y[5] - x[6]).days, a[0], b[0], a, b, both))
+        pairs.sort(key=lambda p: p[:3])
+        first = {}
+        for p in pairs:
+            first.setdefault(id(p[3]), p)
+            first.setdefault(id(p[4]), p)
+        now = [p for p in pairs if first[id(p[3])] is p and first[id(p[4])] is p]
+        for *_, a, b, both in now:
+            a[1], a[2] = both, a[2] + b[2]
+            live.remove(b)
+        if not now:
+            break
     return [q for _, q, _ in live]
 
 
