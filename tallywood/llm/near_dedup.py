@@ -35,9 +35,9 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Least percentage of the coordinates of either class in which a retained pair agrees.
 MATCH = 45
 #: Classes that are compared with a hub in one task, and the shingles they have at most together (or one class).
-BLOCK, BLOCK_SHINGLES = 192, 1 << 21
+BLOCK, BLOCK_SHINGLES = 192, 1 << 18
 #: Classes of a side in a block of the second pass, and the shingles they have at most together (or one class).
-SIDE, SIDE_SHINGLES = 512, 1 << 19
+SIDE, SIDE_SHINGLES = 512, 1 << 18
 _SETS = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
