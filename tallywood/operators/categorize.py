@@ -43,6 +43,56 @@ def needs_model(rows: DataFrame, table: dict | None = None) -> DataFrame:
     return rows.where(mcc_category(F.col("mcc"), table).isNull() & (F.col("merchant").isNotNull() | rule_category(F.col("norm")).isNull()))
 
 
+def with_model(rows: DataFrame, model, text: str = "text") -> DataFrame:
+    """Adds predicted and confidence from a model object: one with predict_batch(texts), predict_one(text), or predict_proba(texts) and classes_.
+
+    The first two answer (code, confidence) or None. The model goes to the tasks
+    with their closure and sees texts in Arrow batches; a text that it fails on has no answer.
+    """
+
+    def one(x: str):
+        try:
+            if hasattr(model, "predict_one"):
+                return model.predict_one(x)
+            share = list(model.predict_proba([x])[0])
+            best = max(range(len(share)), key=share.__getitem__)
+            return str(model.classes_[best]), float(share[best])
+        except Exception:  # a model that fails leaves the text to the rules
+            return None
+
+    def run(frames):
+        for f in frames:
+            texts = f[text].fillna("").tolist()
+            got = list(model.predict_batch(texts)) if hasattr(model, "predict_batch") else [one(x) for x in texts]
+            yield f.assign(predicted=[g[0] if g else None for g in got], confidence=[float(g[1]) if g else None for g in got])
+
+    names = [c for c in rows.columns if c not in ("predicted", "confidence")]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*names).dtypes)
+    return rows.select(*names).mapInPandas(run, f"{schema}, predicted string, confidence double")
+
+
+def labelled_by(texts: DataFrame, ask, labels=V.LABELS, default: str = V.DEFAULT) -> DataFrame:
+    """(text_norm, category) from a callable that gets a text and answers JSON, {"category": code}; answers that are no known code are left out.
+
+    ``ask`` runs in the tasks and holds whatever speaks to a language model; see :func:`prompt`.
+    """
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(answer=[ask(x) for x in f["text_norm"]])[["text_norm", "answer"]]
+
+    rows = texts.select("text_norm").where("text_norm <> ''").distinct().mapInPandas(run, "text_norm string, answer string")
+    code = F.get_json_object("answer", "$.category")
+    return rows.select("text_norm", code.alias("category")).where(F.col("category").isin(*labels, default))
+
+
+def prompt(labels=V.LABELS, examples: tuple[tuple[str, str], ...] = ()) -> str:
+    """What a language model is told before a description: the codes, the rules of the house and examples."""
+    codes = "\n".join(f"{code}: {', '.join(names.values())}" for code, names in labels.items())
+    shown = "\n".join(f"{text} = {code}" for text, code in examples)
+    return f"Choose one category for a bank movement. Codes:\n{codes}\nCard payments go by their merchant; '{V.DEFAULT}' if it can't be told.\n{shown}\nAnswer as JSON: {{\"category\": code}}"
+
+
 # ------------------------------------------------------------------- neighbours
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -124,7 +174,7 @@ def class_filter(rows: DataFrame, least: int = 5) -> DataFrame:
 def split(rows: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Marks a stratified holdout: in each class the rows with the least seeded hash."""
     w = W.partitionBy("category")
-    order = F.row_number().over(w.orderBy(F.xxhash64("text", F.lit(seed)), "text"))
+    order = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "text").cast("binary")), "text"))
     return rows.withColumn("holdout", order <= F.round(F.count(F.lit(1)).over(w) * share))
 
 

@@ -47,6 +47,14 @@ def category_pivot(months: DataFrame, categories: list[str]) -> DataFrame:
     return months.where("total < 0").groupBy("month").pivot("category", categories).agg(F.sum(-F.col("total")).cast(MONEY)).fillna(0)
 
 
+def stacked(months: DataFrame, n: int = 6, top: int = 6) -> DataFrame:
+    """(month, category, spent) of the last ``n`` months, in the ``top`` categories of them; all others together are 'rest'."""
+    now = months.join(F.broadcast(windows(months, n).where("period = 'current'").select("month")), "month").where("total < 0").withColumn("spent", -F.col("total"))  # n months
+    best = now.groupBy("category").agg(F.sum("spent").alias("s")).orderBy(F.col("s").desc(), "category").limit(top).select("category", F.lit(True).alias("top"))
+    named = now.join(F.broadcast(best), "category", "left")  # a few rows
+    return named.groupBy("month", F.when(F.col("top"), F.col("category")).otherwise("rest").alias("category")).agg(F.sum("spent").cast(MONEY).alias("spent"))
+
+
 def heat(months: DataFrame) -> DataFrame:
     """Each month's spending in a category as a percentage of the largest."""
     s = months.where("total < 0").withColumn("spent", -F.col("total"))

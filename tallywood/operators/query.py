@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,9 +128,30 @@ def source_labels(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     return ledger.select("source").distinct().join(single_bank(accounts), "source", "left").select("source", F.coalesce("bank_name", F.initcap(F.replace("source", F.lit("_"), F.lit(" ")))).alias("label"))
 
 
+def scan(spark: SparkSession, sql: str, params: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """A query with named parameters (":name") over the given tables ("{name}") and those of the catalog."""
+    return spark.sql(sql, args=params or {}, **tables)
+
+
+def accounts_ordered(accounts: DataFrame) -> DataFrame:
+    """The account view, the busiest first."""
+    return accounts.orderBy(F.col("transactions").desc(), "account_id")
+
+
+def holdings_ordered(holdings: DataFrame) -> DataFrame:
+    """Positions, the most money first, unknown sums last."""
+    return holdings.orderBy(F.col("invested").desc_nulls_last(), "isin")
+
+
+def balances_view(balances: DataFrame) -> DataFrame:
+    return balances.select("account", "balance_date", "balance", "currency", "source", "basis")
+
+
 def meta() -> dict:
-    """The vocabulary and the limits."""
-    return {"categories": V.LABELS, "assets": list(V.ASSETS), "default": V.DEFAULT, "model_threshold": V.MODEL_THRESHOLD, "transfer_window_days": V.TRANSFER_WINDOW, "max_file_mb": 10, "max_files": 50}
+    """The vocabulary, the sources and the limits."""
+    from ..sources.registry import adapters
+
+    return {"sources": sorted(adapters()), "categories": V.LABELS, "assets": list(V.ASSETS), "default": V.DEFAULT, "model_threshold": V.MODEL_THRESHOLD, "transfer_window_days": V.TRANSFER_WINDOW, "max_file_mb": 10, "max_files": 50}
 
 
 def summary(ledger: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import statement_queries
+from . import admin_queries, statement_queries
 from .functions import money as M
 from .functions import text as X
 from .operators import categorize as C
@@ -137,7 +137,8 @@ register("month_series", "balances", f"SELECT * FROM {_MONTHS}")(views.month_ser
 register("balance_month", "balances", f"SELECT * FROM {_GRID}")(views.balance_month)
 register("wealth_latest", "balances", f"SELECT account, balance, as_of, CAST(sum(balance) OVER () AS DECIMAL(38,2)) AS total, min(as_of) OVER () AS oldest_as_of FROM (SELECT account, arg_max(balance, month) AS balance, arg_max(as_of, month) AS as_of FROM {_GRID} GROUP BY 1)")(lambda b: views.wealth(views.balance_month(b)))
 register("stale_accounts", "balances", f"SELECT account, max(as_of) < (SELECT max(as_of) FROM {_GRID}) - 45 AS stale FROM {_GRID} GROUP BY 1")(lambda b: periods.stale_accounts(views.wealth(views.balance_month(b)).select("account", "as_of")).select("account", "stale"))
-register("balance_pivot", "balances", f"SELECT month, {', '.join(f'CAST(coalesce(sum(balance) FILTER (WHERE account = {chr(39)}{a}{chr(39)}), 0) AS DECIMAL(38,2)) AS {a}' for a in ('acct_1', 'acct_2', 'acct_3'))} FROM {_GRID} GROUP BY 1")(lambda b: periods.balance_pivot(views.balance_month(b), ["acct_1", "acct_2", "acct_3"]))
+_ACCOUNTS = [f"acct_{n}" for n in range(20)]
+register("balance_pivot", "balances", f"SELECT month, {', '.join(f'CAST(coalesce(sum(balance) FILTER (WHERE account = {chr(39)}{a}{chr(39)}), 0) AS DECIMAL(38,2)) AS {a}' for a in _ACCOUNTS)} FROM {_GRID} GROUP BY 1")(lambda b: periods.balance_pivot(views.balance_month(b), _ACCOUNTS))
 _LINES = "(SELECT account, amount, row_number() OVER (PARTITION BY account ORDER BY value_date, natural_key) AS line_no, sum(amount) OVER (PARTITION BY account ORDER BY value_date, natural_key ROWS UNBOUNDED PRECEDING) + CASE WHEN file_id % 97 = 0 THEN 5 ELSE 0 END AS balance FROM {ledger})"
 
 
@@ -331,7 +332,7 @@ f AS (SELECT natural_key, max(file_id) AS id FROM ledger WHERE amount > 90000 GR
 r AS (SELECT text, category, 0 AS level, id FROM u WHERE category_source IN ('rule', 'mcc') UNION ALL SELECT text, category, level, id FROM l UNION ALL SELECT u.text, 'fees', 3, f.id FROM f JOIN u ON u.natural_key = f.natural_key)
 SELECT * FROM (SELECT text, arg_max(category, {'l': level, 'i': id}) AS category FROM r WHERE text <> '' GROUP BY 1) WHERE category <> 'other'""")
 register("class_filter", "documents", "SELECT doc_id, source AS category FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 45)")(lambda d: C.class_filter(d.select("doc_id", F.col("source").alias("category")), 45))
-register("holdout_split", "documents")(lambda d: C.split(d.select(F.col("doc_id").cast("string").alias("text"), F.col("source").alias("category"))))
+register("holdout_split", "documents", "SELECT text, category, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || text), text) <= round(count(*) OVER (PARTITION BY category) * 0.2) AS holdout FROM (SELECT CAST(doc_id AS VARCHAR) AS text, source AS category FROM documents)")(lambda d: C.split(d.select(F.col("doc_id").cast("string").alias("text"), F.col("source").alias("category"))))
 register("trust_breakdown", "ledger", "SELECT category_source, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(category_confidence), 6) AS avg_confidence FROM ledger GROUP BY 1")(C.trust)
 register("labelling_queue", "ledger", "SELECT DISTINCT description FROM ledger WHERE category_source = 'default' AND description <> '' ORDER BY 1 LIMIT 1000")(C.labelling_queue)
 
@@ -340,7 +341,9 @@ _WIN = f"(SELECT month, CASE WHEN r <= 6 THEN 'current' ELSE 'previous' END AS p
 register("period_windows", "ledger", f"SELECT * FROM {_WIN}")(lambda lg: periods.windows(views.income_expense_month(lg), 6))
 _KPI = f"(SELECT period, {_d('coalesce(income, 0)')} AS income, {_d('coalesce(expense, 0)')} AS expense, {_d('net')} AS net, count(*) AS n_months FROM {_INCOME} i JOIN {_WIN} w ON w.month = i.month GROUP BY 1)"
 register("kpi_compare", "ledger", f"SELECT *, CASE WHEN income > 0 THEN round(CAST(net AS DOUBLE) / CAST(income AS DOUBLE) * 100, 6) ELSE 0.0 END AS savings_rate, round(CAST(expense AS DOUBLE) / n_months, 6) AS avg_expense FROM {_KPI}")(lambda lg: periods.kpis(views.income_expense_month(lg), 6))
-register("kpi_changes", "ledger")(lambda lg: periods.kpi_changes(periods.kpis(views.income_expense_month(lg), 6)))
+_PICK = lambda c, p: f"max(CAST({c} AS DOUBLE)) FILTER (WHERE period = '{p}')"
+_MOVED = lambda c: f"{_PICK(c, 'current')} AS {c}, " + (f"round({_PICK(c, 'current')} - {_PICK(c, 'previous')}, 1)" if c == "savings_rate" else f"CASE WHEN {_PICK(c, 'previous')} <> 0 THEN round(({_PICK(c, 'current')} - {_PICK(c, 'previous')}) / abs({_PICK(c, 'previous')}) * 100, 1) END") + f" AS {c}_change"
+register("kpi_changes", "ledger", f"SELECT {', '.join(map(_MOVED, ('income', 'expense', 'net', 'savings_rate')))} FROM (SELECT *, CASE WHEN income > 0 THEN round(CAST(net AS DOUBLE) / CAST(income AS DOUBLE) * 100, 6) ELSE 0.0 END AS savings_rate FROM {_KPI})")(lambda lg: periods.kpi_changes(periods.kpis(views.income_expense_month(lg), 6)))
 register("category_rank_prev", "ledger", f"SELECT * FROM (SELECT category, CAST(coalesce(sum(-total) FILTER (WHERE period = 'current'), 0) AS DECIMAL(38,2)) AS spent, CAST(coalesce(sum(-total) FILTER (WHERE period = 'previous'), 0) AS DECIMAL(38,2)) AS previous FROM {_CATMONTH} c JOIN {_WIN} w ON w.month = c.month WHERE total < 0 GROUP BY 1) WHERE spent > 0 ORDER BY spent DESC, category LIMIT 8")(
     lambda lg: periods.category_rank(views.category_month(lg), 6)
 )
@@ -348,7 +351,8 @@ _CATS = ["groceries", "dining", "transport", "bills", "rent", "other"]
 register("category_pivot", "ledger", f"SELECT month, {', '.join(f'CAST(coalesce(sum(-total) FILTER (WHERE category = {chr(39)}{c}{chr(39)}), 0) AS DECIMAL(38,2)) AS {c}' for c in _CATS)} FROM {_CATMONTH} WHERE total < 0 GROUP BY 1")(lambda lg: periods.category_pivot(views.category_month(lg), _CATS))
 register("category_heat", "ledger", f"SELECT month, category, CAST(round(-CAST(total AS DOUBLE) / max(-CAST(total AS DOUBLE)) OVER () * 100) AS INTEGER) AS heat FROM {_CATMONTH} WHERE total < 0")(lambda lg: periods.heat(views.category_month(lg)))
 register("movements_by_day", "ledger", f"SELECT value_date, count(*) AS n, {_d('amount')} AS total FROM ledger GROUP BY 1")(periods.by_day)
-register("merchant_changes", "ledger")(lambda lg: periods.merchant_changes(query.merchants(lg, "1996-01-01", "1996-12-31", None), query.merchants(lg, "1995-01-01", "1995-12-31", None)))
+_YEAR = lambda y: "(" + _MERCHANTS.replace("merchant IS NOT NULL", f"merchant IS NOT NULL AND year(value_date) = {y}") + ")"
+register("merchant_changes", "ledger", f"SELECT c.*, p.total_spent AS previous, CASE WHEN p.total_spent <> 0 THEN round((CAST(c.total_spent AS DOUBLE) - CAST(p.total_spent AS DOUBLE)) / abs(CAST(p.total_spent AS DOUBLE)) * 100, 1) END AS change FROM {_YEAR(1996)} c LEFT JOIN {_YEAR(1995)} p ON p.k = c.k")(lambda lg: periods.merchant_changes(query.merchants(lg, "1996-01-01", "1996-12-31", None), query.merchants(lg, "1995-01-01", "1995-12-31", None)))
 
 # ---------------------------------------------------------------- sinks and streams
 
@@ -366,8 +370,8 @@ def _streamed(rows: DataFrame, subject: str, handle: Callable[[DataFrame], DataF
     """Rows through a queue of JSON messages: written to its folder, consumed to the end, handled by micro-batch."""
     spark, at = rows.sparkSession, place(rows.sparkSession)
     queues.encode(rows).write.text(f"{at}/queue")
-    queues.consume(queues.messages(spark, f"{at}/queue", subject), lambda b, i: handle(b).write.mode("append").parquet(f"{at}/out"), f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    queues.consume(queues.messages(spark, f"{at}/queue", subject), queues.appended(f"{at}/out", handle), f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
 
 
 @register("stream_dedup", "events", "SELECT DISTINCT cast(user_id as varchar(20)) AS key FROM events")
@@ -385,3 +389,4 @@ def _stream_feedback(conversations: DataFrame) -> DataFrame:
 
 
 statement_queries.register_all(register)
+admin_queries.register_all(register, _CATMONTH)

@@ -35,24 +35,49 @@ def encode(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*cols)).alias("value"))
 
 
-def settle(handle: Callable[[DataFrame], None], batch: DataFrame, pending: DataFrame | None, quarantine: Callable[[DataFrame, str], None], key: str = "raw") -> DataFrame:
-    """Handle a batch and what is still pending (key, attempts); returns what is pending after it.
+def deliver(handle: Callable[[DataFrame], None], work: DataFrame, key: str = "raw", most: int = 64) -> DataFrame:
+    """Handle messages; returns those that the handler fails on.
 
-    A failed batch is pending with one more attempt for each message; after
-    MAX_DELIVER of them a message goes to quarantine.
+    Where a batch fails, its halves (by a hash of the key) are tried, down to single
+    messages, so that one bad message doesn't hold up the others; handlers are
+    idempotent, as delivery is at least once. At most ``most`` halvings are made in
+    a batch; what is left then counts as failed.
+    """
+    failed, todo, left = None, [(work, 0)], most
+    while todo:
+        part, depth = todo.pop()
+        try:
+            handle(part)
+            continue
+        except Exception:  # any failure of the handler counts against the budget
+            n = part.select(key).distinct().count()
+        if n > 1 and left > 0:
+            left -= 1
+            side = F.pmod(F.xxhash64(key, F.lit(depth)), F.lit(2)) == 0
+            todo += [(part.where(side), depth + 1), (part.where(~side), depth + 1)]
+        elif n:
+            failed = part if failed is None else failed.unionByName(part)
+    return work.limit(0) if failed is None else failed
+
+
+def settle(handle: Callable[[DataFrame], None], batch: DataFrame, pending: DataFrame | None, quarantine: Callable[[DataFrame, str], None], key: str = "raw", gave_up: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Handle a batch and what is still pending (with attempts); returns what is pending after it.
+
+    What can't be read goes to quarantine at once. A message that the handler fails
+    on is pending with one more attempt; after MAX_DELIVER of them it goes to
+    quarantine, and to the hook ``gave_up``.
     """
     good = batch.where(~F.col("malformed")).drop("malformed").dropDuplicates([key])
     quarantine(batch.where("malformed"), "malformed")
     work = good.withColumn("attempts", F.lit(0))
     if pending is not None:
         work = pending.unionByName(work.join(pending.select(key), key, "left_anti"))
-    try:
-        handle(work.drop("attempts"))
-    except Exception:  # any failure of the handler counts against the budget
-        tried = work.withColumn("attempts", F.col("attempts") + 1)
-        quarantine(tried.where(F.col("attempts") >= MAX_DELIVER).drop("attempts"), "gave up")
-        return tried.where(F.col("attempts") < MAX_DELIVER)
-    return work.limit(0)
+    tried = deliver(lambda rows: handle(rows.drop("attempts")), work, key).withColumn("attempts", F.col("attempts") + 1)
+    lost = tried.where(F.col("attempts") >= MAX_DELIVER).drop("attempts")
+    quarantine(lost, "gave up")
+    if gave_up is not None:
+        gave_up(lost)
+    return tried.where(F.col("attempts") < MAX_DELIVER)
 
 
 def consume(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -61,6 +86,11 @@ def consume(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def appended(folder: str, handle: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A batch handler that writes what ``handle`` makes of a batch to the batch's own folder, so that a batch that comes again replaces itself."""
+    return lambda batch, batch_id: handle(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
 def deduplicated(stream: DataFrame, key: str = "natural_key", time: str | None = None, late: str = "1 day") -> DataFrame:
     """A stream with each key once; with a time column, state is kept no longer than ``late``."""
     return stream.dropDuplicates([key]) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
