@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans import vocabulary as V
 
+# The months' names in both languages.
 _MONTHS = (
     "gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre|"
     "january|february|march|april|may|june|july|august|september|october|november|december"
@@ -86,36 +87,39 @@ def clock(hours: Column, minutes: Column) -> Column:
     return F.when((h <= 23) & (m <= 59), F.format_string("%02d:%02d", h, m))
 
 
+def _said(d: Column, mark: str, pattern: str, n: int = 1) -> Column:
+    """A group of a pattern, null without a match; the pattern is tried only where a text has the mark."""
+    return F.when(F.lower(d).contains(mark), F.nullif(F.regexp_extract(d, pattern, n), F.lit("")))
+
+
 def _intesa(d: Column) -> tuple[Column, Column]:
-    # Wordings of the bank's statements.
-    at = r"(?i)ALLE ORE\s+(\d{2})[:.]?(\d{2})(?:\d{2})?\b"
-    ore = r"(?i)\bore:?\s*(\d{2})[:.](\d{2})\b"
+    # Wordings of the bank's statements, each with a part that all its texts have.
+    at = ("alle ore", r"(?i)ALLE ORE\s+(\d{2})[:.]?(\d{2})(?:\d{2})?\b")
+    ore = ("ore", r"(?i)\bore:?\s*(\d{2})[:.](\d{2})\b")
     none = r"(?i)^\s*(?:Prelievo|Versamento|Bonifico|Stipendio|Trasferimento denaro)"
-    through = r"(?i)Pagamento Tramite POS\s+(.+?)\s*(\d{2})/(\d{2})-(\d{2})[:.](\d{2})"
-    on = r"(?i)Pagamento su POS\s+(.+?)\s*(\d{2})/(\d{2})(\d{2})(\d{2})\b"
+    through = ("tramite pos", r"(?i)Pagamento Tramite POS\s+(.+?)\s*(\d{2})/(\d{2})-(\d{2})[:.](\d{2})")
+    on = ("su pos", r"(?i)Pagamento su POS\s+(.+?)\s*(\d{2})/(\d{2})(\d{2})(\d{2})\b")
     named = (
-        r"(?i)BANCOMAT PAY presso\s+(.+?)\s+data:",
-        r"(?i)\bPRESSO\s+(.+)$",
-        r"(?i)Addebito diretto disposto a favore di\s+(.+?)(?:\s+MANDATO\b|\s+Cod\.?\s|\s*$)",
-        r"(?i)Pagamento ADUE\b.*?NOME:\s*(.+?)\s*(?:-\s*MANDATO\b|MANDATO\b|$)",
+        ("bancomat pay", r"(?i)BANCOMAT PAY presso\s+(.+?)\s+data:"),
+        ("presso", r"(?i)\bPRESSO\s+(.+)$"),
+        ("addebito diretto", r"(?i)Addebito diretto disposto a favore di\s+(.+?)(?:\s+MANDATO\b|\s+Cod\.?\s|\s*$)"),
+        ("adue", r"(?i)Pagamento ADUE\b.*?NOME:\s*(.+?)\s*(?:-\s*MANDATO\b|MANDATO\b|$)"),
     )
-    when = F.when(d.rlike(at), clock(F.regexp_extract(d, at, 1), F.regexp_extract(d, at, 2))).when(d.rlike(ore), clock(F.regexp_extract(d, ore, 1), F.regexp_extract(d, ore, 2)))
-    glued = F.when(d.rlike(none), None)
-    who = F.when(d.rlike(none), None)
-    for p in (through, on):
-        who = who.when(d.rlike(p), tidy(F.regexp_extract(d, p, 1)))
-        glued = glued.when(d.rlike(p), clock(F.regexp_extract(d, p, 4), F.regexp_extract(d, p, 5)))
-    for p in named:
-        who = who.when(d.rlike(p), tidy(F.regexp_extract(d, p, 1)))
-    return who, F.coalesce(when, glued)
+    who = F.when(~d.rlike(none), F.coalesce(*[_said(d, *p) for p in (through, on, *named)]))
+    # A time of its own wording comes first; of two such, the first that is there decides, even if it is no time of day.
+    when = F.coalesce(F.when(_said(d, *at).isNotNull(), F.coalesce(clock(_said(d, *at), _said(d, *at, 2)), F.lit(""))), F.when(_said(d, *ore).isNotNull(), F.coalesce(clock(_said(d, *ore), _said(d, *ore, 2)), F.lit(""))))
+    glued = F.when(~d.rlike(none), F.coalesce(*[F.when(_said(d, *p).isNotNull(), F.coalesce(clock(_said(d, *p, 4), _said(d, *p, 5)), F.lit(""))) for p in (through, on)]))
+    return tidy(who), F.coalesce(F.nullif(when, F.lit("")), F.nullif(glued, F.lit("")))
 
 
 def _revolut(d: Column) -> tuple[Column, Column]:
+    # Wordings of the app's own movements.
     system = r"(?i)^\s*(?:Transfer (?:from|to)\b|To\b|From\b|Crypto\b|Exchange[d]?\b|Top[- ]?up\b|Savings\b|Payment from\b|Balance migration\b)"
     return F.when(~(d.rlike(system) | d.rlike(r"(?i)\bTop[- ]?Up by \*")), tidy(d)), F.lit(None).cast("string")
 
 
 def _trade_republic(d: Column) -> tuple[Column, Column]:
+    # Wordings of the broker's statements.
     card = r"(?i)^(.*?)\s*-\s*TR Card Transaction"
     debit = r"(?i)Sepa Direct Debit transfer to\s+(.+?)(?:\s+diretto\s*)?$"
     return F.when(d.rlike(card), tidy(F.regexp_extract(d, card, 1))).when(d.rlike(debit), tidy(F.regexp_extract(d, debit, 1))), F.lit(None).cast("string")

@@ -53,6 +53,7 @@ RULES = (
     (r"\b(?:commission)|\b(?:fee|fees)\b", "fees"),
     (r"\b(?:bonific|transfer|giroconto|topup|top up|ricarica|sepa|incoming|outgoing)", "transfers"),
 )
+# Words by which a text says that it is a transfer.
 HINT = r"\b(bonific|giroconto|giro\b|sepa|transfer|top ?up|topup|ricarica|incoming|outgoing)"
 
 # Rhythm windows in days, and the other limits of the analyses.
@@ -64,6 +65,7 @@ MODEL_THRESHOLD = 0.75
 CONFIDENCE = {"mcc": 1.0, "rule": 0.9, "manual": 1.0, "llm": 0.75, "default": 0.0}
 NEIGHBOURS = 5
 
+# Fixed values.
 #: Marker groups by source: a head text is of a source if all markers of one of its groups are in it.
 MARKERS = {
     "intesa": (("intesa sanpaolo",), ("conti e carte",)),

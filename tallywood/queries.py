@@ -281,8 +281,8 @@ register("parse_money", "pages", f"SELECT page_id, CAST(CASE page_id % 6 WHEN 0
     lambda p: p.sparkSession.sql(f"SELECT * FROM {_AMT}", pages=p).select("page_id", M.parse_money(F.col("raw")).alias("amount"))
 )
 register("normalize_text", "documents", r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', ' '), '[^a-z0-9]+', ' ', 'g'))) AS norm_sha256 FROM documents")(lambda d: d.select("doc_id", F.sha2(X.normalize_desc(F.col("text")), 256).alias("norm_sha256")))
-_PAY = "(SELECT natural_key, CASE file_id % 5 WHEN 0 THEN concat('Pagamento su POS ', merchant, ' 18/061832 Carta n. 1') WHEN 1 THEN concat('PRESSO ', merchant, ' 35314369001') WHEN 2 THEN concat('Bonifico presso ', merchant, ' ALLE ORE 1053') WHEN 3 THEN concat('Pagamento BANCOMAT PAY presso ', merchant, ' data: 16.04 ore: 22:54') ELSE merchant END AS description FROM {ledger})"
-register("merchant_extract", "ledger", f"SELECT l.natural_key, CASE file_id % 5 WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE merchant END AS merchant, CASE file_id % 5 WHEN 0 THEN '18:32' WHEN 2 THEN '10:53' WHEN 3 THEN '22:54' END AS purchase_time FROM ledger l")(
+_PAY = "(SELECT natural_key, CASE file_id % 5 WHEN 0 THEN concat('Pagamento su POS ', merchant, ' 07/031245 Carta n. 8') WHEN 1 THEN concat('PRESSO ', merchant, ' 99887766001') WHEN 2 THEN concat('Bonifico presso ', merchant, ' ALLE ORE 0917') WHEN 3 THEN concat('Pagamento BANCOMAT PAY presso ', merchant, ' data: 02.11 ore: 08:35') ELSE merchant END AS description FROM {ledger})"
+register("merchant_extract", "ledger", f"SELECT l.natural_key, CASE file_id % 5 WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE merchant END AS merchant, CASE file_id % 5 WHEN 0 THEN '12:45' WHEN 2 THEN '09:17' WHEN 3 THEN '08:35' END AS purchase_time FROM ledger l")(
     lambda lg: lg.sparkSession.sql(f"SELECT * FROM {_PAY}", ledger=lg).select("natural_key", X.extract_merchant(F.lit("intesa"), F.col("description")).alias("x")).select("natural_key", "x.*")
 )
 _SAY = "(SELECT natural_key, file_id, mcc, CASE file_id % 9 WHEN 0 THEN 'cedolino stipendio' WHEN 1 THEN 'fondo pensione' WHEN 2 THEN 'booking taxi' WHEN 3 THEN 'eni gas' WHEN 4 THEN 'enigma' WHEN 5 THEN 'bonifico' WHEN 6 THEN 'cedola btp' WHEN 7 THEN 'bar roma' ELSE 'barca' END AS norm, CASE WHEN file_id % 2 = 0 THEN merchant END AS merchant, CASE WHEN file_id % 4 < 3 THEN 'leisure' END AS predicted, cast(file_id % 10 as double) / 10 AS confidence FROM {ledger})"

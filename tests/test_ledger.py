@@ -54,13 +54,13 @@ def test_recurrence_key(spark):
 
 def test_merchants(spark):
     cases = [
-        ("intesa", "Pagamento su POS BAR ROMA 18/061832 Carta n.1", "BAR ROMA", "18:32"), ("intesa", "OPERAZIONE PRESSO X ALLE ORE 9999", "X ALLE ORE 9999", None), ("intesa", "Bonifico PRESSO X ALLE ORE 02:27", None, "02:27"),
-        ("intesa", "Addebito diretto disposto a favore di A2A S P A MANDATO 1", "A2A S P A", None), ("revolut", "Booking.com", "Booking.com", None), ("revolut", "Transfer to me", None, None), ("revolut", "Apple Pay Top-Up by *1234", None, None),
-        ("trade_republic", "COOP S.C. - TR Card Transaction", "COOP S.C.", None), ("other", "Booking.com", None, None), ("revolut", None, None, None), ("revolut", "PAYPAL *SPOTIFY 35314369001", "PAYPAL *SPOTIFY", None),
+        ("intesa", "Pagamento su POS EDICOLA SOLE 07/031245 Carta n.8", "EDICOLA SOLE", "12:45"), ("intesa", "OPERAZIONE PRESSO X ALLE ORE 9999", "X ALLE ORE 9999", None), ("intesa", "Bonifico PRESSO X ALLE ORE 03:14", None, "03:14"),
+        ("intesa", "Addebito diretto disposto a favore di LUCE S P A MANDATO 1", "LUCE S P A", None), ("revolut", "Hotelweb", "Hotelweb", None), ("revolut", "Transfer to me", None, None), ("revolut", "Wallet Top-Up by *9876", None, None),
+        ("trade_republic", "FORNO SRL - TR Card Transaction", "FORNO SRL", None), ("other", "Hotelweb", None, None), ("revolut", None, None, None), ("revolut", "WEBPAY *MUSICA 99887766001", "WEBPAY *MUSICA", None),
     ]
     df = spark.createDataFrame([(s, d) for s, d, *_ in cases], "s string, d string").select(X.extract_merchant(F.col("s"), F.col("d")).alias("m")).select("m.*")
     got = [tuple(r) for r in df.collect()]
-    assert got[0] == ("BAR ROMA", "18:32") and got[2:] == [(m, t) for _, _, m, t in cases[2:]]
+    assert got[0] == ("EDICOLA SOLE", "12:45") and got[2:] == [(m, t) for _, _, m, t in cases[2:]]
     assert got[1][1] is None
 
 
