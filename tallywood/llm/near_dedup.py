@@ -337,6 +337,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     described = saved(rows.mapInArrow(_describe, _SETS), "signatures")
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    said = full.select("doc_id", "digest").distinct()
+    again = said.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
+    # The texts of a repeated id are of one document.
+    same = saved(said.join(again, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "repeated")
     parts, buckets = partitions(docs), buckets_of(docs)
     chunks = max(buckets, -(-input_bytes(described) // (2 * MB)))
     base = classes.select(F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("long").alias("chunk"), "rep", "n_shingles", "sig").repartition(parts, "chunk")
@@ -347,10 +351,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     bodies = packed(docs, key, text).join(met, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     bodies = saved(bodies.join(classes.select("rep", "sig"), "rep"), "bodies")
     links = saved(confirmed(retained(with_hubs(posted, hubs), classes), bodies), "links")
-    blocks = across(posted, hubs, components(links)).join(bodies, "rep")
+    blocks = across(posted, hubs, components(links.union(same))).join(bodies, "rep")
     links = links.union(saved(blocks.groupBy("hub", "i", "j").applyInArrow(lambda t: _meet(t, 75), "a long, b long"), "links"))
     per = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = components(links)
+    labels = components(links.union(same))
     named = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").join(per, "rep", "left")
     named = saved(named.select("digest", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
     out = described.drop("sig").join(named, "digest", "left")
