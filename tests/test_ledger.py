@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import statistics
 import unicodedata
+import zlib
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -156,7 +157,7 @@ def plain_detect(rows, horizon, merge=True):
             if (x[1] < 0) == (y[1] < 0) and x[0] == y[0] and y[5] > x[6] and hi / lo <= Decimal("1.25"):
                 both = plain_qualify(a[2] + b[2], horizon)
                 if both and both[0] == x[0]:
-                    pairs.append(((y[5] - x[6]).days, a[0], b[0], a, b, both))
+                    pairs.append(((y[5] - x[6]).days, abs(x[1] - y[1]), zlib.crc32(f"{a[0][0]}|{b[0][0]}".encode()), a, b, both))
         pairs.sort(key=lambda p: p[:3])
         first = {}
         for p in pairs:
