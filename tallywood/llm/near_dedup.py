@@ -38,6 +38,8 @@ MATCH = 45
 BLOCK, BLOCK_SHINGLES = 192, 1 << 18
 #: Classes of a side in a block of the second pass, and the shingles they have at most together (or one class).
 SIDE, SIDE_SHINGLES = 512, 1 << 18
+#: Shingles that are looked up at a time, and bytes of text that are described at a time (or one).
+CODES, TEXT = 1 << 17, MB // 2
 _SETS = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
@@ -83,7 +85,7 @@ def _describe(batches):
     for batch in batches:
         raw, off = flat(batch.column("text"))
         raw = lowered(raw)
-        for a, z in slices(off):
+        for a, z in slices(off, TEXT):
             part, n = raw[off[a] : off[z]], z - a
             start, end, row = words(part, off[a : z + 1] - off[a])
             h, owner = shingles(part, start, end, row, n)
@@ -221,7 +223,7 @@ class _Sets:
         total = np.append(0, np.cumsum(self.size[x]))
         a = 0
         while a < len(x):
-            z = max(a + 1, int(np.searchsorted(total, total[a] + (1 << 20), "right")) - 1)
+            z = max(a + 1, int(np.searchsorted(total, total[a] + CODES, "right")) - 1)
             p, n = x[a:z], self.size[x[a:z]]
             code = self.key[ranges(self.cut[p], n)] % self.top
             hit = member(np.repeat(y[a:z], n) * self.top + code, self.key)
@@ -238,6 +240,7 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     other, own = np.flatnonzero(rep != hub), np.flatnonzero(rep == hub)
     x, y = np.repeat(other, len(own)), np.tile(own, len(other))
     found = np.unique(rep[x[sets.linked(x, y, percent)]])
+    pa.default_memory_pool().release_unused()
     return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array(np.full(len(found), hub), pa.int64())})
 
 
@@ -274,7 +277,7 @@ def _meet(table: pa.Table, percent: int) -> pa.Table:
     rep, label, rest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "rest"))
     sig = np.frombuffer(flat(table.column("sig"))[0].tobytes(), np.uint64).reshape(-1, K)
     x, y = np.flatnonzero(rest), np.flatnonzero(~rest)
-    collisions = np.zeros((len(x), len(y)), np.int64)
+    collisions = np.zeros((len(x), len(y)), np.uint8)
     for k in range(K):
         a, b = sig[x, k], sig[y, k]
         collisions += (a[:, None] == b) & (a != EMPTY)[:, None]
@@ -286,8 +289,10 @@ def _meet(table: pa.Table, percent: int) -> pa.Table:
         sets = _Sets(table.column("text"))
         n, x, y = sets.size, x[i], y[j]
         alike = (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
-        links = joining(collisions[i, j][alike], x[alike], y[alike], label, lambda p, q: sets.linked(p, q, percent))
-    return pa.table({"a": pa.array([int(rep[p]) for p, _ in links], pa.int64()), "b": pa.array([int(rep[q]) for _, q in links], pa.int64())})
+        links = joining(collisions[i, j][alike].astype(np.int64), x[alike], y[alike], label, lambda p, q: sets.linked(p, q, percent))
+    found = pa.table({"a": pa.array([int(rep[p]) for p, _ in links], pa.int64()), "b": pa.array([int(rep[q]) for _, q in links], pa.int64())})
+    pa.default_memory_pool().release_unused()  # idle workers would keep it
+    return found
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = 75) -> DataFrame:
