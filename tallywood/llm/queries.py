@@ -1,13 +1,15 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster_vectors
 from .chat_format import preference_pairs
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle, restored
 from .html_extract import extract_text
 from .mixing import mix_sources
 from .near_dedup import near_dedup
@@ -15,6 +17,7 @@ from .quality import score_documents, train
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,20 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_preference_pairs": op2_preference_pairs,
@@ -76,10 +93,27 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_shard": op10_shard,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroids": op12_centroids,
+    "op13_warc": op13_warc,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
 
+def _centroid_sql(rounds: int = 10) -> str:
+    """The rounds of op12 one after the other, each with the centroids of the one before."""
+    near = "SELECT vec_id, v, arg_min(c, {{'d': list_sum(list_transform(list_zip(v, x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c}}) AS c, CAST(min(list_sum(list_transform(list_zip(v, x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS BIGINT) AS d FROM k, {0} GROUP BY vec_id, v"
+    parts = ["""k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS x FROM k ORDER BY sha256('3:' || vec_id) LIMIT 8)"]
+    for n in range(rounds):
+        parts += [f"a{n} AS MATERIALIZED ({near.format(f'c{n}')})",
+                  f"s{n} AS MATERIALIZED (SELECT c, list(m ORDER BY i) AS x FROM (SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (SELECT c, i, sum(CAST(e AS HUGEINT)) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS e, unnest(range(64)) AS i FROM a{n}) GROUP BY c, i)) GROUP BY c)",
+                  f"c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(s.x, o.x) AS x FROM c{n} o LEFT JOIN s{n} s ON s.c = o.c)"]
+    return f"""WITH {", ".join(parts)}, z AS ({near.format(f"c{rounds}")})
+SELECT vec_id, CAST(z.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM z JOIN c{rounds} f ON f.c = z.c"""
+
+
 SQL = {
     "op2_preference_pairs": """
 WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS good, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -134,4 +168,16 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS kept
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id""",
+    "op11_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+u AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, substr(t, 1, p) AS prefix, substr(t, p + 1, q - p) AS middle, substr(t, q + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM x""",
+    "op12_centroids": _centroid_sql(),
+    "op13_warc": """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last, octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html) AS again FROM pages)""",
 }
