@@ -224,7 +224,7 @@ register("transfer_pairs", "legs")(transfers.find_pairs)
 register("recurrence_key", "series", "SELECT natural_key, trim(regexp_replace(regexp_replace(replace(lower(description), 's.p.a.', 'spa'), '[^a-z]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM series")(lambda s: s.select("natural_key", X.recurrence_key(F.col("description")).alias("key")))
 _WINDOWS = "(VALUES ('weekly',5,10),('monthly',24,38),('bimonthly',50,75),('quarterly',78,110),('semiannual',155,220),('yearly',330,430)) w(cadence, lo, hi)"
 _KEYED_SERIES = "r AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(description), 's.p.a.', 'spa'), '[^a-z]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key, amount < 0 AS outgoing FROM series)"
-_LIKE = "least(abs({0}), abs({1})) > 0 AND greatest(abs({0}), abs({1})) <= 1.5 * least(abs({0}), abs({1}))"
+_LIKE = "{0} IS NOT NULL AND {1} IS NOT NULL AND least(abs({0}), abs({1})) > 0 AND greatest(abs({0}), abs({1})) <= 1.5 * least(abs({0}), abs({1}))"
 _MED = "CASE WHEN len(ts) % 2 = 1 THEN CAST(ts[(len(ts) + 1) // 2] AS DECIMAL(18,3)) ELSE CAST(CAST(ts[len(ts) // 2] + ts[len(ts) // 2 + 1] AS DECIMAL(18,2)) * 0.5 AS DECIMAL(18,3)) END"
 
 
