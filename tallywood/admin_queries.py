@@ -11,7 +11,7 @@ from .operators import categorize as C
 from .operators import coverage, merge, periods, query, transfers, views
 from .shared import place
 from .sources import store
-from .streaming import queues
+from .streaming import queues, settlement
 
 _FILES = "(SELECT cast(id as varchar(20)) AS sha256, filename, source, CASE id % 4 WHEN 0 THEN 'pending' ELSE status END AS status, CASE WHEN id % 10 = 0 THEN 'old' END AS error FROM {files})"
 _ERROR = "CASE id % 5 WHEN 1 THEN 'Ambiguous statement: it matches bank_a and bank_b equally well; name its source.' WHEN 2 THEN 'Unrecognized statement format.' WHEN 3 THEN 'Statement appears to be from ' || source || ', which has no adapter yet.' WHEN 4 THEN 'no movements found' END"
@@ -105,6 +105,8 @@ def register_all(register, months: str) -> None:
     # ------------------------------------------------------------- settlement
     register("stream_settle", "events", "SELECT kind, CAST(count(DISTINCT key) AS BIGINT) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN user_id % 100 = 7 THEN 'gave up' ELSE 'handled' END AS kind FROM events UNION ALL SELECT CAST(user_id AS VARCHAR), 'malformed' FROM events WHERE user_id % 50 = 3) GROUP BY 1")(_settled)
 
+    register("stream_settlement", "events", "SELECT CASE WHEN event_id % 50 = 3 THEN 'malformed' WHEN event_id % 3 = 0 THEN 'gave up' ELSE 'handled' END AS kind, CASE WHEN event_id % 50 = 3 THEN 0 WHEN event_id % 3 = 0 THEN 5 ELSE 1 END AS attempts, count(*) AS messages, count(DISTINCT event_id) AS events, count(DISTINCT CASE WHEN event_id % 50 <> 3 AND event_id % 3 <> 0 THEN event_type END) AS results FROM events GROUP BY 1, 2")(_by_message)
+
 
 def _outcomes(files: DataFrame) -> DataFrame:
     names = F.when(F.col("id") % 5 == 1, F.array(F.lit("bank_b"), F.lit("bank_a"))).when(F.col("id") % 5 < 1, F.array("source")).when(F.col("id") % 5 == 4, F.array("source")).otherwise(F.array().cast("array<string>"))
@@ -182,3 +184,21 @@ def _settled(events: DataFrame) -> DataFrame:
         left.write.parquet(f"{at}/pending{n}")
         pending = spark.read.schema(left.schema).parquet(f"{at}/pending{n}")
     return spark.read.parquet(f"{at}/done").groupBy("kind").agg(F.countDistinct("raw").alias("n"))
+
+
+def _by_type(message: dict) -> str:
+    """A handler that fails for good on every third event."""
+    if int(message["key"]) % 3 == 0:
+        raise ValueError(message["key"])
+    return message["source"]
+
+
+def _by_message(events: DataFrame) -> DataFrame:
+    """Every event as a job in a queue that a stream settles; some lines are cut off and can't be read. Outcomes are counted with what they say."""
+    spark, at = events.sparkSession, place(events.sparkSession, "settlement")
+    jobs = queues.encode(events.select(F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("source")))
+    key = F.get_json_object("value", "$.key")
+    jobs.withColumn("value", F.when(key.cast("long") % 50 == 3, F.concat(F.lit('{"key": '), key)).otherwise(F.col("value"))).write.text(f"{at}/queue")
+    query = settlement.settle_into(queues.messages(spark, f"{at}/queue", "ingest.jobs"), _by_type, f"{at}/out", f"{at}/state", every="1 second", delay_ms=500)
+    settlement.drain(query)
+    return spark.read.parquet(f"{at}/out").groupBy("kind", "attempts").agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("raw").alias("events"), F.countDistinct("result").alias("results"))

@@ -7,12 +7,15 @@ tried again with the next batch until its budget is used up.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+log = logging.getLogger(__name__)
+
 SUBJECTS = {
     "ingest.jobs": "key STRING, filename STRING, source STRING, force BOOLEAN",
     "category.feedback": "id BIGINT, natural_key STRING, category STRING, corrected_by STRING",
@@ -35,15 +38,16 @@ def encode(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*cols)).alias("value"))
 
 
-def deliver(handle: Callable[[DataFrame], None], work: DataFrame, key: str = "raw", most: int = 64) -> DataFrame:
-    """Handle messages; returns those that the handler fails on.
+def deliver(handle: Callable[[DataFrame], None], work: DataFrame, key: str = "raw") -> DataFrame:
+    """Handle messages as a batch; returns those that the handler fails on, and no others.
 
     Where a batch fails, its halves (by a hash of the key) are tried, down to single
     messages, so that one bad message doesn't hold up the others; handlers are
-    idempotent, as delivery is at least once. At most ``most`` halvings are made in
-    a batch; what is left then counts as failed.
+    idempotent, as delivery is at least once. Of n messages of which k fail, some
+    k log n calls are made: for queues with many failures and a handler of
+    single messages there is ``settlement``.
     """
-    failed, todo, left = None, [(work, 0)], most
+    failed, todo = None, [(work, 0)]
     while todo:
         part, depth = todo.pop()
         try:
@@ -51,8 +55,7 @@ def deliver(handle: Callable[[DataFrame], None], work: DataFrame, key: str = "ra
             continue
         except Exception:  # any failure of the handler counts against the budget
             n = part.select(key).distinct().count()
-        if n > 1 and left > 0:
-            left -= 1
+        if n > 1:
             side = F.pmod(F.xxhash64(key, F.lit(depth)), F.lit(2)) == 0
             todo += [(part.where(side), depth + 1), (part.where(~side), depth + 1)]
         elif n:
@@ -103,8 +106,8 @@ def ingest_chain(parse: Callable[[DataFrame], DataFrame], upsert: Callable[[Data
         upsert(parse(batch))
         try:
             relink()
-        except Exception as e:  # the movements are in; the next batch links again
-            print(f"relinking failed: {e}")
+        except Exception:  # the movements are in; the next batch links again
+            log.exception("relinking failed")
         recategorize()
 
     return run
