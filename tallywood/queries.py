@@ -218,7 +218,15 @@ register("recategorize_guarded", "ledger", "SELECT natural_key, CASE WHEN catego
 _CAND = """(SELECT -o.amount AS size, o.natural_key AS out_key, i.natural_key AS in_key, abs(i.value_date - o.value_date) AS gap FROM legs o JOIN legs i ON i.amount = -o.amount AND i.account <> o.account AND abs(i.value_date - o.value_date) <= 4
   WHERE o.amount < 0 AND (i.value_date = o.value_date OR o.description IN ('Bonifico disposto','Giroconto') OR i.description = 'TOP-UP'))"""
 register("transfer_candidates", "legs", f"SELECT CAST(size AS DECIMAL(38,2)) AS size, out_key, in_key, gap FROM {_CAND}")(lambda legs: transfers.candidates(legs).withColumn("size", F.col("size").cast("decimal(38,2)")))
-register("transfer_pairs", "legs")(transfers.find_pairs)
+# Pairs that come first for both their legs, again and again with the rest: as the order is total, these are the greedy ones.
+_ORDER = "ORDER BY gap, size DESC, out_key, in_key"
+_GREEDY = f"""r AS (SELECT size, out_key, in_key, gap, false AS paired FROM {_CAND} UNION ALL
+  (WITH o AS (SELECT *, row_number() OVER (PARTITION BY out_key {_ORDER}) = 1 AND row_number() OVER (PARTITION BY in_key {_ORDER}) = 1 AS best FROM r WHERE NOT paired),
+    m AS (SELECT *, bool_or(best) OVER (PARTITION BY out_key) OR bool_or(best) OVER (PARTITION BY in_key) AS gone FROM o) SELECT size, out_key, in_key, gap, best FROM m WHERE best OR NOT gone))"""
+register("transfer_pairs", "legs", f", {_GREEDY} SELECT CAST(size AS DECIMAL(38,2)) AS size, out_key, in_key, gap, substr(sha256(least(out_key, in_key) || '|' || greatest(out_key, in_key)), 1, 16) AS transfer_group FROM r WHERE paired")(
+    lambda legs: transfers.find_pairs(legs).withColumn("size", F.col("size").cast("decimal(38,2)"))
+)
+SQL["transfer_pairs"] = SQL["transfer_pairs"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 # ---------------------------------------------------------------- recurrence
 register("recurrence_key", "series", "SELECT natural_key, trim(regexp_replace(regexp_replace(replace(lower(description), 's.p.a.', 'spa'), '[^a-z]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM series")(lambda s: s.select("natural_key", X.recurrence_key(F.col("description")).alias("key")))

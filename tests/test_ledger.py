@@ -103,6 +103,52 @@ def test_transfers_in_any_order(spark):
     assert transfers.find_pairs(legs(spark, [("a", "x", 1, "-10", "card"), ("b", "y", 3, "10", "sepa")])).count() == 1
 
 
+def plain_pairs(rows, window=4, require_hint=True):
+    """The pairing by the whole list of candidates, in order."""
+    hinted = lambda t: any(w in t.lower() for w in ("bonific", "giroconto", "sepa"))
+    ins = {}
+    for k, a, d, x, t in rows:
+        if x > 0:
+            ins.setdefault(x, []).append((k, a, d, t))
+    found = []
+    for k, a, d, x, t in rows:
+        for k2, a2, d2, t2 in ins.get(-x, []) if x < 0 else []:
+            gap = abs((d2 - d).days)
+            if a != a2 and gap <= window and (gap == 0 or not require_hint or hinted(t) or hinted(t2)):
+                found.append((gap, x, k, k2))
+    used, pairs = set(), []
+    for gap, _, o, i in sorted(found):
+        if o not in used and i not in used:
+            used |= {o, i}
+            pairs.append((o, i, gap))
+    return pairs
+
+
+def test_pairs_are_those_of_a_plain_loop(spark):
+    """5,000 legs, 1,000 of them of one amount and day on two accounts, and long runs of days."""
+    rng = random.Random(4)
+    start = date(2025, 1, 1)
+    text = lambda: rng.choice(["Bonifico", "card", "card", "shop", "SEPA x"])
+    rows = [(f"h{rng.randrange(10**9):09d}-{i}", f"a{rng.randrange(2)}", start, Decimal(rng.choice([-10, 10])), text()) for i in range(1000)]
+    rows += [(f"d{rng.randrange(10**9):09d}-{i}", f"a{rng.randrange(6)}", start + timedelta(days=rng.randrange(400)), Decimal(rng.choice([-10, 10])), text()) for i in range(1500)]
+    rows += [(f"r{rng.randrange(10**9):09d}-{i}", f"a{rng.randrange(6)}", start + timedelta(days=rng.randrange(3000)), Decimal(rng.choice([-1, 1]) * rng.randrange(0, 12)), text()) for i in range(2500)]
+    frame = spark.createDataFrame(rows, "natural_key string, account string, value_date date, amount decimal(18,2), description string").repartition(5)
+    for window, hint in ((4, True), (2, False)):
+        got = transfers.find_pairs(frame, window, hint).collect()
+        assert sorted((r.out_key, r.in_key, r.gap) for r in got) == sorted(plain_pairs(rows, window, hint))
+    assert transfers.sides(frame, 4).count() <= len(rows)
+    # Owners keep to themselves.
+    two = frame.withColumn("who", F.when(F.crc32("natural_key") % 2 == 0, "x").otherwise("y"))
+    got = {(r.out_key, r.in_key, r.gap) for r in transfers.find_pairs(two, owner=("who",)).collect()}
+    whose = {r.natural_key: r.who for r in two.collect()}
+    assert got == {p for who in "xy" for p in plain_pairs([r for r in rows if whose[r[0]] == who])}
+
+
+def test_no_legs(spark):
+    assert transfers.find_pairs(legs(spark, [])).collect() == []
+    assert transfers.find_pairs(legs(spark, [("a", "x", 1, "0", "sepa"), ("b", "y", 1, "0", "sepa"), ("c", "y", 1, "5", None)])).collect() == []
+
+
 def series(spark, rows):
     return spark.createDataFrame([(f"k{i}", d, Decimal(a), t, "acc", c, None) for i, (d, a, t, c) in enumerate(rows)], "natural_key string, value_date date, amount decimal(18,2), description string, account string, category string, transfer_group string")
 
