@@ -1,11 +1,11 @@
-"""Commands: load statements into a ledger, export it, link its transfers.
+"""Commands: load statements into a ledger, load a store's files again, export it, link its transfers.
 
-    python -m tallywood load LEDGER FILES [--source ID] [--force]
+    python -m tallywood load LEDGER FILES [--source ID] [--force] [--vocabulary FOLDER]
+    python -m tallywood reprocess LEDGER FILES
     python -m tallywood export LEDGER OUT [--lang it]
     python -m tallywood link-transfers LEDGER [--window 4]
 
-A ledger is a folder of Parquet tables; a command writes a new version of a table
-beside the old one and then puts it in its place.
+A ledger is a folder of versioned tables (see ``operators.versions``).
 """
 
 from __future__ import annotations
@@ -13,84 +13,42 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import extract_merchant, normalize_desc
-from .operators import categorize, detect, merge, query, transfers
-from .plans import schema, vocabulary
+from . import loading
+from .operators import query
+from .plans import loader, vocabulary
 from .session import session
-from .sources import broker_csv, consolidated_csv
-from .sources.lines import heads, number_lines, read_files
-from .sources.registry import markers
-
-#: Adapters that read lines; pages and sheets need a decoder (see ``sources.words`` and ``sources.xlsx``).
-LINES = {consolidated_csv.SOURCE: consolidated_csv.parse, broker_csv.SOURCE: broker_csv.parse}
-
-
-def table(spark: SparkSession, ledger: str, name: str, ddl: str) -> DataFrame:
-    """A table of the ledger, empty if it isn't there yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{name}")
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(f"{ledger}/{name}") if there else spark.createDataFrame([], ddl)
-
-
-def replace(spark: SparkSession, ledger: str, name: str, rows: DataFrame) -> None:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = fs_path(f"{ledger}/{name}.new"), fs_path(f"{ledger}/{name}")
-    rows.write.mode("overwrite").parquet(f"{ledger}/{name}.new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
-
-
-def load(spark: SparkSession, ledger: str, files: str, source: str | None = None, force: bool = False) -> tuple[int, int]:
-    """Read files of lines into the ledger; (new, enriched). A file of unknown content or of no source is recorded as failed."""
-    known = table(spark, ledger, "raw_files", schema.RAW_FILES)
-    old = table(spark, ledger, "transactions", schema.TRANSACTIONS)
-    found = merge.register_files(known, read_files(spark, files), force)
-    head = heads(found).withColumn("candidates", F.array(F.lit(source)) if source else detect.candidates(F.col("head"), markers()))
-    found = found.join(head.select("file", "candidates"), "file").withColumn("source", F.when(F.size("candidates") == 1, F.element_at("candidates", 1)))
-    parts = [parse(number_lines(found.where(F.col("source") == name))) for name, parse in LINES.items()]
-    rows = parts[0].unionByName(parts[1])
-    who = extract_merchant(F.col("source"), F.col("description"))
-    rows = merge.keyed(rows).withColumns({"merchant": who["merchant"], "purchase_time": who["purchase_time"], "norm": normalize_desc(F.col("description"))})
-    code = categorize.resolve(F.col("mcc"), F.col("merchant"), F.col("norm"), F.lit(None).cast("string"), F.lit(None).cast("double"))
-    rows = rows.withColumn("x", code).withColumns({"category": F.col("x.code"), "category_source": F.col("x.source"), "category_confidence": F.col("x.confidence").cast("float"), "file_id": F.xxhash64("file"), "seq": F.lit(1)})
-    merged = merge.ledger_upsert(old.withColumn("seq", F.lit(0)), rows)
-    merged = merged.join(old.select("natural_key", "transfer_group", "id", "created_at"), "natural_key", "left")
-    names = [c.split(" ")[0] for c in schema.TRANSACTIONS.split(", ")]
-    counts = merged.agg(F.count_if("fresh"), F.count_if(F.col("enriched") & ~F.col("fresh"))).first()
-    status = merge.file_status(found.select("sha256", "candidates"), rows.join(found.select("file", "sha256"), "file"))
-    outcome = found.select("sha256", F.col("file").alias("filename"), F.coalesce("source", F.lit("unknown")).alias("source")).join(status, "sha256")
-    replace(spark, ledger, "transactions", merged.select(*names))
-    replace(spark, ledger, "raw_files", merge.record_files(known, outcome))
-    return int(counts[0]), int(counts[1])
+from .sources import statement
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tallywood")
     commands = parser.add_subparsers(dest="command", required=True)
     a = commands.add_parser("load")
-    a.add_argument("ledger"), a.add_argument("files"), a.add_argument("--source"), a.add_argument("--force", action="store_true")
+    a.add_argument("ledger"), a.add_argument("files"), a.add_argument("--source"), a.add_argument("--force", action="store_true"), a.add_argument("--vocabulary")
+    r = commands.add_parser("reprocess")
+    r.add_argument("ledger"), r.add_argument("files"), r.add_argument("--vocabulary")
     b = commands.add_parser("export")
     b.add_argument("ledger"), b.add_argument("out"), b.add_argument("--lang", default="en")
     c = commands.add_parser("link-transfers")
     c.add_argument("ledger"), c.add_argument("--window", type=int, default=vocabulary.TRANSFER_WINDOW)
     args = parser.parse_args(argv)
     spark = SparkSession.getActiveSession() or session("tallywood")
-    if args.command == "load":
-        new, enriched = load(spark, args.ledger, args.files, args.source, args.force)
-        print(f"{new} new, {enriched} enriched")
+    if args.command in ("load", "reprocess"):
+        again = args.command == "reprocess"
+        words = loader.load(args.vocabulary) if args.vocabulary else None
+        got = loading.load(spark, args.ledger, statement.records(spark, args.files), None if again else args.source, again or args.force, words)
+        print(f"{got.new} new, {got.enriched} enriched; {got.parsed} files parsed, {got.failed} failed")
         return 0
-    ledger = table(spark, args.ledger, "transactions", schema.TRANSACTIONS)
     if args.command == "export":
+        ledger = loading.table(spark, args.ledger, "transactions").read()
         query.export_csv(ledger, args.out, args.lang)
         query.summary(ledger).show(100, False)
     else:
-        linked = transfers.relink(ledger, args.window)
-        replace(spark, args.ledger, "transactions", linked)
-        legs = table(spark, args.ledger, "transactions", schema.TRANSACTIONS).where("transfer_group IS NOT NULL")
+        loading.relink(spark, args.ledger, args.window)
+        legs = loading.table(spark, args.ledger, "transactions").read().where("transfer_group IS NOT NULL")
         said = legs.agg(F.countDistinct("transfer_group"), F.sum(F.abs("amount")) / 2, F.sum("amount")).first()
         print(f"{said[0]} pairs, volume {said[1]}, net {said[2]}")
     return 0

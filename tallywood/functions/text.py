@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -78,7 +79,7 @@ def tidy(name: Column) -> Column:
     """Single spaces, no dangling punctuation or trailing long numbers; null if nothing is left."""
     name = F.regexp_replace(F.regexp_replace(name, r"\s+", " "), r"^[ \-,:]+|[ \-,:]+$", "")
     name = F.regexp_replace(F.regexp_replace(name, r"(?:\s+\d{5,})+$", ""), r"^[ \-,:]+|[ \-,:]+$", "")
-    return F.when(name != "", name)
+    return F.nullif(name, F.lit(""))
 
 
 def clock(hours: Column, minutes: Column) -> Column:
@@ -87,29 +88,41 @@ def clock(hours: Column, minutes: Column) -> Column:
     return F.when((h <= 23) & (m <= 59), F.format_string("%02d:%02d", h, m))
 
 
-def _said(d: Column, mark: str, pattern: str, n: int = 1) -> Column:
-    """A group of a pattern, null without a match; the pattern is tried only where a text has the mark."""
-    return F.when(F.lower(d).contains(mark), F.nullif(F.regexp_extract(d, pattern, n), F.lit("")))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _intesa(d: Column) -> tuple[Column, Column]:
-    # Wordings of the bank's statements, each with a part that all its texts have.
-    at = ("alle ore", r"(?i)ALLE ORE\s+(\d{2})[:.]?(\d{2})(?:\d{2})?\b")
-    ore = ("ore", r"(?i)\bore:?\s*(\d{2})[:.](\d{2})\b")
+def _intesa(d: Column) -> Column:
+    # Wordings of the bank's statements, each with a part that all its texts have, and the groups that are wanted.
     none = r"(?i)^\s*(?:Prelievo|Versamento|Bonifico|Stipendio|Trasferimento denaro)"
-    through = ("tramite pos", r"(?i)Pagamento Tramite POS\s+(.+?)\s*(\d{2})/(\d{2})-(\d{2})[:.](\d{2})")
-    on = ("su pos", r"(?i)Pagamento su POS\s+(.+?)\s*(\d{2})/(\d{2})(\d{2})(\d{2})\b")
-    named = (
-        ("bancomat pay", r"(?i)BANCOMAT PAY presso\s+(.+?)\s+data:"),
-        ("presso", r"(?i)\bPRESSO\s+(.+)$"),
-        ("addebito diretto", r"(?i)Addebito diretto disposto a favore di\s+(.+?)(?:\s+MANDATO\b|\s+Cod\.?\s|\s*$)"),
-        ("adue", r"(?i)Pagamento ADUE\b.*?NOME:\s*(.+?)\s*(?:-\s*MANDATO\b|MANDATO\b|$)"),
-    )
-    who = F.when(~d.rlike(none), F.coalesce(*[_said(d, *p) for p in (through, on, *named)]))
-    # A time of its own wording comes first; of two such, the first that is there decides, even if it is no time of day.
-    when = F.coalesce(F.when(_said(d, *at).isNotNull(), F.coalesce(clock(_said(d, *at), _said(d, *at, 2)), F.lit(""))), F.when(_said(d, *ore).isNotNull(), F.coalesce(clock(_said(d, *ore), _said(d, *ore, 2)), F.lit(""))))
-    glued = F.when(~d.rlike(none), F.coalesce(*[F.when(_said(d, *p).isNotNull(), F.coalesce(clock(_said(d, *p, 4), _said(d, *p, 5)), F.lit(""))) for p in (through, on)]))
-    return tidy(who), F.coalesce(F.nullif(when, F.lit("")), F.nullif(glued, F.lit("")))
+    wordings = {
+        "at": ("alle ore", r"(?i)ALLE ORE\s+(\d{2})[:.]?(\d{2})(?:\d{2})?\b", (1, 2)),
+        "ore": ("ore", r"(?i)\bore:?\s*(\d{2})[:.](\d{2})\b", (1, 2)),
+        "through": ("tramite pos", r"(?i)Pagamento Tramite POS\s+(.+?)\s*(\d{2})/(\d{2})-(\d{2})[:.](\d{2})", (1, 4, 5)),
+        "on": ("su pos", r"(?i)Pagamento su POS\s+(.+?)\s*(\d{2})/(\d{2})(\d{2})(\d{2})\b", (1, 4, 5)),
+        "pay": ("bancomat pay", r"(?i)BANCOMAT PAY presso\s+(.+?)\s+data:", (1,)),
+        "presso": ("presso", r"(?i)\bPRESSO\s+(.+)$", (1,)),
+        "debit": ("addebito diretto", r"(?i)Addebito diretto disposto a favore di\s+(.+?)(?:\s+MANDATO\b|\s+Cod\.?\s|\s*$)", (1,)),
+        "adue": ("adue", r"(?i)Pagamento ADUE\b.*?NOME:\s*(.+?)\s*(?:-\s*MANDATO\b|MANDATO\b|$)", (1,)),
+    }
+
+    def found(low: Column) -> Column:
+        """Each wanted group of each wording, looked for once and only where a text has the wording's mark; '' or null without a match."""
+        groups = [F.when(low.contains(mark), F.regexp_extract(d, pattern, n)).alias(f"{name}{n}") for name, (mark, pattern, wanted) in wordings.items() for n in wanted]
+        return F.struct(d.rlike(none).alias("none"), *groups)
+
+    def said(g: Column) -> Column:
+        has = lambda name: F.coalesce(g[name], F.lit("")) != ""
+        named = lambda *names: F.coalesce(*[F.when(has(n), g[n]) for n in names])
+        # A time of its own wording comes first; of two such, the first that is there decides, even if it is no time of day.
+        time = lambda name, h, m: F.when(has(f"{name}1"), F.coalesce(clock(g[f"{name}{h}"], g[f"{name}{m}"]), F.lit("")))
+        own = F.nullif(F.coalesce(time("at", 1, 2), time("ore", 1, 2)), F.lit(""))
+        glued = F.when(~g["none"], F.nullif(F.coalesce(time("through", 4, 5), time("on", 4, 5)), F.lit("")))
+        who = F.when(~g["none"], named("through1", "on1", "pay1", "presso1", "debit1", "adue1"))
+        return F.struct(tidy(who).alias("merchant"), F.coalesce(own, glued).alias("purchase_time"))
+
+    return once(F.lower(d), lambda low: once(found(low), said))
 
 
 def _revolut(d: Column) -> tuple[Column, Column]:
@@ -130,13 +143,18 @@ STRATEGIES = {"intesa": _intesa, "revolut": _revolut, "trade_republic": _trade_r
 
 
 def extract_merchant(source: Column, description: Column, strategies: dict | None = None) -> Column:
-    """struct(merchant, purchase_time) by the source's strategy; both null for other sources and texts."""
-    who, when = F.when(F.lit(False), F.lit(None).cast("string")), F.when(F.lit(False), F.lit(None).cast("string"))
+    """struct(merchant, purchase_time) by the source's strategy; both null for other sources and texts.
+
+    A strategy takes the description and returns that struct, or the two as a pair.
+    """
+    null = F.lit(None).cast("string")
+    nothing = F.struct(null.alias("merchant"), null.alias("purchase_time"))
+    out = F.when(F.lit(False), nothing)
     for name, strategy in (STRATEGIES if strategies is None else strategies).items():
         if strategy is not None:
-            m, t = strategy(description)
-            who, when = who.when(source == name, m), when.when(source == name, t)
-    return F.struct(who.alias("merchant"), when.alias("purchase_time"))
+            x = strategy(description)
+            out = out.when(source == name, F.struct(x[0].alias("merchant"), x[1].alias("purchase_time")) if isinstance(x, tuple) else x)
+    return out.otherwise(nothing)
 
 
 def rule_category(norm: Column, rules=V.RULES) -> Column:

@@ -121,10 +121,10 @@ def accounts(lines: DataFrame) -> DataFrame:
 
 
 def balances(lines: DataFrame) -> DataFrame:
-    """The last balance of each account and day, as of value dates."""
+    """The last balance of each file, account and day, as of value dates."""
     rows = movements_table(lines).where("balance IS NOT NULL")
-    g = rows.groupBy("account", F.col("value_date").alias("balance_date")).agg(F.max_by("balance", "line_no").alias("balance"))
-    return g.select("account", "balance_date", F.col("balance").cast("decimal(14,2)").alias("balance"), F.lit(CURRENCY).alias("currency"), F.lit(SOURCE).alias("source"), F.lit("value").alias("basis"))
+    g = rows.groupBy("file", "account", F.col("value_date").alias("balance_date")).agg(F.max_by("balance", "line_no").alias("balance"))
+    return g.select("file", "account", "balance_date", F.col("balance").cast("decimal(14,2)").alias("balance"), F.lit(CURRENCY).alias("currency"), F.lit(SOURCE).alias("source"), F.lit("value").alias("basis"))
 
 
 ADAPTER = register(Adapter(SOURCE, parse, (("current accounts summaries",), ("revolut",), ("money in/out", "balance")), accounts=accounts, balances=balances))

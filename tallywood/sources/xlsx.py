@@ -55,13 +55,16 @@ def _run(batches):
 
 
 def read_cells(spark: SparkSession, path: str, most_bytes: int = 10 << 20) -> DataFrame:
-    """One row per sheet row of the files up to a size."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
+    """One row per sheet row. A file over the size is an error; ``statement.records`` reports such files instead."""
+    large = spark.read.format("binaryFile").load(path).where(F.col("length") > most_bytes).select("path").take(1)
+    if large:
+        raise ValueError(f"{large[0].path} is larger than {most_bytes} bytes")
+    files = spark.read.format("binaryFile").load(path)
     return files.select(F.col("path").alias("file"), "content").mapInArrow(_run, CELLS)
 
 
-def movements(rows: DataFrame) -> DataFrame:
-    """(file, line_no, value_date, amount, currency, description) below the row that has both Data and Importo.
+def movements(rows: DataFrame, category: bool = False) -> DataFrame:
+    """(file, line_no, value_date, amount, currency, description) below the row that has both Data and Importo, and the native_category if wanted.
 
     Amounts are numbers or Italian text; dates are day-first text or day serials.
     Other currencies than EUR, zero and unreadable amounts and rows without a date are left out.
@@ -76,5 +79,11 @@ def movements(rows: DataFrame) -> DataFrame:
     serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(day.try_cast("double")).cast("int"))
     date = F.when(day.rlike(r"^\d+(\.\d+)?$"), serial).otherwise(parse_day_first(day))
     text = F.concat_ws(" ", at("Operazione"), at("Dettagli"))
-    got = named.select("file", F.col("row_no").alias("line_no"), date.alias("value_date"), F.round(amount, 2).cast("decimal(18,2)").alias("amount"), F.coalesce(at("Valuta"), F.lit("EUR")).alias("currency"), text.alias("description"))
+    got = named.select("file", F.col("row_no").alias("line_no"), *([at("Categoria").alias("native_category")] if category else []), date.alias("value_date"), F.round(amount, 2).cast("decimal(18,2)").alias("amount"), F.coalesce(at("Valuta"), F.lit("EUR")).alias("currency"), text.alias("description"))
     return got.where("currency = 'EUR' AND amount <> 0 AND value_date IS NOT NULL")
+
+
+def bank_sheet(rows: DataFrame) -> DataFrame:
+    """The bank's list of operations, in the ledger's columns."""
+    got = movements(rows, category=True)
+    return got.select("file", "line_no", F.lit("intesa").alias("account"), "value_date", F.col("value_date").alias("booking_date"), "description", F.col("amount").cast("decimal(18,4)").alias("amount"), "currency", F.lit("intesa").alias("source"), "native_category")

@@ -54,8 +54,8 @@ def register_all(register) -> None:
     register("statement_csv_accounts", "ledger", "SELECT DISTINCT * FROM (VALUES ('revolut_personal_eur', 'Some Bank', 'joint', 'IT60X0542811101000000123456'), ('revolut_flexible_savings_eur', NULL, NULL, NULL)) t(account_id, bank_name, holding_modality, iban)")(
         lambda lg: consolidated_csv.accounts(S.consolidated_lines(lg)).select("account_id", "bank_name", "holding_modality", "iban")
     )
-    register("statement_csv_balances", "ledger", _LAST + " SELECT value_date AS balance_date, CAST(arg_max(n, {'n': n, 'a': account}) AS DECIMAL(14,2)) AS balance FROM r WHERE account = 'acct_1' GROUP BY 1")(
-        lambda lg: consolidated_csv.balances(S.consolidated_lines(lg.where("account = 'acct_1'"))).select("balance_date", "balance")
+    register("statement_csv_balances", "ledger", _LAST + " SELECT account AS file, value_date AS balance_date, CAST(max(n) AS DECIMAL(14,2)) AS balance FROM r WHERE amount <> 0 GROUP BY 1, 2")(
+        lambda lg: consolidated_csv.balances(S.consolidated_lines(lg)).select("file", "balance_date", "balance")
     )
     who = "CASE WHEN n % 2 = 0 THEN merchant ELSE native_category END"
     register("statement_broker_csv", "ledger", _rows(f"file, value_date, CASE WHEN n % 5 = 0 OR {who} = description THEN {who} ELSE {who} || ' - ' || description END AS description, CAST(amount - CASE WHEN n % 3 = 0 THEN 1.50 ELSE 0 END AS DECIMAL(18,4)) AS amount, mcc, category AS native_category", "n % 7 <> 6"))(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywood import __main__ as commands
+from tallywood import loading
 from tallywood.operators import categorize as C
 from tallywood.operators import merge, query
 from tallywood.plans import loader, schema
@@ -118,9 +119,9 @@ def test_commands(spark, tmp_path, capsys):
     (files / "r.csv").write_text('Current accounts summaries\nPersonal Account (EUR)\nDate,Description,Category,Money in/out,Balance\n"Jan 4, 2025",Top-up by *1234,Top up,€100.00,€100.00\n')
     (files / "odd.txt").write_text("nothing known")
     assert commands.main(["load", ledger, str(files)]) == 0 and "3 new, 0 enriched" in capsys.readouterr().out
-    rows = {r.description: r for r in spark.read.parquet(f"{ledger}/transactions").collect()}
+    rows = {r.description: r for r in loading.table(spark, ledger, "transactions").read().collect()}
     assert rows["Pizza place"].category == "dining" and rows["Pizza place"].category_source == "mcc" and str(rows["Pizza place"].amount) == "-5.0000"
-    status = {r.filename.split("/")[-1]: r.status for r in spark.read.parquet(f"{ledger}/raw_files").collect()}
+    status = {r.filename.split("/")[-1]: r.status for r in loading.table(spark, ledger, "raw_files").read().collect()}
     assert status == {"t.csv": "parsed", "r.csv": "parsed", "odd.txt": "failed"}
     assert commands.main(["load", ledger, str(files)]) == 0 and "0 new" in capsys.readouterr().out
     assert commands.main(["load", ledger, str(files), "--force"]) == 0 and "0 new" in capsys.readouterr().out
