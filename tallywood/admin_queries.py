@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from .functions import money as M
 from .functions import text as X
 from .operators import categorize as C
-from .operators import coverage, merge, periods, query, transfers, views
+from .operators import coverage, merge, periods, query, transfers, versions, views
+from .plans import vocabulary as V
 from .shared import place
 from .sources import store
 from .streaming import queues, settlement
 
 _FILES = "(SELECT cast(id as varchar(20)) AS sha256, filename, source, CASE id % 4 WHEN 0 THEN 'pending' ELSE status END AS status, CASE WHEN id % 10 = 0 THEN 'old' END AS error FROM {files})"
 _ERROR = "CASE id % 5 WHEN 1 THEN 'Ambiguous statement: it matches bank_a and bank_b equally well; name its source.' WHEN 2 THEN 'Unrecognized statement format.' WHEN 3 THEN 'Statement appears to be from ' || source || ', which has no adapter yet.' WHEN 4 THEN 'no movements found' END"
-_HISTORY = "(SELECT * FROM (SELECT cast(file_id % 700 as varchar(20)) AS natural_key, row_number() OVER (PARTITION BY file_id % 700 ORDER BY natural_key, amount, description) - 1 AS seq, description, merchant, mcc, cast(NULL as varchar(5)) AS purchase_time, category, CASE WHEN category = 'rent' THEN 'manual' ELSE category_source END AS category_source, coalesce(category_confidence, 0.5) AS category_confidence, value_date, value_date AS booking_date, amount, account, source, native_category FROM {ledger}) h WHERE seq <= 1)"
+# Every arrival of each key, in order. Of every seventh key none is in the ledger yet; the others' first is, and a manual category there stays.
+_HISTORY = """(SELECT natural_key, seq, new, description, merchant, mcc, cast(NULL as varchar(5)) AS purchase_time, category, CASE WHEN seq = 0 AND NOT new AND category = 'rent' THEN 'manual' WHEN category_source = 'manual' THEN 'rule' ELSE category_source END AS category_source,
+  coalesce(category_confidence, 0.5) AS category_confidence, value_date, value_date AS booking_date, amount, account, source, native_category
+  FROM (SELECT *, cast(file_id % 700 as varchar(20)) AS key, file_id % 7 = 0 AS new, row_number() OVER (PARTITION BY file_id % 700 ORDER BY natural_key, amount, description) - 1 AS seq FROM {ledger}) r) h"""
+_HISTORY = _HISTORY.replace("SELECT natural_key, seq", "SELECT key AS natural_key, seq")
+_KEEPS = "length(h.description) > length(f.description)"
+_MOVES = f"{_KEEPS} AND f.category_source <> 'manual'"
+_LEDGER_FOLD = f""", h AS (SELECT * FROM {_HISTORY.format(ledger='ledger')}), n AS (SELECT natural_key, max(seq) AS last FROM h GROUP BY 1),
+f AS (SELECT natural_key, seq, description, merchant, category, category_source, category_confidence, amount, account, source, native_category, new AS fresh, false AS enriched FROM h WHERE seq = 0
+  UNION ALL SELECT f.natural_key, h.seq, CASE WHEN {_KEEPS} THEN h.description ELSE f.description END, CASE WHEN {_KEEPS} THEN h.merchant ELSE f.merchant END, CASE WHEN {_MOVES} THEN h.category ELSE f.category END,
+    CASE WHEN {_MOVES} THEN h.category_source ELSE f.category_source END, CASE WHEN {_MOVES} THEN h.category_confidence ELSE f.category_confidence END, f.amount, f.account, f.source, f.native_category, f.fresh, f.enriched OR {_KEEPS}
+  FROM f JOIN h ON h.natural_key = f.natural_key AND h.seq = f.seq + 1)
+SELECT f.natural_key, description, merchant, category, category_source, round(category_confidence, 6) AS category_confidence, amount, account, source, native_category, fresh, enriched FROM f JOIN n ON n.natural_key = f.natural_key AND n.last = f.seq"""
 
 
 def register_all(register, months: str) -> None:
@@ -36,10 +49,7 @@ def register_all(register, months: str) -> None:
     register("object_store", "nation", "SELECT n_name || '.csv' AS key, CAST(octet_length(encode(n_name)) AS BIGINT) AS size, sha256(n_name) AS sha256 FROM nation")(_stored)
 
     # ------------------------------------------------------------- upserts
-    register("ledger_fold", "ledger", f""", h AS (SELECT * FROM {_HISTORY.format(ledger='ledger')}), n AS (SELECT b.natural_key AS k, b.*, a.* FROM (SELECT * FROM h WHERE seq = 0) a LEFT JOIN (SELECT natural_key AS bk, description AS bd, merchant AS bm, category AS bc, category_source AS bs, category_confidence AS bf FROM h WHERE seq = 1) b ON bk = a.natural_key)
-      SELECT natural_key, CASE WHEN bk IS NOT NULL AND length(bd) > length(description) THEN bd ELSE description END AS description, CASE WHEN bk IS NOT NULL AND length(bd) > length(description) THEN bm ELSE merchant END AS merchant,
-      CASE WHEN bk IS NOT NULL AND length(bd) > length(description) AND category_source <> 'manual' THEN bc ELSE category END AS category, CASE WHEN bk IS NOT NULL AND length(bd) > length(description) AND category_source <> 'manual' THEN bs ELSE category_source END AS category_source,
-      round(CASE WHEN bk IS NOT NULL AND length(bd) > length(description) AND category_source <> 'manual' THEN bf ELSE category_confidence END, 6) AS category_confidence, amount, account, source, native_category FROM n""".replace("b.natural_key AS k, ", ""))(_folded)
+    register("ledger_fold", "ledger", _LEDGER_FOLD)(_folded)
     register("trade_upsert", "trades", "SELECT natural_key, any_value(side) AS side, CAST(max(unit_price) + 1 AS DECIMAL(18,2)) AS unit_price FROM trades GROUP BY natural_key")(
         lambda t: merge.replace_upsert(k := t.groupBy("natural_key").agg(F.first("side").alias("side"), F.max("unit_price").alias("unit_price")), k.withColumns({"unit_price": (F.col("unit_price") + 1).cast("decimal(18,2)"), "seq": F.lit(1)}), ["natural_key"])
     )
@@ -77,7 +87,11 @@ def register_all(register, months: str) -> None:
     register("stacked_months", "ledger", f""", c AS (SELECT m.month, category, -total AS spent FROM {months} m JOIN (SELECT month FROM (SELECT DISTINCT month FROM {months}) ORDER BY month DESC LIMIT 6) w ON w.month = m.month WHERE total < 0), t AS (SELECT category FROM c GROUP BY 1 ORDER BY sum(spent) DESC, category LIMIT 3)
       SELECT month, CASE WHEN category IN (SELECT category FROM t) THEN category ELSE 'rest' END AS category, CAST(sum(spent) AS DECIMAL(38,2)) AS spent FROM c GROUP BY 1, 2""")(lambda lg: periods.stacked(views.category_month(lg), 6, 3))
     register("sql_scan", "ledger", "SELECT natural_key, amount FROM ledger WHERE source = 'bank_a' AND amount < -50000")(lambda lg: query.scan(lg.sparkSession, "SELECT natural_key, amount FROM {lg} WHERE source = :source AND amount < :most", {"source": "bank_a", "most": -50000}, lg=lg))
-    register("meta_vocabulary", "nation", "SELECT * FROM (VALUES ('intesa'), ('revolut'), ('trade_republic')) t(source)")(lambda n: n.sparkSession.createDataFrame([(x,) for x in query.meta()["sources"]], "source string"))
+    named = " ".join(f"WHEN '{c}' THEN '{V.label(c, 'it')}'" for c in ("groceries", "dining", "transport", "bills", "investments", "crypto", "rent"))
+    register("meta_vocabulary", "ledger", f"SELECT category, CASE category {named} ELSE 'Altro' END AS label, category IN ('investments', 'crypto') AS asset, count(*) AS n_movements FROM ledger GROUP BY 1")(lambda lg: query.vocabulary_in_use(lg, "it"))
+    register("ledger_versions", "ledger", """, l AS (SELECT natural_key, any_value(category) AS category, sum(amount) AS amount FROM ledger GROUP BY 1), v AS (SELECT *, CAST(split_part(natural_key, '-', 2) AS INTEGER) AS n FROM l)
+      SELECT 1 AS version, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,2)) AS total FROM v WHERE n <= 3 UNION ALL SELECT 2, count(*), CAST(sum(CASE WHEN n = 2 THEN amount + 1 ELSE amount END) AS DECIMAL(38,2)) FROM v
+      UNION ALL SELECT 3, count(*), CAST(sum(CASE WHEN n = 2 THEN amount + 1 ELSE amount END) AS DECIMAL(38,2)) FROM v WHERE n <> 1""")(_versioned)
 
     # ------------------------------------------------------------- functions
     register("merchant_strategies", "ledger", "SELECT natural_key, CASE file_id % 4 WHEN 0 THEN merchant WHEN 2 THEN merchant WHEN 3 THEN merchant END AS merchant, CASE WHEN file_id % 4 = 2 THEN true ELSE false END AS hint FROM ledger")(
@@ -128,8 +142,9 @@ def _stored(nation: DataFrame) -> DataFrame:
 
 def _folded(ledger: DataFrame) -> DataFrame:
     h = ledger.sparkSession.sql(f"SELECT * FROM {_HISTORY}", ledger=ledger)
-    out = merge.ledger_upsert(h.where("seq = 0"), h.where("seq > 0"))
-    return out.select("natural_key", "description", "merchant", "category", "category_source", F.round("category_confidence", 6).alias("category_confidence"), "amount", "account", "source", "native_category")
+    known = (F.col("seq") == 0) & ~F.col("new")
+    out = merge.ledger_upsert(h.where(known), h.where(~known))
+    return out.select("natural_key", "description", "merchant", "category", "category_source", F.round("category_confidence", 6).alias("category_confidence"), "amount", "account", "source", "native_category", "fresh", "enriched")
 
 
 def _relinked(legs: DataFrame) -> DataFrame:
@@ -202,3 +217,20 @@ def _by_message(events: DataFrame) -> DataFrame:
     query = settlement.settle_into(queues.messages(spark, f"{at}/queue", "ingest.jobs"), _by_type, f"{at}/out", f"{at}/state", every="1 second", delay_ms=500)
     settlement.drain(query)
     return spark.read.parquet(f"{at}/out").groupBy("kind", "attempts").agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("raw").alias("events"), F.countDistinct("result").alias("results"))
+
+
+def _versioned(ledger: DataFrame) -> DataFrame:
+    """A ledger that is loaded, changed and cut, each in a version of its own; what each version holds at the end."""
+    spark = ledger.sparkSession
+    rows = ledger.groupBy("natural_key").agg(F.max("category").alias("category"), F.sum("amount").cast("decimal(28,2)").alias("amount")).withColumn("n", F.split_part("natural_key", F.lit("-"), F.lit(2)).cast("int"))
+    t = versions.Table(spark, place(spark, "versioned"))
+    t.create(rows.schema, ["natural_key"], 16)
+    put = lambda have, batch: merge.replace_upsert(have, batch.withColumn("seq", F.lit(1)), ["natural_key"])
+    t.change(rows.where("n <= 3"), put, "first")
+    t.change(rows.where("n = 2 OR n > 3").withColumn("amount", F.when(F.col("n") == 2, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(28,2)")), put, "second")
+    t.change(rows.where("n = 1"), lambda have, batch: have.join(batch, "natural_key", "left_anti"), "third")
+    said = None
+    for number in (1, 2, 3):
+        one = t.read(number).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(38,2)").alias("total")).select(F.lit(number).alias("version"), "n", "total")
+        said = one if said is None else said.unionByName(one)
+    return said

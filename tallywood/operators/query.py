@@ -154,6 +154,12 @@ def meta() -> dict:
     return {"sources": sorted(adapters()), "categories": V.LABELS, "assets": list(V.ASSETS), "default": V.DEFAULT, "model_threshold": V.MODEL_THRESHOLD, "transfer_window_days": V.TRANSFER_WINDOW, "max_file_mb": 10, "max_files": 50}
 
 
+def vocabulary_in_use(ledger: DataFrame, lang: str = "en") -> DataFrame:
+    """(category, label, asset, n_movements): the codes that a ledger has, with what the vocabulary says of them."""
+    n = ledger.groupBy("category").agg(F.count(F.lit(1)).alias("n_movements"))
+    return n.select("category", label(F.col("category"), lang).alias("label"), F.coalesce(F.col("category").isin(*V.ASSETS), F.lit(False)).alias("asset"), "n_movements")
+
+
 def summary(ledger: DataFrame) -> DataFrame:
     """Count and net by category, least net first."""
     return ledger.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast(MONEY).alias("net")).orderBy("net", "category")

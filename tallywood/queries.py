@@ -306,8 +306,15 @@ register("resolver_chain", "ledger", f", s AS (SELECT *, {_RULE} AS rule, CASE W
 register("category_labels", "ledger", "SELECT DISTINCT category, CASE category WHEN 'groceries' THEN 'Spesa' WHEN 'dining' THEN 'Ristorazione' WHEN 'transport' THEN 'Trasporti' WHEN 'bills' THEN 'Bollette' WHEN 'investments' THEN 'Investimenti' WHEN 'crypto' THEN 'Crypto' WHEN 'rent' THEN 'Affitti' ELSE 'Altro' END AS label FROM ledger")(
     lambda lg: lg.select("category").distinct().select("category", X.label(F.col("category"), "it").alias("label"))
 )
-_HEAD = "(SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Revolut statement' WHEN 1 THEN 'money in/out, balance, intesa sanpaolo' WHEN 2 THEN 'Trade Republic, intesa sanpaolo' WHEN 3 THEN 'asset_class;transaction_id' ELSE substr(html, 1, " + str(HEAD) + ") END AS head FROM {pages})"
-register("detect_source", "pages", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'revolut' WHEN 1 THEN 'revolut' WHEN 3 THEN 'trade_republic' END AS source FROM pages")(lambda p: p.sparkSession.sql(f"SELECT * FROM {_HEAD}", pages=p).select("page_id", detect.detect_source(F.col("head")).alias("source")))
+# Pages with a source's words somewhere in the head, or just behind it, in four of five; the fifth is as it is.
+_HEAD = f"(SELECT page_id, substr(concat(substr(coalesce(html, ''), 1, cast(page_id % 5000 as int)), CASE page_id % 5 WHEN 0 THEN ' Revolut ' WHEN 1 THEN ' money in/out, balance, intesa sanpaolo ' WHEN 2 THEN ' Trade Republic, intesa sanpaolo ' WHEN 3 THEN ' asset_class;transaction_id ' ELSE '' END, substr(coalesce(html, ''), cast(page_id % 5000 as int) + 1)), 1, {HEAD}) AS head FROM {{pages}})"
+_SCORES = ", ".join(f"CASE {' '.join(f'WHEN {g} THEN {n}' for g, n in groups)} ELSE 0 END AS {s}" for s, groups in {
+    "r": [("contains(h, 'money in/out') AND contains(h, 'balance')", 2), ("contains(h, 'revolut') OR contains(h, 'current accounts summaries')", 1)],
+    "t": [("contains(h, 'asset_class') AND contains(h, 'transaction_id')", 2), ("contains(h, 'trade republic')", 1)], "i": [("contains(h, 'intesa sanpaolo') OR contains(h, 'conti e carte')", 1)],
+}.items())
+register("detect_source", "pages", f"SELECT page_id, CASE WHEN r > t AND r > i THEN 'revolut' WHEN t > r AND t > i THEN 'trade_republic' WHEN i > r AND i > t THEN 'intesa' END AS source FROM (SELECT page_id, {_SCORES} FROM (SELECT page_id, lower(head) AS h FROM {_HEAD.format(pages='pages')}))")(
+    lambda p: p.sparkSession.sql(f"SELECT * FROM {_HEAD}", pages=p).select("page_id", detect.detect_source(F.col("head")).alias("source"))
+)
 
 # ---------------------------------------------------------------- neighbours and training
 # Every vector whose id is divisible by 50 asks all vectors; for a prediction its own row doesn't count.
@@ -398,3 +405,4 @@ def _stream_feedback(conversations: DataFrame) -> DataFrame:
 
 statement_queries.register_all(register)
 admin_queries.register_all(register, _CATMONTH)
+SQL["ledger_fold"] = SQL["ledger_fold"].replace("WITH ", "WITH RECURSIVE ", 1)

@@ -28,8 +28,9 @@ def register_all(register) -> None:
     said = ["file", "value_date", "booking_date", "description", "amount"]
     register("statement_quarterly", "ledger", _rows(f"file, {_DATES}, {_MONEY}"))(lambda lg: layouts.quarterly(S.quarterly_pages(lg)).select(said))
     register("statement_listing", "ledger", _rows(f"file, value_date, value_date AS booking_date, description, {_MONEY}, native_category"))(lambda lg: layouts.listing(S.listing_pages(lg)).select(*said, "native_category"))
-    register("statement_dispatch", "ledger", _rows(f"CASE WHEN account = 'acct_1' THEN 'list' ELSE 'quarter' END AS file, value_date, CASE WHEN account = 'acct_1' THEN value_date ELSE booking_date END AS booking_date, description, {_MONEY}", "amount <> 0 AND account IN ('acct_1', 'acct_2')"))(
-        lambda lg: layouts.bank_statement(S.listing_pages(lg.where("account = 'acct_1'")).withColumn("file", F.lit("list")).unionByName(S.quarterly_pages(lg.where("account = 'acct_2'")).withColumn("file", F.lit("quarter")))).select(said)
+    listed = "CAST(substr(account, 6) AS INTEGER) % 2 = 1"
+    register("statement_dispatch", "ledger", _rows(f"file, value_date, CASE WHEN {listed} THEN value_date ELSE booking_date END AS booking_date, description, {_MONEY}"))(
+        lambda lg: layouts.bank_statement(S.listing_pages(lg.where(listed)).unionByName(S.quarterly_pages(lg.where(f"NOT ({listed})")))).select(said)
     )
     register("statement_broker", "ledger", _rows(f"file, value_date, value_date AS booking_date, description, {_MONEY}"))(lambda lg: layouts.broker_statement(S.broker_pages(lg)).select(said))
     register("broker_balances", "ledger", _LAST + " SELECT account AS file, value_date AS balance_date, CAST(arg_max(CASE WHEN n % 2 = 1 THEN -n ELSE n END, n) AS DECIMAL(14,2)) AS balance, 'value' AS basis FROM r GROUP BY 1, 2")(
