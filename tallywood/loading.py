@@ -30,7 +30,7 @@ TABLES = {
     "transactions": (schema.TRANSACTIONS, ["natural_key"]), "raw_files": (schema.RAW_FILES, ["sha256"]), "accounts": (schema.ACCOUNTS, ["account_id"]), "balances": (schema.BALANCES, ["account", "balance_date"]),
     "trades": (schema.TRADES, ["natural_key"]), "feedback": (schema.FEEDBACK, ["natural_key"]),
 }
-_MOVEMENT = ["file", "line_no", "account", "value_date", "booking_date", "description", "amount", "currency", "source", "native_category", "mcc"]
+_MOVEMENT = "file STRING, line_no BIGINT, account STRING, value_date DATE, booking_date DATE, description STRING, amount DECIMAL(18,4), currency STRING, source STRING, native_category STRING, mcc STRING"
 
 
 def table(spark: SparkSession, ledger: str, name: str) -> Table:
@@ -56,72 +56,82 @@ class Loaded:
 
 
 # -------------------------------------------------------------------- scans
+def present(files: DataFrame) -> set[tuple[str, str]]:
+    """The (source, kind) that there are, so that no others are looked for: adapters times kinds at most."""
+    return {(r.source, r.kind) for r in files.where("source IS NOT NULL").select("source", "kind").distinct().collect()}
+
+
 def _of(rows: DataFrame, files: DataFrame, source: str, kind: str) -> DataFrame:
     """The records of one source and kind."""
     return rows.join(files.where((F.col("source") == source) & (F.col("kind") == kind)).select("file"), "file", "left_semi")
 
 
-def _union(parts: list[DataFrame], columns: list[str], kinds: dict[str, str] | None = None) -> DataFrame | None:
+def _union(spark: SparkSession, parts: list[DataFrame], ddl: str) -> DataFrame:
+    """The parts with the columns of a schema, null where a part has none."""
+    columns = [c.split(" ") for c in ddl.split(", ")]
     out = None
     for part in parts:
-        part = part.select(*[F.col(c) if c in part.columns else F.lit(None).cast((kinds or {}).get(c, "string")).alias(c) for c in columns])
+        part = part.select(*[(F.col(c) if c in part.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns])
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], ddl) if out is None else out
 
 
-def movements(rows: DataFrame, files: DataFrame) -> DataFrame:
+def movements(rows: DataFrame, files: DataFrame, there: set[tuple[str, str]]) -> DataFrame:
     """The movements of all files (file, source, kind), in the ledger's columns. Lines of pages are numbered through."""
     parts = []
     for source, a in adapters().items():
-        pages = layouts.PAGES.get(source, (a.parse,))[0] if source in layouts.PAGES or a.options.get("input") == "words" else None
-        if a.options.get("input") != "words":
+        of_words = a.options.get("input") == "words"
+        if (source, "lines") in there and not of_words:
             parts.append(a.parse(statement.lines(_of(rows, files, source, "lines"))))
-        if pages is not None:
-            found = pages(statement.words(_of(rows, files, source, "words")))
+        if (source, "words") in there and (of_words or source in layouts.PAGES):
+            found = layouts.PAGES.get(source, (a.parse,))[0](statement.words(_of(rows, files, source, "words")))
             parts.append(found.withColumn("line_no", F.col("page").cast("long") * 1_000_000 + F.col("line_no")))
-        if "cells" in a.options:
+        if (source, "cells") in there and "cells" in a.options:
             parts.append(a.options["cells"](statement.cells(_of(rows, files, source, "cells"))))
-    return _union([p.withColumn("line_no", F.col("line_no").cast("long")) for p in parts], _MOVEMENT)
+    return _union(rows.sparkSession, parts, _MOVEMENT)
 
 
-def accounts(rows: DataFrame, files: DataFrame, banks: DataFrame | None) -> DataFrame:
+def accounts(rows: DataFrame, files: DataFrame, there: set[tuple[str, str]], banks: DataFrame | None) -> DataFrame:
     """One row per account that the files describe; a bank that isn't named is that of the IBAN."""
     parts = []
     for source, a in adapters().items():
-        if a.accounts is not None:
-            read = statement.words(_of(rows, files, source, "words")) if a.options.get("input") == "words" else statement.lines(_of(rows, files, source, "lines"))
-            parts.append(a.accounts(read))
-    columns = [c for c in names("accounts") if c != "display_name_override"]
-    found = _union(parts, columns).groupBy("account_id").agg(*[F.max(c).alias(c) for c in columns if c != "account_id"])
+        kind = "words" if a.options.get("input") == "words" else "lines"
+        if a.accounts is not None and (source, kind) in there:
+            parts.append(a.accounts(getattr(statement, kind)(_of(rows, files, source, kind))))
+    found = _union(rows.sparkSession, parts, schema.ACCOUNTS)
+    columns = [c for c in names("accounts") if c != "account_id"]
+    found = found.groupBy("account_id").agg(*[F.max(c).alias(c) for c in columns])
     if banks is not None:
         known = banks.select(F.lpad("abi", 5, "0").alias("_abi"), F.col("bank_name").alias("_bank"))
         found = found.withColumn("_abi", abi(F.col("iban"))).join(known, "_abi", "left").withColumn("bank_name", F.coalesce("bank_name", "_bank"))
-    return found.select(*columns, F.lit(None).cast("string").alias("display_name_override"))
+    return found.select("account_id", *columns)
 
 
-def balances(rows: DataFrame, files: DataFrame) -> DataFrame:
+def balances(rows: DataFrame, files: DataFrame, there: set[tuple[str, str]]) -> DataFrame:
     """One row per account and day with a declared balance; of several files the last by name counts."""
     parts = []
     for source, a in adapters().items():
-        if a.balances is not None and a.options.get("input") != "words":
+        if a.balances is not None and a.options.get("input") != "words" and (source, "lines") in there:
             parts.append(a.balances(statement.lines(_of(rows, files, source, "lines"))))
-        if source in layouts.PAGES:
+        if source in layouts.PAGES and (source, "words") in there:
             parts.append(layouts.PAGES[source][1](statement.words(_of(rows, files, source, "words"))))
-    found = _union(parts, ["file", *names("balances")])
+    found = _union(rows.sparkSession, parts, "file STRING, " + schema.BALANCES)
     return found.groupBy("account", "balance_date").agg(F.max_by(F.struct("balance", "currency", "source", "basis"), F.struct(F.coalesce("file", F.lit("")), "balance")).alias("x")).select("account", "balance_date", "x.*")
 
 
-def trades(rows: DataFrame, files: DataFrame, keyed: DataFrame) -> DataFrame:
+def trades(rows: DataFrame, files: DataFrame, there: set[tuple[str, str]], keyed: DataFrame) -> DataFrame:
     """One row per movement that has an instrument side."""
-    parts = [a.trades(statement.lines(_of(rows, files, source, "lines"))) for source, a in adapters().items() if a.trades is not None]
-    found = _union(parts, ["file", "line_no", *[c for c in names("trades") if c != "natural_key"]])
-    with_key = found.join(keyed.select("file", "line_no", "natural_key"), ["file", "line_no"])
+    parts = [a.trades(statement.lines(_of(rows, files, source, "lines"))) for source, a in adapters().items() if a.trades is not None and (source, "lines") in there]
     own = [c for c in names("trades") if c != "natural_key"]
+    found = _union(rows.sparkSession, parts, "file STRING, line_no BIGINT, " + schema.TRADES.partition(", ")[2])
+    with_key = found.join(keyed.select("file", "line_no", "natural_key"), ["file", "line_no"])
     return with_key.groupBy("natural_key").agg(F.max_by(F.struct(*own), F.struct("file", "line_no")).alias("x")).select("natural_key", "x.*")
 
 
-def holders(rows: DataFrame, files: DataFrame) -> DataFrame:
+def holders(rows: DataFrame, files: DataFrame, there: set[tuple[str, str]]) -> DataFrame:
     """(file, holder) of the files with pages."""
+    if not any(kind == "words" for _, kind in there):
+        return rows.sparkSession.createDataFrame([], "file string, holder string")
     pages = rows.join(files.where("kind = 'words'").select("file"), "file", "left_semi")
     return addressee(statement.words(pages)).withColumn("holder", format_holder(F.col("holder")))
 
@@ -160,7 +170,8 @@ def load(spark: SparkSession, ledger: str, rows: DataFrame, source: str | None =
     # A file that wasn't read has no content to know it by, so its name and size stand for it.
     found = statement.files(rows).withColumn("sha256", F.coalesce("sha256", F.sha2(F.concat_ws("|", "file", F.col("size").cast("string")), 256)))
     files = saved(identified(merge.register_files(known.read(), found, force), source, banks), "files")
-    keyed = merge.keyed(movements(rows, files)).withColumn("seq", F.row_number().over(W.partitionBy("natural_key").orderBy("file", "line_no")).cast("long"))
+    there = present(files)
+    keyed = merge.keyed(movements(rows, files, there)).withColumn("seq", F.row_number().over(W.partitionBy("natural_key").orderBy("file", "line_no")).cast("long"))
     keyed = saved(categorised(keyed, vocabulary).withColumn("file_id", F.xxhash64("file")), "movements")
 
     counts = {}
@@ -176,12 +187,12 @@ def load(spark: SparkSession, ledger: str, rows: DataFrame, source: str | None =
     before = old.version()
     old.change(keyed, fold, "load")
     replaced = lambda key: lambda have, batch: merge.replace_upsert(have, batch.withColumn("seq", F.lit(1)), key)
-    table(spark, ledger, "trades").change(trades(rows, files, keyed), replaced(["natural_key"]), "load")
-    table(spark, ledger, "accounts").change(accounts(rows, files, banks), lambda have, batch: merge.coalesce_upsert(have, batch, ["account_id"]), "load")
-    table(spark, ledger, "balances").change(balances(rows, files), replaced(["account", "balance_date"]), "load")
+    table(spark, ledger, "trades").change(saved(trades(rows, files, there, keyed), "trades"), replaced(["natural_key"]), "load")
+    table(spark, ledger, "accounts").change(saved(accounts(rows, files, there, banks), "accounts"), lambda have, batch: merge.coalesce_upsert(have, batch, ["account_id"]), "load")
+    table(spark, ledger, "balances").change(saved(balances(rows, files, there), "balances"), replaced(["account", "balance_date"]), "load")
     if link:
         relink(spark, ledger)
-    outcome = saved(_outcome(files, keyed, holders(rows, files), old.read(before.number).select("natural_key")), "outcome")
+    outcome = saved(_outcome(files, keyed, holders(rows, files, there), old.read(before.number).select("natural_key")), "outcome")
     known.change(outcome, _record, "load")
     status = {r.status: r.n for r in outcome.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     return Loaded(counts.get("new", 0), counts.get("enriched", 0), status.get("parsed", 0), status.get("failed", 0))
