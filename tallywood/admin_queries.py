@@ -121,6 +121,8 @@ def register_all(register, months: str) -> None:
 
     register("stream_settlement", "events", "SELECT CASE WHEN event_id % 50 = 3 THEN 'malformed' WHEN event_id % 3 = 0 THEN 'gave up' ELSE 'handled' END AS kind, CASE WHEN event_id % 50 = 3 THEN 0 WHEN event_id % 3 = 0 THEN 5 ELSE 1 END AS attempts, count(*) AS messages, count(DISTINCT event_id) AS events, count(DISTINCT CASE WHEN event_id % 50 <> 3 AND event_id % 3 <> 0 THEN event_type END) AS results FROM events GROUP BY 1, 2")(_by_message)
 
+    register("stream_once", "events", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")(_once)
+
 
 def _outcomes(files: DataFrame) -> DataFrame:
     names = F.when(F.col("id") % 5 == 1, F.array(F.lit("bank_b"), F.lit("bank_a"))).when(F.col("id") % 5 < 1, F.array("source")).when(F.col("id") % 5 == 4, F.array("source")).otherwise(F.array().cast("array<string>"))
@@ -234,3 +236,15 @@ def _versioned(ledger: DataFrame) -> DataFrame:
         one = t.read(number).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(38,2)").alias("total")).select(F.lit(number).alias("version"), "n", "total")
         said = one if said is None else said.unionByName(one)
     return said
+
+
+def _once(events: DataFrame) -> DataFrame:
+    """Events in two runs of a stream from one checkpoint: the earlier half, then all of them. Each is delivered once; the keys that are remembered are those within the watermark."""
+    spark, at = events.sparkSession, place(events.sparkSession, "once")
+    rows = events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    middle = rows.agg(F.expr("percentile_approx(ts, 0.5)").alias("m")).first().m
+    for name, part in (("first", rows.where(F.col("ts") <= F.lit(middle))), ("second", rows)):
+        part.coalesce(1).write.parquet(f"{at}/in/{name}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        queues.deduplicated(stream, "event_id", "ts", queues.LATE).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

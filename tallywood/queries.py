@@ -11,6 +11,7 @@ from . import admin_queries, statement_queries
 from .functions import money as M
 from .functions import text as X
 from .operators import categorize as C
+from .operators import text_model as T
 from .operators import coverage, detect, merge, periods, query, recurrence, transfers, views
 from .plans import adapters as A
 from .shared import place
@@ -331,6 +332,45 @@ register("macro_f1", "vectors", f", p AS (SELECT * FROM {_PRED}), l AS (SELECT a
     lambda v: C.macro_f1(C.vote(_knn(v)).join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("actual")), "query_id").select("actual", F.col("label").alias("predicted"))).withColumns({"accuracy": F.round("accuracy", 9), "macro_f1": F.round("macro_f1", 9)})
 )
 
+# Descriptions as hashed n-grams, and the noun of a description learned from them.
+_NORM = r"trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g'))"
+_TEXTS = f"t AS (SELECT text, max(category) AS category FROM (SELECT {_NORM} AS text, split_part(description, ' ', 2) AS category FROM ledger) GROUP BY 1)"
+_HASH = "CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 256"
+_GRAMS = "SELECT text, {0} AS b FROM (SELECT text, unnest(list_transform(range(1, length(text) + 1), lambda i: substr(' ' || text || ' ', i, 3))) AS g FROM {1} WHERE text <> '')".replace("{0}", _HASH)
+
+
+def _features_sql(fitted: str, texts: str) -> str:
+    """(text, b, w): the features of ``texts`` with the weights of ``fitted``."""
+    return f"""SELECT text, b, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY text)) AS w FROM (SELECT text, g.b, count(*) AS tf, any_value(coalesce(idf, (SELECT ln(1 + count(*)) + 1 FROM {fitted}))) AS idf
+      FROM ({_GRAMS.format('', texts)}) g LEFT JOIN (SELECT b, ln((1 + (SELECT count(*) FROM {fitted})) / (1 + count(DISTINCT text))) + 1 AS idf FROM ({_GRAMS.format('', fitted)}) GROUP BY 1) i ON i.b = g.b GROUP BY 1, 2)"""
+
+
+def _described(ledger: DataFrame) -> DataFrame:
+    """(text, category): the normalised descriptions, each with the second word as its category."""
+    return ledger.select(X.normalize_desc(F.col("description")).alias("text"), F.split_part("description", F.lit(" "), F.lit(2)).alias("category")).groupBy("text").agg(F.max("category").alias("category"))
+
+
+@register("text_features", "ledger", f", {_TEXTS} SELECT text, CAST(b AS INTEGER) AS bucket, round(w, 6) AS weight FROM ({_features_sql('t', 't')})")
+def _features(ledger: DataFrame) -> DataFrame:
+    rows = _described(ledger)
+    made = T.fit(rows).vectors(rows)
+    return made.select("text", F.posexplode("vector").alias("bucket", "weight")).where("weight > 0").withColumn("weight", F.round("weight", 6))
+
+
+@register("text_champion", "ledger", f""", {_TEXTS}, h AS (SELECT text, category, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || text), text) <= round(count(*) OVER (PARTITION BY category) * 0.2) AS held FROM t), a AS (SELECT * FROM h WHERE NOT held), q AS (SELECT * FROM h WHERE held),
+  v AS (SELECT x.text AS asked, y.text, sum(x.w * y.w) AS sim FROM ({_features_sql('a', 'q')}) x JOIN ({_features_sql('a', 'a')}) y ON x.b = y.b GROUP BY 1, 2),
+  n AS (SELECT * FROM (SELECT asked, category AS label, sim, row_number() OVER (PARTITION BY asked ORDER BY round(sim, 12) DESC, CAST('0x' || substr(md5(v.text), 1, 15) AS BIGINT)) AS rank FROM v JOIN a ON a.text = v.text) WHERE rank <= 5),
+  p AS (SELECT category AS actual, predicted FROM q JOIN (SELECT asked, arg_max(label, {{'s': round(score, 12), 'f': -f}}) AS predicted FROM (SELECT asked, label, sum(sim) AS score, min(rank) AS f FROM n GROUP BY 1, 2) GROUP BY 1) ON asked = text),
+  l AS (SELECT actual AS label FROM p UNION SELECT predicted FROM p), f AS (SELECT label, (SELECT count(*) FROM p WHERE actual = label AND predicted = label) AS tp, (SELECT count(*) FROM p WHERE actual = label) AS a, (SELECT count(*) FROM p WHERE predicted = label) AS q FROM l)
+  SELECT round(avg(2 * tp / (a + q)), 9) AS macro_f1, round(avg(2 * tp / (a + q)), 9) AS champion_f1, true AS promoted FROM f""")
+def _champion(ledger: DataFrame) -> DataFrame:
+    """A model fitted anew against the one before, on the same held-out rows: they tie, so the new one takes over."""
+    rows = C.split(_described(ledger))
+    taught, held = rows.where("NOT holdout").select("text", "category"), rows.where("holdout").select("text", "category")
+    champion, challenger = T.fit(taught), T.fit(taught)
+    stays, new, old = T.challenge(challenger, champion, held)
+    return ledger.sparkSession.createDataFrame([(round(new, 9), round(old, 9), stays is challenger)], "macro_f1 double, champion_f1 double, promoted boolean")
+
 
 @register("training_set", "ledger labels")
 def _training(ledger: DataFrame, labels: DataFrame) -> DataFrame:

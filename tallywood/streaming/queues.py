@@ -22,6 +22,8 @@ SUBJECTS = {
     "category.recategorize": "requested_at STRING",
 }
 MAX_DELIVER = 5
+#: How late a message may be: for so long keys are remembered.
+LATE = "1 day"
 
 
 def messages(spark: SparkSession, folder: str, subject: str) -> DataFrame:
@@ -94,7 +96,7 @@ def appended(folder: str, handle: Callable[[DataFrame], DataFrame]) -> Callable[
     return lambda batch, batch_id: handle(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
-def deduplicated(stream: DataFrame, key: str = "natural_key", time: str | None = None, late: str = "1 day") -> DataFrame:
+def deduplicated(stream: DataFrame, key: str = "natural_key", time: str | None = None, late: str = LATE) -> DataFrame:
     """A stream with each key once; with a time column, state is kept no longer than ``late``."""
     return stream.dropDuplicates([key]) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 

@@ -109,3 +109,25 @@ def test_drain_says_what_waits(spark, tmp_path):
     with pytest.raises(TimeoutError):
         settlement.drain(query, 8)
     assert not query.isActive
+
+
+def test_once_over_runs_with_bounded_state(spark, tmp_path):
+    """What comes again, in another run or late, isn't delivered again; keys are forgotten when they can't come any more."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.timestamp_seconds(F.col("id") * 60 + 1_000_000).alias("ts"))
+
+    def run(name, part):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        query = queues.deduplicated(stream, "k", "ts", "1 hour").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+        last = [p for p in query.recentProgress if p.stateOperators][-1]
+        return sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()), last.stateOperators[0].numRowsTotal
+
+    assert run("a", rows.where("k < 600"))[0] == list(range(600))
+    # All of the first run again, some of them within the watermark and some long after it, and new ones.
+    got, state = run("b", rows.where("k < 900").unionByName(rows.where("k BETWEEN 580 AND 620")))
+    assert got == list(range(900)) and state <= 130
+    got, state = run("c", rows.where("k >= 890"))
+    assert got == list(range(1000)) and state <= 130
