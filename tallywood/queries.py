@@ -12,7 +12,7 @@ from .functions import money as M
 from .functions import text as X
 from .operators import categorize as C
 from .operators import text_model as T
-from .operators import coverage, detect, merge, periods, query, recurrence, transfers, views
+from .operators import coverage, detect, merge, pages, periods, query, recurrence, transfers, views
 from .plans import adapters as A
 from .shared import place
 from .sources.lines import HEAD
@@ -75,6 +75,15 @@ register("merchants_count", "ledger", f"SELECT count(*) AS n FROM ({_MERCHANTS})
 
 _PAGE = ["natural_key", "value_date", "amount", "category_confidence"]
 register("transactions_page", "ledger", f"SELECT {', '.join(_PAGE)} FROM ledger ORDER BY value_date DESC, natural_key DESC LIMIT 100 OFFSET 50")(lambda ledger: query.transactions(ledger, offset=50).select(_PAGE))
+
+
+@register("page_deep", "ledger", f"SELECT {', '.join(_PAGE)} FROM (SELECT *, row_number() OVER (ORDER BY value_date DESC, natural_key DESC) AS r, count(*) OVER () AS n FROM ledger) WHERE r > n // 2 AND r <= n // 2 + 100")
+def _deep(ledger: DataFrame) -> DataFrame:
+    """The hundred movements in the middle of the list, by their place in a table that is written in order."""
+    t = pages.SortedPages(ledger.sparkSession, place(ledger.sparkSession, "pages"), [("value_date", True, False), ("natural_key", True, False)]).write(ledger.select(_PAGE), 32)
+    return t.page(ledger.count() // 2, 100)
+
+
 register("page_by_abs_amount", "ledger", f"SELECT {', '.join(_PAGE)} FROM ledger WHERE amount > 0 ORDER BY abs(amount), natural_key DESC LIMIT 100")(lambda ledger: query.transactions(ledger, "abs_amount", "asc", sign="income").select(_PAGE))
 register("page_confidence_nulls", "ledger", f"SELECT {', '.join(_PAGE)} FROM ledger ORDER BY category_confidence DESC NULLS FIRST, natural_key DESC LIMIT 200")(lambda ledger: query.transactions(ledger, "confidence", limit=200).select(_PAGE))
 register("text_search_ilike", "ledger", "SELECT natural_key, description FROM ledger WHERE description ILIKE '%SMALL%SUPPLIER%1_%'")(lambda ledger: ledger.where(query.Filters(q="SMALL%SUPPLIER%1_").column()).select("natural_key", "description"))
