@@ -119,20 +119,32 @@ def sweep(rows: list[tuple[str, str, int, bool, bool]], window_days: int, requir
             outs.append((key, account, day, hint))
         else:
             cells.setdefault((day, hint), _Cell()).add(key, account)
-    pairs = []
+    pairs, days = [], {day for day, _ in cells}
     for gap in range(window_days + 1):
         rest = []
         for leg in outs:
             key, account, day, hint = leg
-            allowed = (True, False) if hint or gap == 0 or not require_hint else (True,)
-            found = [(first, cell) for at in {day - gap, day + gap} for h in allowed if (cell := cells.get((at, h))) and (first := cell.first(account))]
-            if found:
-                first, cell = min(found, key=lambda f: f[0])
-                cell.take(first)
-                pairs.append((key, first[0], gap))
-            else:
+            best = at_best = None
+            for at in (day - gap, day + gap) if gap else (day,):
+                if at not in days:
+                    continue
+                for h in (True, False) if hint or gap == 0 or not require_hint else (True,):
+                    cell = cells.get((at, h))
+                    first = cell.first(account) if cell else None
+                    if first and (best is None or first < best):
+                        best, at_best = first, (at, h)
+            if best is None:
                 rest.append(leg)
+                continue
+            cells[at_best].take(best)
+            pairs.append((key, best[0], gap))
+            if not cells[at_best].heads:
+                del cells[at_best]
+                if (at_best[0], not at_best[1]) not in cells:
+                    days.discard(at_best[0])
         outs = rest
+        if not cells:
+            break
     return pairs
 
 

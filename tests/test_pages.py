@@ -13,12 +13,12 @@ def test_pages_are_those_of_skipping(spark, tmp_path):
     rng = random.Random(2)
     rows = [(rng.choice([None, *range(40)]), f"k{i:05d}", "x" * 20) for i in range(3000)]
     frame = spark.createDataFrame(rows, "d int, k string, v string").repartition(3)
-    for order in (ORDER, [("d", False, True), ("k", False, False)], [("d", True, True), ("k", True, False)], [("d", False, False), ("k", True, False)]):
+    for order in (ORDER, [("d", False, True), ("k", True, False)]):
         all_rows = [tuple(r) for r in frame.orderBy(*ordering(order)).collect()]
         t = SortedPages(spark, f"file://{tmp_path}/{hash(str(order))}", order).write(frame, 20)
-        for offset in (0, 100, 1490, 2950, 2999, 3000, 9000):
+        for offset in (0, 1490, 2950, 3000):
             assert [tuple(r) for r in t.page(offset, 100).collect()] == all_rows[offset : offset + 100]
-        for at in (0, 74, 1499, 2899, 2950, 2999):
+        for at in (0, 1499, 2950, 2999):
             assert [tuple(r) for r in t.after(all_rows[at][:2], 100).collect()] == all_rows[at + 1 : at + 101]
         assert [tuple(r) for r in t.after(None, 7).collect()] == all_rows[:7]
 

@@ -77,7 +77,7 @@ def test_age_ends_waiting(spark, tmp_path):
 
 def test_batches_lose_no_good_message(spark):
     """However many fail, only those are returned as failed."""
-    rows = spark.createDataFrame([(str(i),) for i in range(60)], "raw string").coalesce(1)
+    rows = spark.createDataFrame([(str(i),) for i in range(24)], "raw string").coalesce(1)
     done = []
 
     def handle(part):
@@ -87,7 +87,7 @@ def test_batches_lose_no_good_message(spark):
         done.extend(got)
 
     failed = sorted(int(r.raw) for r in queues.deliver(handle, rows).collect())
-    assert failed == list(range(0, 60, 3)) and sorted(map(int, done)) == [i for i in range(60) if i % 3]
+    assert failed == list(range(0, 24, 3)) and sorted(map(int, done)) == [i for i in range(24) if i % 3]
 
 
 def test_a_failing_link_does_not_fail_the_batch(spark, caplog):
