@@ -12,7 +12,7 @@ from .functions import money as M
 from .functions import text as X
 from .operators import categorize as C
 from .operators import text_model as T
-from .operators import coverage, detect, merge, pages, periods, query, recurrence, transfers, views
+from .operators import coverage, detect, merge, pages, periods, query, recurrence, search, transfers, views
 from .plans import adapters as A
 from .shared import place
 from .sources.lines import HEAD
@@ -87,6 +87,16 @@ def _deep(ledger: DataFrame) -> DataFrame:
 register("page_by_abs_amount", "ledger", f"SELECT {', '.join(_PAGE)} FROM ledger WHERE amount > 0 ORDER BY abs(amount), natural_key DESC LIMIT 100")(lambda ledger: query.transactions(ledger, "abs_amount", "asc", sign="income").select(_PAGE))
 register("page_confidence_nulls", "ledger", f"SELECT {', '.join(_PAGE)} FROM ledger ORDER BY category_confidence DESC NULLS FIRST, natural_key DESC LIMIT 200")(lambda ledger: query.transactions(ledger, "confidence", limit=200).select(_PAGE))
 register("text_search_ilike", "ledger", "SELECT natural_key, description FROM ledger WHERE description ILIKE '%SMALL%SUPPLIER%1_%'")(lambda ledger: ledger.where(query.Filters(q="SMALL%SUPPLIER%1_").column()).select("natural_key", "description"))
+
+
+@register("text_search_index", "ledger", "SELECT 'rod' AS q, natural_key, description FROM ledger WHERE description ILIKE '%OLD rod%00_1%' UNION ALL SELECT '77', natural_key, description FROM ledger WHERE description ILIKE '%#%77%'")
+def _searched(ledger: DataFrame) -> DataFrame:
+    """Two searches in an index of the whole ledger: one with trigrams, one whose pattern has none."""
+    t = search.TextIndex(ledger.sparkSession, place(ledger.sparkSession, "search")).add(ledger.select("natural_key", "description"), 32)
+    one, two = (t.search(q).select(F.lit(name).alias("q"), "natural_key", "description") for name, q in (("rod", "OLD rod%00_1"), ("77", "#%77")))
+    return one.unionByName(two)
+
+
 register("merchant_filter", "ledger", "SELECT natural_key, merchant FROM ledger WHERE lower(merchant) = 'supplier#000000001' AND category_confidence >= 0.2 AND category_source = 'model'")(
     lambda ledger: ledger.where(query.Filters(merchant="SUPPLIER#000000001", min_confidence=0.2, category_source="model").column()).select("natural_key", "merchant")
 )
