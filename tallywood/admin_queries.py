@@ -48,6 +48,9 @@ def register_all(register, months: str) -> None:
     )
     register("object_store", "nation", "SELECT n_name || '.csv' AS key, CAST(octet_length(encode(n_name)) AS BIGINT) AS size, sha256(n_name) AS sha256 FROM nation")(_stored)
 
+    register("object_fetch", "supplier", """WITH o AS (SELECT 'of/' || s_nationkey || '/' || s_name || '.txt' AS key, s_name, s_name || chr(10) || s_suppkey AS content FROM supplier)
+      SELECT key, CAST(octet_length(encode(content)) AS BIGINT) AS size, sha256(content) AS sha256 FROM o UNION ALL SELECT 'none/' || s_name, NULL, NULL FROM o""")(_fetched)
+
     # ------------------------------------------------------------- upserts
     register("ledger_fold", "ledger", _LEDGER_FOLD)(_folded)
     register("trade_upsert", "trades", "SELECT natural_key, any_value(side) AS side, CAST(max(unit_price) + 1 AS DECIMAL(18,2)) AS unit_price FROM trades GROUP BY natural_key")(
@@ -132,16 +135,24 @@ def _outcomes(files: DataFrame) -> DataFrame:
 
 
 def _stored(nation: DataFrame) -> DataFrame:
-    """25 objects written one by one, an extra folder cleared, and what is listed then."""
+    """An object for each row, written by the tasks; the same in an extra folder, which is cleared; and what is listed then."""
     spark, at = nation.sparkSession, place(nation.sparkSession, "objects")
-    for (name,) in nation.select("n_name").collect():  # 25 rows
-        store.put(spark, at, f"{name}.csv", name.encode())
-        store.put(spark, f"{at}-gone", f"{name}.csv", name.encode())
-    if store.clear(spark, f"{at}-gone") != 25 or store.listing(spark, f"{at}-gone").count():
+    objects = nation.select(F.concat("n_name", F.lit(".csv")).alias("key"), F.col("n_name").alias("content"))
+    written = [store.put_all(objects, to).count() for to in (at, f"{at}-gone")]
+    if store.clear(spark, f"{at}-gone") != written[1] or store.listing(spark, f"{at}-gone").count():
         raise AssertionError("clear")
     return store.listing(spark, at)
 
 
+def _fetched(supplier: DataFrame) -> DataFrame:
+    """Objects in folders, asked for together with keys that aren't there."""
+    spark, at = supplier.sparkSession, place(supplier.sparkSession, "objects")
+    key = F.concat(F.lit("of/"), "s_nationkey", F.lit("/"), "s_name", F.lit(".txt"))
+    store.put_all(supplier.select(key.alias("key"), F.concat_ws("\n", "s_name", F.col("s_suppkey").cast("string")).alias("content")), at).write.format("noop").mode("overwrite").save()
+    asked = supplier.select(F.explode(F.array(key, F.concat(F.lit("none/"), "s_name"))).alias("key"))
+    return store.fetch_all(asked, at).select("key", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def _folded(ledger: DataFrame) -> DataFrame:
     h = ledger.sparkSession.sql(f"SELECT * FROM {_HISTORY}", ledger=ledger)
     known = (F.col("seq") == 0) & ~F.col("new")

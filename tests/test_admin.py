@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -49,6 +50,21 @@ def test_store(spark, tmp_path):
     assert store.clear(spark, at) == 2 and store.listing(spark, at).count() == 0
 
 
+def test_many_objects(spark, tmp_path):
+    at = f"file://{tmp_path}/many objects"
+    assert store.keys(spark, at).collect() == [] and [tuple(r) for r in store.fetch_all(spark.createDataFrame([("a",)], "key string"), at).collect()] == [("a", None)]
+    rows = [("a b/c%20d/\u00e9+x.csv", b"one"), ("a b/n", None), ("x", b"\x00\xff"), (None, b"lost"), ("twice", b"a"), ("twice", b"b"), ("empty", b"")] + [(f"n/{i % 7}/{i}", b"%d" % i * 999) for i in range(60)]
+    want = {k: c or b"" for k, c in rows if k}
+    frame = spark.createDataFrame(rows, "key string, content binary").repartition(5)
+    for _ in range(2):  # a second time over what is there
+        assert {r.key: (r.size, r.sha256) for r in store.put_all(frame, at).collect()} == {k: (len(c), hashlib.sha256(c).hexdigest()) for k, c in want.items()}
+    assert sorted(r.key for r in store.keys(spark, at).collect()) == sorted(want)
+    got = store.fetch_all(spark.createDataFrame([(k,) for k in [*want, "none", None]], "key string"), at).collect()
+    assert len(got) == len(want) + 2 and all((bytes(r.content) if r.content is not None else None) == want.get(r.key) for r in got)
+    assert store.fetch(spark, at, "a b/c%20d/\u00e9+x.csv") == b"one" and store.clear(spark, at) == len(want)
+    assert store.put_all(frame.limit(0), at).count() == 0
+
+
 def test_settlement(spark, tmp_path):
     """A bad message doesn't hold up the others, is tried five times, then set aside and told."""
     batch = spark.createDataFrame([(f"m{i}", False) for i in range(9)] + [("m1", False), ("?", True)], "raw string, malformed boolean")
