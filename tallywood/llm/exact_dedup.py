@@ -3,11 +3,12 @@
 A key is the 64-bit hash of the text. The directory names a bucket for every
 prefix of the key. It starts with one bucket; a bucket with more distinct keys
 than ``capacity`` is split by one more bit, and the directory doubles when the
-split bucket was as deep as the directory. Rows arrive pre-aggregated; the
-directory sends them to the owner of their bucket, which inserts them: an entry
-that is there already takes them in, another text goes to the end of its key's
-chain. The answer for a document is read from its bucket, along the chain of its
-key. Directory and buckets are Parquet tables in the shared folder.
+split bucket was as deep as the directory. Texts arrive pre-aggregated; the
+directory sends them to the owner of their bucket, which compares them byte by
+byte: an entry of the same bytes takes an arrival in, another text goes into its
+key's chain. The answer for a document is read from its bucket. A key with one
+entry can have no other text, as all were inserted; along a chain, bytes are
+compared again. Directory and buckets are Parquet tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -92,17 +93,17 @@ def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
 
 
 def _inserted(arrivals: DataFrame, parts: int, least) -> DataFrame:
-    """The buckets' entries (bucket, depth, key, chain, digest, length, keep_id, group_size): what owners make of the arrivals.
+    """The buckets' entries (bucket, depth, key, chain, chained, text, digest, length, keep_id, group_size): what owners make of the arrivals.
 
-    An owner has a range of buckets. Under a key, entries are told apart by
-    length and SHA-256, as their bytes were compared where rows met; a key's
-    chain goes by digest.
+    A bucket is a range of keys and has one owner. Under a key, entries are told
+    apart by their bytes; those of a chain keep their text for the look-up.
     """
-    owned = arrivals.repartitionByRange(parts, "bucket")
-    entries = owned.groupBy("bucket", "depth", "key", "length", "digest").agg(least("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    chain = W.partitionBy("bucket", "key").orderBy("digest", "length")
-    twin = F.lag("digest").over(chain).eqNullSafe(F.col("digest"))
-    return entries.withColumn("chain", F.when(twin, F.raise_error(F.lit("two texts with one SHA-256"))).otherwise(F.row_number().over(chain)))
+    owned = arrivals.repartition(parts, "bucket")
+    entries = owned.groupBy("bucket", "depth", "key", "text").agg(least("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    entries = entries.withColumns({"digest": _digest(F.col("text")), "length": F.octet_length("text")})
+    same = W.partitionBy("bucket", "key")
+    entries = entries.withColumns({"chain": F.row_number().over(same.orderBy("digest", "text")), "chained": F.count(F.lit(1)).over(same) > 1})
+    return entries.withColumn("text", F.when(F.col("chained"), F.col("text")))
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 4096, keep: str = "max", bits: int = 64) -> HashIndex:
@@ -113,11 +114,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     least = F.min if keep == "min" else F.max
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", _key(F.col("text"), bits)).withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
-    # Rows meet before the shuffle, byte by byte: a task sends one for each text and turn it has seen.
-    arrivals = rows.groupBy("key", "text", "turn").agg(least("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    arrivals = saved(arrivals.select("key", F.octet_length("text").alias("length"), _digest(F.col("text")).alias("digest"), "keep_id", "n"), "arrivals")
-    cells, depth = directory(arrivals.select("key").distinct(), capacity)
-    entries = _inserted(_route(arrivals, cells, depth), partitions(arrivals), least)
+    cells, depth = directory(saved(rows.select("key").distinct(), "keys"), capacity)
+    # Rows meet before the shuffle: a task sends one for each text and turn it has seen.
+    arrivals = rows.groupBy("key", "text", "turn").agg(least("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).drop("turn")
+    entries = _inserted(_route(arrivals, cells, depth), partitions(docs), least)
     return HashIndex(cells, depth, saved(entries, "buckets"))
 
 
@@ -131,15 +131,23 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     Of equal texts the row with the largest (``keep="min"``: smallest) doc_id
     stays; a null text is the empty text. Of repeated rows that tie in doc_id all
     are kept, as they are one document. Rows with a null doc_id take part in
-    their group and stay only if the group has no id at all. Very long texts go
-    through one shuffle as they are, and as digests after that. Other columns,
+    their group and stay only if the group has no id at all. Distinct texts go
+    through two shuffles as they are, very long ones too. Other columns,
     whatever their names, are ignored. An empty table gives an empty result.
 
     A third of all rows may hold one text: its owner gets ARRIVALS rows for it at
-    most, and in the look-up the join's large side is split between tasks.
+    most, and in the look-up the join's large side is split between tasks. Only
+    documents under a key with a chain are looked up by their text.
     """
     index = build_index(docs, key, text, capacity, keep, bits)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), _key(body, bits).alias("key"), _digest(body).alias("digest"))
-    found = index.route(rows).join(index.entries.drop("depth", "length"), ["bucket", "key", "digest"])
-    return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("digest").alias("text_sha256"), "bucket", "depth", "chain")
+    rows = docs.select(F.col(key).alias("doc_id"), _key(body, bits).alias("key"))
+    cols = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("digest").alias("text_sha256"), "bucket", "depth", "chain"]
+    alone, chains = index.entries.where("NOT chained").drop("depth", "length", "text"), index.entries.where("chained").drop("depth", "length")
+    found = index.route(rows).join(alone, ["bucket", "key"]).select(cols)
+    collided = chains.select("key").distinct()
+    if n := collided.count():
+        texts = docs.select(F.col(key).alias("doc_id"), _key(body, bits).alias("key"), body.alias("text"))
+        texts = texts.join(F.broadcast(collided) if n <= SENT else collided, "key", "left_semi")
+        found = found.unionByName(index.route(texts).join(chains, ["bucket", "key", "text"]).select(cols))
+    return found
