@@ -28,10 +28,11 @@ from ._common import saved
 
 # Element names of the HTML standard by how they are laid out or closed, and names sites use for what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object canvas select annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CHROME = frozenset("nav header footer aside form menu button dialog fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: A class or id with one of these words isn't the article's.
 ABOUT = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr "
@@ -67,10 +68,12 @@ class Node:
         self.area, self.important = 0, True
 
 
-def _named(value: str) -> bool:
-    """Whether one of the names in a class or id says that it isn't the article's."""
+def _named(value: str, anchor: bool = False) -> bool:
+    """Whether one of the names in a class or id says that it isn't the article's. An anchor, the id of a heading or paragraph, is made of its text: it counts if all of it does."""
     for name in value.split():
         words = set(_NAME.findall(name))
+        if anchor and not words <= ABOUT | NAMES | PLACES:
+            continue
         if not ABOUT.isdisjoint(words) or (not NAMES.isdisjoint(words) and words <= NAMES | PLACES):
             return True
     return False
@@ -85,7 +88,7 @@ def _label(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
             k, v = k.lower(), v.strip("\"'").lower()
             if k == "class" or k == "id":
                 names += _NAME.findall(v) if k == "class" else []
-                chrome = chrome or _named(v)
+                chrome = chrome or _named(v, k == "id" and tag in ANCHORED)
             elif k == "role":
                 chrome = chrome or v in ROLES
             elif (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", "")):

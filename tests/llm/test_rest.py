@@ -191,6 +191,13 @@ def test_deep_and_broken_pages_take_one_pass():
     assert len(places) == 8
 
 
+def test_formulas_and_anchors_are_text():
+    page = """<article><h2 id="newsletter-archives">Archives</h2><p id="advertising-history">How adverts began.</p>
+      <p>So E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation encoding="application/x-tex">mc^2</annotation></math> holds.</p>
+      <h3 id="related-links">Related</h3><p class="advertising-unit">Buy!</p><p id="ad">Buy more!</p></article>"""
+    assert main_text(parse(page)) == "Archives\n\nHow adverts began.\n\nSo E = mc2 holds."
+
+
 def test_gold_pages(spark):
     """Pages of a host whose template has no telling tags or names: the tree alone takes it away, and with no tree it stays."""
     rng = random.Random(12)
