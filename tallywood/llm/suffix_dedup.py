@@ -1,12 +1,14 @@
 """Suffix-array dedup of byte strings by linear grouping construction.
 
-Two equal 50-byte strings have the same least 16-byte hash in them. The strings
-of a document that share their least hash lie in one stretch; a stretch whose
-hash is in one document alone can't hold a repeated string. The other stretches
-go, each distinct one once per chunk of documents, to the bucket that owns the
-hash. There the stretches of each hash form one string, whose suffix array is
-built by linear grouping (:mod:`suffix_groups`); neighbours in it that agree in
-50 bytes are the same string, which decides the least doc_id it starts in.
+Two equal 50-byte strings have the same least 16-byte hash in them, at the same
+place. The strings of a document that have it at one spot, all in their first
+half or all in their second, lie in one stretch, and the bytes that they have in
+common (33 or 34) are its core. A stretch whose core is in one document alone
+can't hold a repeated string. The other stretches go, each distinct one once per
+chunk of documents, to the bucket that owns the core's hash. There the stretches
+of each core form one string, whose suffix array is built by linear grouping
+(:mod:`suffix_groups`); neighbours in it that agree in 50 bytes are the same
+string, which decides the least doc_id it starts in.
 """
 
 from __future__ import annotations
@@ -17,34 +19,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import SPAN, buckets_of, by_bucket, chunked, flat, group_minmax, member, span_hash, texts
+from ._common import SPAN, buckets_of, by_bucket, chunked, flat, group_minmax, member, mix, powers, prefix_sums, span_hash, texts
 from ._exchange import answer, ask, ask_again, finish, gathered, pack, unpack
 from .suffix_groups import suffix_arrays
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: A hash that so many chunks ask about is hot: its strings go to buckets one by one, by their own hash.
+#: A core that so many chunks ask about is hot: its strings go to buckets one by one, by their own hash.
 HOT = 4096
-#: Stretches of one hash that make one string for the suffix array; more of them are dealt out by more of their bytes.
+#: Stretches of one core that make one string for the suffix array; more of them are dealt out by more of their bytes.
 TOGETHER = 32
 #: Symbols that go through the construction together.
 BATCH = 1 << 20
 #: Bytes of stretches whose windows are looked at together.
 SLICE = 2 << 20
+#: Starts of windows that are hashed together, few enough for the processor's cache.
+BLOCK = 1 << 14
+
+
+def _spots(total: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """How far into each window its (first) least hash of ``gram`` bytes is. ``total``: prefix sums of the bytes."""
+    most, n = window - gram + 1, len(total) - window
+    inverse, long = powers(1, len(total), True), np.uint64(gram) << np.uint64(48)
+    out = np.empty(n, np.uint8 if most < 256 else np.uint16)
+    for a in range(0, n, BLOCK):
+        z = min(a + BLOCK, n) + most - 1
+        h = total[a + gram : z + gram] - total[a:z]
+        h *= inverse[a:z]
+        h ^= long
+        have, at, done = _rank(mix(h)), np.zeros(z - a, out.dtype), 1
+        while done < most:
+            step = min(done, most - done)
+            left, right = have[:-step], have[step:]
+            # at[step:] + step where right < left, by masks: several times as fast as where().
+            other = at[step:] + out.dtype.type(step)
+            other ^= at[:-step]
+            other &= np.negative((right < left).astype(out.dtype))
+            other ^= at[:-step]
+            at, have, done = other, np.minimum(left, right), done + step
+        out[a : a + len(at)] = at
+    return out
 
 
-def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick over x[i:i+width] for each i, by doubling."""
-    have, done = x, 1
-    while done * 2 <= width:
-        have = pick(have[:-done], have[done:])
-        done *= 2
-    if done < width:
-        have = pick(have[: len(have) - (width - done)], have[width - done :])
-    return have
+def _rank(h: np.ndarray) -> np.ndarray:
+    """What of a hash decides which is the least."""
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 class _Bytes:
-    """The bytes of a chunk's documents, and the stretches of windows with the same least hash."""
+    """The bytes of a chunk's documents, and the stretches of windows with the same core."""
 
     def __init__(self, table: pa.Table, window: int, gram: int):
         table = texts(table)
@@ -54,24 +76,29 @@ class _Bytes:
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.window, n = window, len(self.raw)
         none = np.zeros(0, np.int64)
-        self.low, self.high, self.row, self.least = none, none, none, np.zeros(0, np.uint64)
+        self.low, self.high, self.row, self.core = none, none, none, np.zeros(0, np.uint64)
+        self.sums = prefix_sums(self.raw, 1)
         if n < window:
             return
-        start = np.arange(n - gram + 1)
-        least = _sliding(span_hash(self.raw, start, start + gram, 1), window - gram + 1, np.minimum)
-        row = np.repeat(np.arange(len(self.ids)), np.diff(self.off))[: len(least)]
-        whole = np.arange(len(least)) + window <= self.off[row + 1]
-        whole &= self.known[row]
-        head = np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]) & whole
-        self.low = np.flatnonzero(head)
-        stop = np.flatnonzero(np.append(head[1:] | ~whole[1:], True) & whole)
+        spot = _spots(self.sums, window, gram)
+        long = np.flatnonzero(self.known & (np.diff(self.off) >= window))
+        edge = np.zeros(n + 2 - window, np.int8)
+        np.add.at(edge, self.off[long], 1)
+        np.add.at(edge, self.off[long + 1] - window + 1, -1)
+        whole = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
         most = window - gram + 1
-        pieces = (stop - self.low) // most + 1  # a least hash that recurs makes long stretches: cut them
-        base = np.repeat(self.low, pieces)
-        step = np.arange(len(base)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.low = base + step * most
-        self.high = np.minimum(self.low + most - 1, np.repeat(stop, pieces)) + window
-        self.row, self.least = row[self.low], least[self.low]
+        rest = most // 2
+        late = spot < rest
+        head = np.append(True, (spot[1:] + spot.dtype.type(1) != spot[:-1]) | (late[1:] != late[:-1]) | ~whole[:-1])
+        head[self.off[long]] = True
+        head &= whole
+        self.low = np.flatnonzero(head)
+        self.high = np.flatnonzero(np.append(head[1:] | ~whole[1:], True) & whole) + window
+        self.row = np.searchsorted(self.off, self.low, "right") - 1
+        at, late = self.low + spot[self.low], late[self.low]
+        # All windows that have the spot in their first half, or in their second, have these bytes.
+        first, last = np.where(late, at, at - rest), np.where(late, at - rest + 1 + window, at + gram)
+        self.core = span_hash(self.raw, first, last, 1, self.sums)
 
     def split(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The single windows of some stretches: their starts, rows and stretches."""
@@ -81,15 +108,38 @@ class _Bytes:
         return start, self.row[of], of
 
 
+def _token(core: np.ndarray) -> np.ndarray:
+    """48 bits of a core's hash, the lowest for a flag: enough to ask by, as stretches with equal tokens are still told apart."""
+    return core >> np.uint64(17) << np.uint64(1)
+
+
+def _tokens(token: np.ndarray) -> bytes:
+    return pack((token >> np.uint64(16)).astype(np.uint32), token.astype(np.uint16))
+
+
+def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a table, and the row of each."""
+    row, (upper, lower) = gathered(table, (np.uint32, np.uint16))
+    return row, (upper.astype(np.uint64) << np.uint64(16)) | lower
+
+
+def _mark(core: np.ndarray, lone: np.ndarray) -> np.ndarray:
+    """What stretches are grouped and looked up by, from the bits that don't choose the bucket; the lowest bit says that it is one window of a hot core."""
+    return (core.astype(np.uint32) >> np.uint32(1) << np.uint32(1)) | lone
+
+
 def _grams(b: _Bytes, buckets: int) -> list[tuple[int, bytes]]:
-    first, low, high = group_minmax([b.least], b.ids[b.row])
-    token = (b.least[first] >> np.uint64(1) << np.uint64(1)) | (low != high)
-    return [(k, pack(token[i])) for k, i in by_bucket((token >> np.uint64(40)) % np.uint64(buckets))]
+    order = np.argsort(b.core, kind="stable")  # rows come by doc_id
+    core, row = b.core[order], b.row[order]
+    new = core[1:] != core[:-1]
+    first, last = np.append(True, new)[: len(core)], np.append(new, True)[: len(core)]
+    token = _token(core[first]) | (b.ids[row[first]] != b.ids[row[last]])
+    return [(k, _tokens(token[i])) for k, i in by_bucket((core[first] >> np.uint64(40)) % np.uint64(buckets))]
 
 
 def _repeated(table: pa.Table) -> list[tuple[int, bytes]]:
-    """To each chunk its hashes that are in two documents; the lowest bit says that they are hot."""
-    row, (token,) = gathered(table, (np.uint64,))
+    """To each chunk its cores that are in two documents; the lowest bit says that they are hot."""
+    row, token = _told(table)
     value, several = token >> np.uint64(1), (token & np.uint64(1)).astype(bool)
     order = np.argsort(value, kind="stable")
     s = value[order]
@@ -99,10 +149,10 @@ def _repeated(table: pa.Table) -> list[tuple[int, bytes]]:
     keep = shared[group]
     out = (s[keep] << np.uint64(1)) | (asked > HOT)[group[keep]]
     chunks = table.column("chunk").to_numpy()
-    return [(int(chunks[r]), pack(out[i])) for r, i in by_bucket(row[order[keep]])]
+    return [(int(chunks[r]), _tokens(out[i])) for r, i in by_bucket(row[order[keep]])]
 
 
-_STRETCHES = (np.uint8, np.uint16, np.uint64, np.uint32, np.uint32, np.int64)
+_STRETCHES = (np.uint8, np.uint16, np.uint32, np.uint32, np.uint32, np.int64)
 
 
 def _take(raw: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -111,22 +161,21 @@ def _take(raw: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _stretches(b: _Bytes, got: pa.Table, buckets: int) -> list[tuple[int, bytes]]:
-    """Each distinct stretch with a shared hash: its bytes, the hash, its own hash, and the least and largest doc_id here."""
-    _, (shared,) = gathered(got, (np.uint64,))
-    shared = np.sort(shared)
-    mine = b.least >> np.uint64(1)
-    warm = np.flatnonzero(member(mine, shared[(shared & np.uint64(1)) == 0] >> np.uint64(1)))
-    hot = np.flatnonzero(member(mine, shared[(shared & np.uint64(1)) == 1] >> np.uint64(1)))
+    """Each distinct stretch with a shared core: its bytes, the core's hash, and the least and largest doc_id here."""
+    shared = np.sort(_told(got)[1])
+    mine = _token(b.core)
+    warm = np.flatnonzero(member(mine, shared[(shared & np.uint64(1)) == 0]))
+    hot = np.flatnonzero(member(mine | np.uint64(1), shared[(shared & np.uint64(1)) == 1]))
     start, row, of = b.split(hot)
     low = np.concatenate([b.low[warm], start])
     size = np.concatenate([b.high[warm] - b.low[warm], np.full(len(start), b.window)])
-    h1 = span_hash(b.raw, low, low + size, 1)
+    h1 = span_hash(b.raw, low, low + size, 1, b.sums)
     h2 = span_hash(b.raw, low, low + size, 2)
-    least = np.concatenate([b.least[warm], b.least[of]])
-    home = np.concatenate([b.least[warm], h1[len(warm) :]]) >> np.uint64(40)
+    core = np.concatenate([b.core[warm], b.core[of]])
+    home = np.concatenate([b.core[warm], h1[len(warm) :]]) >> np.uint64(40)
     lone = np.concatenate([np.zeros(len(warm), bool), np.ones(len(start), bool)])
     first, less, more = group_minmax([h1, h2], b.ids[np.concatenate([b.row[warm], row])])
-    mark = (least >> np.uint64(1) << np.uint64(1)) | lone
+    mark = _mark(core, lone)
     out = []
     for k, i in by_bucket(home[first] % np.uint64(buckets)):
         j = first[i]
@@ -136,7 +185,7 @@ def _stretches(b: _Bytes, got: pa.Table, buckets: int) -> list[tuple[int, bytes]
     return out
 
 
-_RANGES = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.uint64)
+_RANGES = (np.uint64, np.uint64, np.uint16, np.uint16, np.int64, np.uint32)
 
 
 def _first_starts(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
@@ -193,8 +242,8 @@ def _first_starts(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.n
     return out
 
 
-def _solve(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, window: int, gram: int, level: int = 0) -> np.ndarray:
-    """For each window of each distinct stretch, stretch by stretch, the least doc_id it starts in. Crowded keys are split first."""
+def _solve(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray, window: int, gram: int, level: int = 1) -> np.ndarray:
+    """For each window of each distinct stretch, stretch by stretch, the least doc_id it starts in. Crowded keys are split first; a core is half a window's way, which is level 1."""
     size = np.diff(off)
     count = size - window + 1
     base = np.append(0, np.cumsum(count))
@@ -219,11 +268,11 @@ def _apart(raw: np.ndarray, off: np.ndarray, key: np.ndarray, least: np.ndarray,
     size = np.diff(off)
     count = size - window + 1
     n = len(raw)
-    h = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    h = np.full(n, np.iinfo(np.uint32).max, np.uint32)
     at = np.arange(n - gram + 1)
     item = np.repeat(np.arange(len(size)), size)
     at = at[at + gram <= off[item[at] + 1]]
-    h[at] = span_hash(raw, at, at + gram, 1)
+    h[at] = _rank(span_hash(raw, at, at + gram, 1))
     spots = np.flatnonzero(h == np.minimum.reduceat(h, off[:-1])[item])
     of = np.repeat(np.arange(len(size)), count)
     start = off[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
@@ -297,7 +346,7 @@ def _earliest(table: pa.Table, window: int, gram: int) -> list[tuple[int, bytes]
     uh1, uh2 = (span_hash(uraw, uoff[:-1], uoff[1:], w) for w in (1, 2))
     chunks = table.column("chunk").to_numpy()
     return [
-        (int(chunks[c]), pack(uh1[which[q[i]]], uh2[which[q[i]]], run_at[r[i]].astype(np.uint32), run_len[r[i]].astype(np.uint32), run_id[r[i]], mark[q[i]]))
+        (int(chunks[c]), pack(uh1[which[q[i]]], uh2[which[q[i]]], run_at[r[i]].astype(np.uint16), run_len[r[i]].astype(np.uint16), run_id[r[i]], mark[q[i]]))
         for c, i in by_bucket(row[q])
     ]
 
@@ -311,19 +360,20 @@ def _removed(b: _Bytes, got: pa.Table) -> np.ndarray:
         return cover[:n] > 0
     order = np.argsort(g1, kind="stable")
     g1, g2, at, length, least = g1[order], g2[order], at[order].astype(np.int64), length[order].astype(np.int64), least[order]
-    hot = np.unique(mark[(mark & np.uint64(1)) == 1])
-    lone = member((b.least >> np.uint64(1) << np.uint64(1)) | np.uint64(1), hot)
-    warm = np.flatnonzero(~lone)
-    start, row, _ = b.split(np.flatnonzero(lone))
+    told = np.unique(mark)
+    warm = np.flatnonzero(member(_mark(b.core, False), told))
+    start, row, _ = b.split(np.flatnonzero(member(_mark(b.core, True), told[(told & np.uint32(1)) == 1])))
     low = np.concatenate([b.low[warm], start])
     size = np.concatenate([b.high[warm] - b.low[warm], np.full(len(start), b.window)])
     doc = b.ids[np.concatenate([b.row[warm], row])]
-    h1 = span_hash(b.raw, low, low + size, 1)
+    h1 = span_hash(b.raw, low, low + size, 1, b.sums)
     lo, hi = np.searchsorted(g1, h1, "left"), np.searchsorted(g1, h1, "right")
     many = hi - lo
     i = np.repeat(np.arange(len(low)), many)
     j = np.repeat(lo, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-    sure = (span_hash(b.raw, low, low + size, 2)[i] == g2[j]) & (least[j] < doc[i])
+    near = least[j] < doc[i]
+    i, j = i[near], j[near]
+    sure = span_hash(b.raw, low, low + size, 2)[i] == g2[j]
     i, j = i[sure], j[sure]
     np.add.at(cover, low[i] + at[j], 1)
     np.add.at(cover, low[i] + at[j] + length[j] + b.window - 1, -1)

@@ -187,6 +187,49 @@ def test_suffix(spark, rows, monkeypatch, together, hot):
     assert sorted((tuple(r.values()) for r in out), key=repr) == brute_bytes(rows)
 
 
+def packed_chunk(chunk: int, docs: list[tuple]):
+    import pyarrow as pa
+
+    from tallywood.llm._common import _packed
+
+    return pa.Table.from_batches(list(_packed([pa.RecordBatch.from_pydict({"chunk": [chunk] * len(docs), "doc_id": pa.array([r[0] for r in docs], pa.int64()), "text": pa.array([r[1] for r in docs])})])))
+
+
+def test_suffix_asks_by_core():
+    """Phrases of 30 bytes in different surroundings hold no 50-byte string: no stretch is sent for them. One of 50 bytes is."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+
+    def sent(width: int) -> list:
+        phrases = [noise(width) for _ in range(20)]
+        b = [S._Bytes(packed_chunk(k, [(k, "".join(noise(60) + p for p in phrases) + noise(60))]), 50, 16) for k in range(2)]
+        asked = [(k, p) for k in range(2) for _, p in S._grams(b[k], 1)]
+        told = S._repeated(pa.table({"chunk": [k for k, _ in asked], "payload": pa.array([p for _, p in asked], pa.binary())}))
+        return [q for k in range(2) for q in S._stretches(b[k], pa.table({"payload": pa.array([p for c, p in told if c == k], pa.binary())}), 1)]
+
+    assert sent(30) == []
+    assert len(sent(50)) == 2
+
+
+@pytest.mark.parametrize("window,gram", [(50, 16), (7, 7), (256, 1), (9, 2)])
+def test_spots(window, gram):
+    """The first least hash of each window, over blocks and where grams recur."""
+    raw = np.frombuffer(("ab" * 9000 + "".join(random.Random(2).choice("abc") for _ in range(2000)) + "a" * 500).encode(), np.uint8)
+    at = np.arange(len(raw) - gram + 1)
+    rank = S._rank(S.span_hash(raw, at, at + gram, 1))
+    expected = [int(np.argmin(rank[k : k + window - gram + 1])) for k in range(len(raw) - window + 1)]
+    assert S._spots(S.prefix_sums(raw, 1), window, gram).tolist() == expected
+
+
+@pytest.mark.parametrize("window,gram", [(20, 20), (21, 4), (40, 7)])
+def test_suffix_windows(spark, window, gram):
+    rows = corpus(3, 24)
+    got = suffix_dedup(spark.createDataFrame(rows, SCHEMA), window, gram, with_bytes=False).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_bytes(rows, window)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for _ in range(200):
