@@ -14,7 +14,8 @@ ROWS_ON_PAGE = 20
 
 def numbered(ledger: DataFrame) -> DataFrame:
     """The ledger with file, row number in it from 0, page and place on the page."""
-    order = W.partitionBy("account").orderBy("value_date", "natural_key", "amount")
+    # By file, so that what is written from the rows of a file is where the scans of whole files want it: nothing is dealt out anew.
+    order = W.partitionBy("file").orderBy("value_date", "natural_key", "amount")
     rows = ledger.withColumn("file", F.col("account")).withColumn("n", F.row_number().over(order) - 1)
     return rows.withColumn("page", F.floor(F.col("n") / ROWS_ON_PAGE).cast("int") + 1).withColumn("k", (F.col("n") % ROWS_ON_PAGE).cast("int"))
 
@@ -41,12 +42,16 @@ def _split(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
-def _words(rows: DataFrame, per_row: Column, per_page: list[tuple[float, float, float, str]]) -> DataFrame:
-    """Words of all rows, and those that each page starts with."""
-    body = rows.select("file", "page", F.explode(per_row).alias("w")).select("file", "page", "w.*")
+def _with_head(starts: Column, head: Column, body: Column) -> Column:
+    """One row for each element of a row's body, behind those of the head in rows that start a page or file."""
+    none = F.slice(head, 1, 0)
+    return F.explode(F.concat(F.when(starts, head).otherwise(none), F.coalesce(body, none)))
+
+
+def _words(rows: DataFrame, per_row: Column, per_page: list[tuple[float, float, float, str]], starts: Column | None = None) -> DataFrame:
+    """Words of all rows, and those that each page (or what else ``starts``) begins with."""
     head = F.array(*[_word(t, a, F.lit(text), z) for t, a, z, text in per_page])
-    pages = rows.select("file", "page").distinct().select("file", "page", F.explode(head).alias("w")).select("file", "page", "w.*")
-    return body.union(pages)
+    return rows.select("file", "page", _with_head(F.col("k") == 0 if starts is None else starts, head, per_row).alias("w")).select("file", "page", "w.*")
 
 
 def quarterly_pages(ledger: DataFrame) -> DataFrame:
@@ -84,9 +89,7 @@ def broker_pages(ledger: DataFrame) -> DataFrame:
     )
     # The header is on the first page alone; its words are in no column of texts.
     header = [(60.0, 20.0, 40.0, "DATA"), (60.0, 335.0, 336.0, "DESCRIPTION"), (60.0, 340.0, 370.0, "INCOMING"), (60.0, 420.0, 450.0, "OUTGOING"), (60.0, 500.0, 540.0, "BALANCE")]
-    head = F.array(*[_word(t, a, F.lit(text), z) for t, a, z, text in header])
-    body = rows.select("file", "page", F.explode(word).alias("w")).select("file", "page", "w.*")
-    return body.union(rows.select("file").distinct().select("file", F.lit(1).alias("page"), F.explode(head).alias("w")).select("file", "page", "w.*"))
+    return _words(rows, word, header, F.col("n") == 0)
 
 
 def consolidated_pages(ledger: DataFrame) -> DataFrame:
@@ -114,16 +117,15 @@ def consolidated_lines(ledger: DataFrame) -> DataFrame:
     earned = F.concat_ws(",", _quoted(day), F.lit("Net interest"), F.lit("2%"), F.lit(""), F.lit(""), F.lit(""), F.lit(""), _quoted(F.concat(F.lit("€"), english(F.col("n") % 3))))
     sold = F.concat_ws(",", _quoted(F.concat(F.date_format("value_date", "dd/MM/yyyy"), F.lit(", 01/01/1990"))), F.lit("BTC"), F.lit("1"), F.lit("2"), F.lit("3"), _quoted(F.concat(F.lit("+ €"), english(F.col("n") % 5), F.lit(", - €9.00"))))
     size = 10_000_000
-    body = rows.select("file", F.explode(F.array(
-        F.struct((F.col("n") + 10).alias("line_no"), moved.alias("line")), F.struct((F.col("n") + size + 10).alias("line_no"), earned.alias("line")), F.struct((F.col("n") + 2 * size + 10).alias("line_no"), sold.alias("line")),
-    )).alias("x")).select("file", F.col("x.line_no").cast("int").alias("line_no"), "x.line")
+    at = lambda start, text: F.struct((F.col("n") + start + 10).cast("int").alias("line_no"), text.alias("line"))
+    body = F.array(at(0, moved), at(size, earned), at(2 * size, sold))
     said = [
         (0, "Current accounts summaries"), (2, "Personal Account (EUR)"), (3, "Account holding modality,Joint"), (4, "Institution,Some Bank"), (5, "Account holding modality,Individual"), (6, "IBAN,IT60X0542811101000000123456"),
         (7, "Date,Description,Category,Money in/out,Balance,Tax,Other,Fees"), (size, ""), (size + 1, "Flexible Savings (EUR)"), (size + 2, "Statement with only interest receipt"), (size + 3, "Date,Description,Gross rate,A,B,C,D,Net"),
         (2 * size, "---------"), (2 * size + 1, "Statement with only sales"), (2 * size + 2, '"Date (of Sale, of Purchase)",Symbol,A,B,C,Value'),
     ]
     head = F.array(*[F.struct(F.lit(n).alias("line_no"), F.lit(text).alias("line")) for n, text in said])
-    return body.union(rows.select("file").distinct().select("file", F.explode(head).alias("x")).select("file", "x.*"))
+    return rows.select("file", _with_head(F.col("n") == 0, head, body).alias("x")).select("file", "x.*")
 
 
 def broker_lines(ledger: DataFrame) -> DataFrame:
@@ -136,7 +138,8 @@ def broker_lines(ledger: DataFrame) -> DataFrame:
         _quoted(F.col("native_category")), F.col("category"), F.col("mcc"), F.when(n % 4 == 0, "STOCK").otherwise(none), F.when(n % 4 == 0, F.concat(F.lit("IT"), n.cast("string"))).otherwise(none), F.when(n % 4 == 0, "2.5").otherwise(none), F.when(n % 4 == 0, "10.25").otherwise(none), n.cast("string"),
     )
     head = "date,type,currency,amount,fee,tax,name,description,counterparty_name,category,mcc_code,asset_class,symbol,shares,price,transaction_id"
-    return rows.select("file", (n + 1).alias("line_no"), line.alias("line")).union(rows.select("file", F.lit(0).alias("line_no"), F.lit(head).alias("line")).distinct())
+    at = lambda number, text: F.array(F.struct(number.alias("line_no"), text.alias("line")))
+    return rows.select("file", _with_head(n == 0, at(F.lit(0), F.lit(head)), at(n + 1, line)).alias("x")).select("file", "x.*")
 
 
 def sheet_cells(ledger: DataFrame) -> DataFrame:
