@@ -41,79 +41,114 @@ def _is(header: tuple[str, ...]) -> Column:
     return F.slice("row", 1, len(header)) == F.array(*[F.lit(h) for h in header])
 
 
-def movements_table(lines: DataFrame) -> DataFrame:
-    """(file, line_no, account, value_date, description, category, amount, balance, fee) of the EUR movement tables.
+_ROW = ("account", "value_date", "description", "category", "amount", "balance", "fee")
+
+
+def _row(account: Column, day: Column, description: Column, category: Column, amount: Column, balance: Column | None = None, fee: Column | None = None) -> Column:
+    none = F.lit(None).cast("decimal(18,4)")
+    parts = (account.cast("string"), day, description, category, amount, none if balance is None else balance, none if fee is None else fee)
+    return F.struct(*[x.alias(name) for x, name in zip(parts, _ROW, strict=True)])
+
+
+def _said(counts: Column, row: Column, good) -> Column:
+    """The row of a line that counts, if it is good: its cells are read here, once, and of no other line."""
+    return F.filter(F.array(F.when(counts, row)), good)
+
+
+def _movements(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows of :func:`_cut` with windows over them, and what each says in an EUR movement table, as an array of one or none.
 
     A table ends at a blank line, a separator, a new account or a line that
     doesn't start with a date; lines without a readable amount are skipped.
     """
-    rows = _cut(lines)
     code = F.regexp_extract("first", _CODE, 1)
-    titled = (code != "") & F.col("first").rlike("Account|Savings|Pocket") & ~F.col("closes")
-    rows = rows.withColumn("title", F.when(titled, F.struct(F.col("first").alias("label"), code.alias("currency"))))
-    rows = rows.withColumn("of", F.last("title", ignorenulls=True).over(_file()))
-    day = parse_date(F.col("first"))
-    # opens: 1 at a header, 0 at whatever ends a table; other lines keep the state.
-    state = F.when(F.col("closes") | titled, 0).when(_is(MOVEMENTS), F.when(F.col("of.currency") == CURRENCY, 1).otherwise(0)).when(day.isNull(), 0)
-    rows = rows.withColumn("day", day).withColumn("state", state).withColumn("open", F.last("state", ignorenulls=True).over(_file()))
+    named = F.col("first").contains("(") & ~F.col("closes") & F.col("first").rlike("Account|Savings|Pocket") & (code != "")
+    # What a title says of its account is read at the title, not at each of its lines.
+    title = F.when(named, F.struct(code.alias("currency"), account_id(F.col("first"), code, SOURCE).alias("account")))
+    rows = rows.withColumns({"title": title, "day": parse_date(F.col("first"))})
+    # 0: what ends a table, 1: a header; other lines keep the state.
+    mark = F.when(F.col("closes") | F.col("title").isNotNull(), 0).when(_is(MOVEMENTS), 1).when(F.col("day").isNull(), 0)
+    rows = rows.withColumn("mark", mark)
     row = F.col("row")
-    rows = rows.where((F.col("open") == 1) & F.col("state").isNull()).withColumn("amount", parse_money(cell(row, 3))).where("amount IS NOT NULL")
-    return rows.select(
-        "file", "line_no", account_id(F.col("of.label"), F.col("of.currency"), SOURCE).alias("account"), F.col("day").alias("value_date"), cell(row, 1).alias("description"), cell(row, 2).alias("category"),
-        "amount", parse_money(cell(row, 4)).alias("balance"), F.abs(F.coalesce(parse_money(cell(row, 7)), F.lit(0))).cast("decimal(18,4)").alias("fee"),
-    )
+    said = _row(F.col("of.account"), F.col("day"), cell(row, 1), cell(row, 2), parse_money(cell(row, 3)), parse_money(cell(row, 4)), F.abs(F.coalesce(parse_money(cell(row, 7)), F.lit(0))).cast("decimal(18,4)"))
+    rows = rows.withColumn("of", F.last("title", ignorenulls=True).over(_file()))
+    state = F.when((F.col("mark") == 1) & ~F.coalesce(F.col("of.currency") == CURRENCY, F.lit(False)), 0).otherwise(F.col("mark"))
+    rows = rows.withColumn("open", F.last(state, ignorenulls=True).over(_file()))
+    return rows, _said((F.col("open") == 1) & F.col("mark").isNull(), said, lambda x: x["amount"].isNotNull())
 
 
-def section(lines: DataFrame, title: str, header: tuple[str, ...]) -> DataFrame:
-    """(file, line_no, currency, row) of the tables under a title, from the header to the next blank line or separator."""
-    rows = _cut(lines)
-    code = F.when(F.col("first").rlike("Account|Savings|Statements"), F.nullif(F.regexp_extract("first", _CODE, 1), F.lit("")))
-    rows = rows.withColumn("currency", F.last(code, ignorenulls=True).over(_file()))
+def _section(rows: DataFrame, name: str, title: str, header: tuple[str, ...], said: Column, wanted: Column | None = None) -> tuple[DataFrame, Column]:
+    """The rows with windows over them, and ``said`` (an array of one or none) of those in tables under a title, from the header to the next blank line or separator."""
     # 0 closed, 1 armed by the title, 2 at a header: a header counts only if armed.
-    event = F.when(F.col("closes"), 0).when(F.col("first").contains(title), 1).when(_is(header), 2)
-    rows = rows.withColumn("event", event)
-    told = F.last("event", ignorenulls=True).over(_file())
-    before = F.last("event", ignorenulls=True).over(_file().rowsBetween(W.unboundedPreceding, -1))
-    armed = F.when(F.col("event") == 2, F.when(before == 1, 2).otherwise(F.lit(None))).otherwise(F.col("event"))
-    rows = rows.withColumn("told", told).withColumn("armed", armed).withColumn("open", F.last("armed", ignorenulls=True).over(_file()))
-    return rows.where((F.col("open") == 2) & F.col("event").isNull()).select("file", "line_no", "currency", "row")
+    event, before, armed = F.col(f"{name}_event"), F.col(f"{name}_before"), f"{name}_open"
+    rows = rows.withColumn(f"{name}_event", F.when(F.col("closes"), 0).when(F.col("first").contains(title), 1).when(_is(header), 2))
+    rows = rows.withColumn(f"{name}_before", F.last(event, ignorenulls=True).over(_file().rowsBetween(W.unboundedPreceding, -1)))
+    at = F.when((event != 2) | (before == 1), event)
+    rows = rows.withColumn(armed, F.last(at, ignorenulls=True).over(_file()))
+    counts = (F.col(armed) == 2) & event.isNull()
+    return rows, _said(counts if wanted is None else counts & wanted, said, lambda x: (x["amount"] != 0) & x["value_date"].isNotNull())
 
 
-def interest(lines: DataFrame) -> DataFrame:
-    """Savings interest: the net column of EUR sections, zero and blank ones left out."""
+def _interest(rows: DataFrame) -> tuple[DataFrame, Column]:
     row = F.col("row")
-    rows = section(lines, *INTEREST).where(F.col("currency").isNull() | (F.col("currency") == CURRENCY))
-    rows = rows.withColumn("amount", parse_money(cell(row, 7))).withColumn("value_date", parse_date(cell(row, 0))).where("amount <> 0 AND value_date IS NOT NULL")
-    return rows.select("file", "line_no", F.lit("revolut_savings_eur").alias("account"), "value_date", F.coalesce(F.nullif(cell(row, 1), F.lit("")), F.lit("Savings interest")).alias("description"), F.lit("Interest").alias("category"), "amount")
+    said = _row(F.lit("revolut_savings_eur"), parse_date(F.col("first")), F.coalesce(F.nullif(cell(row, 1), F.lit("")), F.lit("Savings interest")), F.lit("Interest"), parse_money(cell(row, 7)))
+    code = F.when(F.col("first").contains("(") & F.col("first").rlike("Account|Savings|Statements"), F.nullif(F.regexp_extract("first", _CODE, 1), F.lit("")))
+    rows = rows.withColumn("currency", F.last(code, ignorenulls=True).over(_file()))
+    return _section(rows, "earned", *INTEREST, said, F.coalesce(F.col("currency") == CURRENCY, F.lit(True)))
 
 
-def crypto_sales(lines: DataFrame) -> DataFrame:
-    """Proceeds of crypto sales: the leg with a plus in "+ €a, - €b", whatever currency was said before."""
+def _sales(rows: DataFrame) -> tuple[DataFrame, Column]:
     row = F.col("row")
     legs = F.split(cell(row, 5), r",\s+(?=[+-])")
     sold = F.try_element_at(F.filter(legs, lambda x: x.contains("+")), F.lit(1))
-    rows = section(lines, *SALES).where(F.size("row") >= 6).withColumn("amount", parse_money(sold))
-    rows = rows.withColumn("value_date", parse_day_first(F.element_at(F.split(cell(row, 0), ","), 1))).where("amount <> 0 AND value_date IS NOT NULL")
-    return rows.select("file", "line_no", F.lit("revolut_crypto").alias("account"), "value_date", F.trim(F.concat(F.lit("Crypto sale "), cell(row, 1))).alias("description"), F.lit("Crypto").alias("category"), "amount")
+    said = _row(F.lit("revolut_crypto"), parse_day_first(F.substring_index("first", ",", 1)), F.trim(F.concat(F.lit("Crypto sale "), cell(row, 1))), F.lit("Crypto"), F.when(F.size("row") >= 6, parse_money(sold)))
+    return _section(rows, "sold", *SALES, said)
+
+
+def _tables(lines: DataFrame, *kinds) -> DataFrame:
+    """(file, line_no, account, value_date, description, category, amount, balance, fee) of the given kinds of tables, in one pass over the lines."""
+    rows, found = _cut(lines), []
+    for kind in kinds:
+        rows, said = kind(rows)
+        found.append(said)
+    return rows.select("file", "line_no", F.explode(F.concat(*found)).alias("x")).select("file", "line_no", "x.*")
+
+
+def movements_table(lines: DataFrame) -> DataFrame:
+    """(file, line_no, account, value_date, description, category, amount, balance, fee) of the EUR movement tables."""
+    return _tables(lines, _movements)
+
+
+def interest(lines: DataFrame) -> DataFrame:
+    """Savings interest: the net column of EUR sections, zero and blank ones left out."""
+    return _tables(lines, _interest).drop("balance", "fee")
+
+
+def crypto_sales(lines: DataFrame) -> DataFrame:
+    """Proceeds of crypto sales: the leg with a plus in "+ €a, - €b", whatever currency was said before."""
+    return _tables(lines, _sales).drop("balance", "fee")
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """All movements of the statement, in the ledger's columns; fees are informational and not movements of their own."""
-    parts = [movements_table(lines).drop("balance", "fee"), interest(lines), crypto_sales(lines)]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = _tables(lines, _movements, _interest, _sales)
     return rows.select("file", "line_no", "account", "value_date", F.col("value_date").alias("booking_date"), "description", F.round("amount", 2).cast("decimal(18,4)").alias("amount"), F.lit(CURRENCY).alias("currency"), F.lit(SOURCE).alias("source"), F.nullif("category", F.lit("")).alias("native_category"), F.lit(None).cast("string").alias("mcc"))
 
 
 def accounts(lines: DataFrame) -> DataFrame:
     """Account metadata from the key and value lines after a title; of each field the first value counts."""
-    rows = _cut(lines).where(~F.col("closes"))
+    rows = _cut(lines)
     title = r"^(.*\b(?:Account|Savings|Pocket)\b.*?)\s*\(([A-Z]{3})\)\s*$"
-    named = F.when(F.col("first").rlike(title), F.struct(F.regexp_extract("first", title, 1).alias("product"), F.regexp_extract("first", title, 2).alias("currency")))
-    rows = rows.withColumn("title", named).withColumn("of", F.last("title", ignorenulls=True).over(_file())).where("of IS NOT NULL")
-    rows = rows.withColumn("account_id", account_id(F.col("of.product"), F.col("of.currency"), SOURCE)).withColumn("label", F.lower("first")).withColumn("value", cell(F.col("row"), 1))
+    # The account's id is read at its title; only titles and lines with a known key go on to be put in order.
+    parts = [F.regexp_extract("first", title, i) for i in (1, 2)]
+    named = F.when(F.col("first").endswith(")") & F.col("first").rlike(title), F.struct(parts[0].alias("product"), parts[1].alias("currency"), account_id(*parts, SOURCE).alias("account_id")))
+    label = F.lower("first")
     known = F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv])
-    what = F.when(F.col("label").startswith("iban"), "iban").otherwise(F.element_at(known, F.col("label")))
-    rows = rows.withColumn("what", F.when(F.col("title").isNull() & (F.col("value") != ""), what))
+    what = F.when(label.startswith("iban"), "iban").otherwise(F.try_element_at(known, label))
+    rows = rows.where(~F.col("closes") & (F.col("first").endswith(")") | label.startswith("iban") | label.isin(*FIELDS)))
+    rows = rows.select("file", "line_no", named.alias("title"), cell(F.col("row"), 1).alias("value"), what.alias("what"))
+    rows = rows.withColumn("of", F.last("title", ignorenulls=True).over(_file())).where("of IS NOT NULL").withColumn("account_id", F.col("of.account_id"))
+    rows = rows.withColumn("what", F.when(F.col("title").isNull() & (F.col("value") != ""), F.col("what")))
     first = lambda name: F.min_by("value", F.when(F.col("what") == name, F.col("line_no")))
     g = rows.groupBy("account_id").agg(F.min_by("of", "line_no").alias("t"), first("bank_name").alias("bank_name"), first("holding_modality").alias("m"), first("iban").alias("iban"))
     mode = F.when(F.col("m").isNotNull(), F.when(F.lower("m") == "joint", "joint").otherwise("individual"))
