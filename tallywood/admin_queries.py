@@ -198,10 +198,10 @@ def _settled(events: DataFrame) -> DataFrame:
     bad = keys.where("cast(raw as long) % 50 = 3").select(F.concat(F.lit("?"), "raw").alias("raw"), F.lit(True).alias("malformed"))
     batch = keys.withColumn("malformed", F.lit(False)).unionByName(bad)
 
-    def handle(rows: DataFrame) -> None:
-        if not rows.where("cast(raw as long) % 100 = 7").isEmpty():
-            raise ValueError("a message fails")
-        rows.select("raw", F.lit("handled").alias("kind")).write.mode("append").parquet(f"{at}/done")
+    def handle(rows: DataFrame) -> DataFrame:
+        fails = F.expr("cast(raw as long) % 100 = 7")
+        rows.where(~fails).select("raw", F.lit("handled").alias("kind")).write.mode("append").parquet(f"{at}/done")
+        return rows.where(fails)
 
     def put_aside(rows: DataFrame, why: str) -> None:
         rows.select("raw", F.lit(why).alias("kind")).write.mode("append").parquet(f"{at}/done")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..shared import saved
+
 log = logging.getLogger(__name__)
 
 SUBJECTS = {
@@ -40,32 +42,35 @@ def encode(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*cols)).alias("value"))
 
 
-def deliver(handle: Callable[[DataFrame], None], work: DataFrame, key: str = "raw") -> DataFrame:
+def deliver(handle: Callable[[DataFrame], DataFrame | None], work: DataFrame, key: str = "raw") -> DataFrame:
     """Handle messages as a batch; returns those that the handler fails on, and no others.
 
-    Where a batch fails, its halves (by a hash of the key) are tried, down to single
-    messages, so that one bad message doesn't hold up the others; handlers are
-    idempotent, as delivery is at least once. Of n messages of which k fail, some
-    k log n calls are made: for queues with many failures and a handler of
-    single messages there is ``settlement``.
+    A handler that knows which messages it fails on returns them, and a batch is
+    one call, however many fail. One that raises handled none for sure: the halves
+    of its batch (by a hash of the key) are tried, down to single messages, so that
+    one bad message doesn't hold up the others; of n messages of which k fail, some
+    k log n calls are made. Handlers are idempotent, as delivery is at least once.
     """
     failed, todo = None, [(work, 0)]
     while todo:
         part, depth = todo.pop()
         try:
-            handle(part)
-            continue
+            told = handle(part)
         except Exception:  # any failure of the handler counts against the budget
-            n = part.select(key).distinct().count()
-        if n > 1:
-            side = F.pmod(F.xxhash64(key, F.lit(depth)), F.lit(2)) == 0
-            todo += [(part.where(side), depth + 1), (part.where(~side), depth + 1)]
-        elif n:
-            failed = part if failed is None else failed.unionByName(part)
+            if not depth:
+                part = saved(part, "work")  # the halves read it, and don't make it anew
+            if part.select(key).distinct().limit(2).count() > 1:
+                side = F.pmod(F.xxhash64(key, F.lit(depth)), F.lit(2)) == 0
+                todo += [(part.where(side), depth + 1), (part.where(~side), depth + 1)]
+                continue
+            told = part
+        if told is not None:
+            lost = part.join(told.select(key).distinct(), key, "left_semi").select(*work.columns)
+            failed = lost if failed is None else failed.unionByName(lost)
     return work.limit(0) if failed is None else failed
 
 
-def settle(handle: Callable[[DataFrame], None], batch: DataFrame, pending: DataFrame | None, quarantine: Callable[[DataFrame, str], None], key: str = "raw", gave_up: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def settle(handle: Callable[[DataFrame], DataFrame | None], batch: DataFrame, pending: DataFrame | None, quarantine: Callable[[DataFrame, str], None], key: str = "raw", gave_up: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Handle a batch and what is still pending (with attempts); returns what is pending after it.
 
     What can't be read goes to quarantine at once. A message that the handler fails

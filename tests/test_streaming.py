@@ -7,6 +7,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallywood.streaming import queues, settlement
 
@@ -131,3 +132,29 @@ def test_once_over_runs_with_bounded_state(spark, tmp_path):
     assert got == list(range(900)) and state <= 130
     got, state = run("c", rows.where("k >= 890"))
     assert got == list(range(1000)) and state <= 130
+
+
+def test_a_handler_that_names_its_failures_is_called_once(spark):
+    """However many messages fail, a batch is one call where the handler says which."""
+    rows = spark.range(500).select(F.col("id").cast("string").alias("raw"), F.lit(2).alias("attempts"))
+    calls = []
+
+    def handle(part):
+        calls.append(part.count())
+        return part.where("cast(raw as long) % 3 = 0").select("raw")
+
+    failed = queues.deliver(handle, rows)
+    assert calls == [500] and sorted(int(r.raw) for r in failed.where("attempts = 2").collect()) == list(range(0, 500, 3))
+
+
+def test_a_long_batch_is_waited_for(spark, tmp_path):
+    """Draining gives up where nothing goes on, not where a batch takes longer than its patience."""
+
+    def handle(message):
+        time.sleep(6)
+        return "done"
+
+    put(f"{tmp_path}/queue", "one", [1])
+    query = settlement.settle_into(queues.messages(spark, f"{tmp_path}/queue", JOB), handle, f"{tmp_path}/out", f"{tmp_path}/state", every="300 milliseconds")
+    settlement.drain(query, 3)
+    assert [kind for kind, _, _ in outcomes(spark, f"{tmp_path}/out")] == ["handled"]
