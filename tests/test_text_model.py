@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+from tallywood.operators import categorize
+
 import hashlib
 import math
 
@@ -48,3 +52,29 @@ def test_features_predictions_and_the_gate(spark):
     stays, new, old = T.challenge(again, good, held)
     assert stays is again and new == old  # a tie goes to the challenger
     assert T.fit(rows.where("false")).predict(held).where("predicted <> 'other'").isEmpty()
+
+
+def test_neighbours_by_float32_are_those_of_float64(spark):
+    """Near ties, equal vectors and a query's own row: the k nearest are those of the whole products, whatever the first look rounds away."""
+    rng = np.random.default_rng(3)
+    base = rng.random((40, 16))
+    some = np.concatenate([base, base[:10], base[:10] + 1e-9 * rng.random((10, 16)), np.zeros((3, 16))])
+    rows = [(i, some[i].tolist(), i % 3) for i in range(len(some))]
+    made = spark.createDataFrame(rows, "vec_id long, vector array<double>, label int")
+    for others in (False, True):
+        got = categorize.knn(made.withColumnRenamed("vec_id", "query_id"), made, 4, block=25, others=others).collect()
+        want = set()
+        for q in range(len(some)):
+            sims = sorted((-round(float(some[q] @ some[v]), 12), v) for v in range(len(some)) if not (others and v == q))
+            want |= {(q, v, rank) for rank, (_, v) in enumerate(sims[:4], 1)}
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+def test_features_are_what_a_vector_holds(spark):
+    """Only what isn't zero, by the buckets that expressions find."""
+    rows = spark.createDataFrame([("old rod", "a"), ("old old rod 77", "b"), ("", "c"), ("x", "a")], "text string, category string")
+    model = T.fit(rows)
+    got = model.features(model.vectors(rows)).withColumn("buckets", T.buckets(F.col("text"))).collect()
+    for r in got:
+        assert {f.bucket: f.weight for f in r.features} == {i: w for i, w in enumerate(r.vector) if w > 0}
+        assert {f.bucket for f in r.features} == set(r.buckets)
